@@ -11,14 +11,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
+from .html_extract import extract_text
+from .language_id import identify_languages
 from .near_dedup import near_duplicates
+from .packing import pack
+from .quality_rules import quality_rules
+from .sql import SQL
 from .substring_dedup import remove_repeats
+from .token_counts import sentence_pieces, token_counts
+from .topk_search import exact_top_k, integer_vectors
+from .url_filter import PAGES_RULES, filter_urls, page_links
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_branch_and_bound_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = integer_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    out = exact_top_k(rows, rows.where("id % 100 = 0"), 10)
+    return out.withColumn("rank", F.col("rank").cast("int"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(_table(spark, sf_dir, "documents"))
     kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -30,9 +52,48 @@ def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op4_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op5_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), sentence_pieces(vocabulary("piece_bpe_32k.model")))
+
+
+def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), mixing.documents_tree(), mixing.DOCUMENTS_WEIGHTS)
+    level = [F.col(f"mix_{x}").alias(x) for x in ("domain", "lang", "source")]
+    return mixed.select("doc_id", *level, F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
+
+
+def op7_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    judged = filter_urls(pages.select("page_id", "url"), PAGES_RULES, page_links(pages))
+    return judged.select("page_id", *(F.col(f"url_{x}").alias(x) for x in ("host", "path", "rule", "verdict")))
+
+
+def op8_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op9_ftrl_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = identify_languages(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op10_suffix_array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_text(_table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_hyperminhash)}
+    all_ = (
+        op1_branch_and_bound_top_k, op2_substring_dedup, op3_hyperminhash, op4_shortest_pack_first, op5_longest_match_counts,
+        op6_hierarchical_mix, op7_redirect_url_filter, op8_line_frequency_rules, op9_ftrl_language_id, op10_suffix_array_text,
+    )
+    return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the result; the others are tested by brute force."""
+    return dict(SQL)
