@@ -143,4 +143,4 @@ def without_fences(text: Column) -> Column:
     """A model's output without thoughts, code fences and trailing commas."""
     out = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
     out = F.regexp_replace(out, r"```(?:json)?", "")
-    return F.trim(F.regexp_replace(out, r",\s*([}\]])", "$1"))
+    return F.regexp_replace(F.regexp_replace(out, r",\s*([}\]])", "$1"), r"(?U)^\s+|\s+$", "")
