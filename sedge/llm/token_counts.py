@@ -9,6 +9,7 @@ is a sum of precomputed numbers, and no piece is built.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,10 +87,16 @@ def sentence_pieces(model_file: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not odd(i)]
 
 
+@functools.lru_cache(maxsize=2)
+def _cache(pieces: tuple[str, ...], prefix: str) -> WordCache:
+    """One for each worker process and vocabulary."""
+    automaton = LongestMatch(list(pieces), prefix)
+    return WordCache(lambda words: [(automaton.count(w),) for w in words])
+
+
 def _counts(vocabulary, prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = LongestMatch(vocabulary.value, prefix)
-        cache = WordCache(lambda words: [(automaton.count(w),) for w in words])
+        cache = _cache(vocabulary.value, prefix)
         for batch in batches:
             n_words, n_tokens = [], []
             for text in strings(batch.column("text")):
@@ -110,5 +117,5 @@ def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
     The vocabulary (its size is fixed, not the corpus's) is broadcast.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    vocabulary = docs.sparkSession.sparkContext.broadcast(list(pieces))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(tuple(pieces))
     return docs.mapInArrow(_counts(vocabulary, prefix), "doc_id long, n_words long, n_tokens long")
