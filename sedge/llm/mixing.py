@@ -41,7 +41,7 @@ def _fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     remaining budget doesn't saturate fixes the level for it and all later.
     """
     by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = by.orderBy(F.col("w") == 0, F.col("cap").cast("double") / F.col("w").cast("double"), F.col(name))
+    order = by.orderBy(F.col("w") == 0, F.try_divide(F.col("cap").cast("double"), F.col("w").cast("double")), F.col(name))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     wide = lambda c: F.col(c).cast("decimal(20,0)")
