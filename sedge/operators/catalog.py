@@ -94,3 +94,16 @@ def delete_documents(table: DataFrame, ids: DataFrame, allowed: Column | None =
     if allowed is not None:
         ids = ids.join(table.where(allowed).select("document_id").distinct(), "document_id", "left_semi")
     return table.join(ids.select("document_id").distinct(), "document_id", "left_anti")
+
+
+def by_ids(chunks: DataFrame, requested: DataFrame, most: int = 5) -> DataFrame:
+    """The requested chunks of each query (query_id, ids) in the order asked, unknown ids left out."""
+    asked = requested.select("query_id", F.posexplode(F.slice("ids", 1, most)).alias("pos", "id"))
+    return asked.join(chunks, "id").orderBy("query_id", "pos")
+
+
+def without_answered(hits: DataFrame, answers: DataFrame) -> DataFrame:
+    """Hits to show beside an answer: a grounded one already shows the first."""
+    said = answers.select("query_id", "is_grounded")
+    shown = (F.col("rank") > 1) | ~F.coalesce("is_grounded", F.lit(False))
+    return hits.join(said, "query_id", "left").where(shown).drop("is_grounded")

@@ -73,3 +73,24 @@ def decode_shards(files: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"id": list(ids), "scale": scale, "q": list(q)})
 
     return files.select("ids", "content").mapInPandas(run, "id long, scale float, q array<tinyint>")
+
+
+def read_json_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The JSON artifacts of a static index as tables.
+
+    docs and chunks keep their ordinals; bm25 becomes postings (term, id, tf),
+    lengths (id, dl) and stats; synonyms (ord, key, alternatives).
+    """
+    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}.json", multiLine=True)
+    bm25 = read("bm25", "k1 double, b double, avgdl double, len array<bigint>, postings map<string, array<array<bigint>>>")
+    terms = bm25.select(F.explode("postings").alias("term", "list")).select("term", F.explode("list").alias("p"))
+    text = spark.read.text(f"{path}/synonyms.json", wholetext=True)
+    pairs = text.select(F.posexplode(F.map_entries(F.from_json("value", "map<string, array<string>>"))).alias("ord", "e"))
+    return {
+        "docs": read("docs", "id string, number string, title string, status string, pages int, file string").withColumn("d", F.monotonically_increasing_id()),
+        "chunks": read("chunks", "i int, d int, p string, pg int, t string, ty string"),
+        "postings": terms.select("term", F.col("p")[0].alias("id"), F.col("p")[1].alias("tf")),
+        "lengths": bm25.select(F.posexplode("len").alias("id", "dl")),
+        "stats": bm25.select(F.size("len").alias("n"), "avgdl", "k1", "b"),
+        "synonyms": pairs.select("ord", F.col("e.key").alias("key"), F.col("e.value").alias("alternatives")),
+    }
