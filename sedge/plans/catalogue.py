@@ -16,6 +16,7 @@ from ..functions import vectors as vx
 from ..functions.profiles import LATIN
 from ..operators import answers, catalog, chunking, dense, expansion, fusion, lexical, usage
 from ..sources import artifacts, collected
+from ..streaming import jobs
 from .tables import DOCUMENTS_SQL, LINES_SQL, LOG_SQL, documents, lines, query_log, requests, table
 
 QUERIES = ((1, "the ea tion of and inthe"), (2, "une eau que les ment"), (3, "Verkeit der UND zu, schst"))
@@ -738,16 +739,11 @@ def usage_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT date_trunc('day', ts) AS start, CAST(user_id AS VARCHAR) AS subject, count(*) AS n FROM events GROUP BY 1, 2""")
 def usage_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream of events, read to its end; closed and last windows (complete mode)."""
-    import uuid
-
-    from ..streaming.jobs import usage_windows
-
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    name = f"usage_{uuid.uuid4().hex}"
-    rows = source.select(F.col("user_id").cast("string").alias("subject"), "ts")
-    job = usage_windows(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    path = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    rows = jobs.usage_windows(source.select(F.col("user_id").cast("string").alias("subject"), "ts"))
+    out = jobs.run_to_end(rows, jobs.shared_path(spark, "usage"), jobs.shared_path(spark, "usage-state"))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @_query(

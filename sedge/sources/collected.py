@@ -42,9 +42,17 @@ def pdf_link(pages: DataFrame) -> DataFrame:
 
 
 def pages_from_binary(files: DataFrame) -> DataFrame:
-    """(ordinal, path, checksum) of a binaryFile scan: file order fixes the document's ordinal."""
-    order = F.row_number().over(Window.orderBy("path"))
-    return files.select((order - 1).alias("ordinal"), "path", F.sha2("content", 256).alias("checksum"))
+    """(ordinal, path, checksum) of a binaryFile scan: file order fixes the document's ordinal.
+
+    Only paths and checksums are numbered, never contents; the paths of each
+    folder's share are counted first, so no task holds the whole listing.
+    """
+    named = files.select("path", F.sha2("content", 256).alias("checksum")).withColumn("share", F.regexp_extract("path", r"^(.*/)", 1))
+    sizes = named.groupBy("share").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("share", ahead.alias("ahead"))  # a row for each folder
+    within = F.row_number().over(Window.partitionBy("share").orderBy("path")) - 1
+    return named.join(sizes, "share").select((F.col("ahead") + within).alias("ordinal"), "path", "checksum")
 
 
 def with_metadata(documents: DataFrame, sidecar: DataFrame) -> DataFrame:
