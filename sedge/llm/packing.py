@@ -11,29 +11,75 @@ the pieces of their length.
 
 from __future__ import annotations
 
+import functools
+import json
+import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
-from .word_cache import WordCache
+from .scratch import materialize, text_batches
+from .word_cache import MAX_WORDS, WordCache
 from .words import strings
 
 #: Rows that one task ranks; longer runs of one length are split by a hash.
 RANKED = 10_000
 
 
+#: The tokenizer's own split of a word, for words of Latin letters, digits and
+#: signs, which its normaliser only lower-cases; other words go to it whole.
+_SIMPLE = regex.compile(r"[\x21-\x3b\x3d\x3f-\x7b\x7d\x7e\xa1-\u012f\u0131-\u024f]+")
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+#: How byte-level vocabularies write bytes that aren't printable: as U+0100 and on, in order.
+_BYTES = {b: 256 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
+class _Parts:
+    """Ids of words from the remembered ids of their parts."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.known = tokenizer, tokenizer.model, {}
+        rule = json.loads(tokenizer.to_str())
+        split = str((rule.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex"))
+        kinds = [n.get("type") for n in (rule.get("normalizer") or {}).get("normalizers", [])]
+        self.simple = split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and kinds == ["NFC", "Replace", "Lowercase"]
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > MAX_WORDS:
+            self.known = {}
+        simple = _SIMPLE.fullmatch if self.simple else lambda w: None
+        parts = [_PARTS.findall(w.lower()) if simple(w) else [w] for w in words]
+        known, tokenize = self.known, self.model.tokenize
+        for w, ps in zip(words, parts):
+            if ps[0] is w:  # normalised and split by the tokenizer itself
+                known[w] = _bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)
+            for p in ps:
+                if p not in known:
+                    known[p] = _bytes([t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))])
+        return [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]
+
+
+@functools.lru_cache(maxsize=2)
 def encoder(tokenizer_json: str) -> WordCache:
-    """Token ids of words of a tokenizer that never joins text across white space."""
+    """Token ids of words of a tokenizer that never joins text across white space.
+
+    One for each worker process, so its tasks share what is remembered.
+    """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    return WordCache(lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+    return WordCache(_Parts(Tokenizer.from_str(tokenizer_json)).ids)
 
 
 def _pieces(tokenizer_json: str, length: int, end_id: int):
@@ -106,6 +152,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     gapless offsets from 0.  Repeated rows are packed as often as they come.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text_batches(docs.sparkSession)
     run = _pieces(Path(tokenizer_file).read_text(), length, end_id)
     pieces = materialize(docs.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `length` rows

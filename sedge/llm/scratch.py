@@ -18,6 +18,19 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_IDS = 4_000_000
 
 
+#: Whole texts go to Python in batches of so many rows; the default of 10,000
+#: would hold tens of megabytes of text several times over in each task.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; one of our own only if unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import text_batches
 from .word_cache import WordCache
 from .words import strings
 
@@ -91,7 +92,7 @@ def sentence_pieces(model_file: str) -> list[str]:
 def _cache(pieces: tuple[str, ...], prefix: str) -> WordCache:
     """One for each worker process and vocabulary."""
     automaton = LongestMatch(list(pieces), prefix)
-    return WordCache(lambda words: [(automaton.count(w),) for w in words])
+    return WordCache(lambda words: [automaton.count(w).to_bytes(4, "little") for w in words])
 
 
 def _counts(vocabulary, prefix: str):
@@ -117,5 +118,6 @@ def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
     The vocabulary (its size is fixed, not the corpus's) is broadcast.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(tuple(pieces))
     return docs.mapInArrow(_counts(vocabulary, prefix), "doc_id long, n_words long, n_tokens long")

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 
-#: Words that a worker remembers before it starts afresh.
-MAX_WORDS = 500_000
+#: Words that a worker remembers before it starts afresh (some 60 MB).
+MAX_WORDS = 300_000
 
 
 class WordCache:
     """Maps words (bytes) to runs of 32-bit integers; new words in batches.
 
-    `compute` takes a list of words and returns a list of sequences.  The cache
-    only saves work: it is emptied when full and results don't depend on it.
+    `compute` takes a list of words and returns their runs as bytes of
+    little-endian integers.  The cache only saves work: it is emptied when full
+    and results don't depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], max_words: int = MAX_WORDS):
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], max_words: int = MAX_WORDS):
         self.compute, self.max_words = compute, max_words
         self._reset()
 
@@ -29,7 +31,7 @@ class WordCache:
     def _add(self, words: list[bytes]) -> None:
         runs = self.compute([w.decode() for w in words])
         at, n = len(self.place), len(words)
-        sizes = np.fromiter((len(r) for r in runs), np.int64, n)
+        sizes = np.fromiter(map(len, runs), np.int64, n) // 4
         total = int(sizes.sum())
         while len(self.size) < at + n:
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
@@ -37,19 +39,19 @@ class WordCache:
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
         self.size[at : at + n] = sizes
         self.start[at : at + n] = self.used + np.cumsum(sizes) - sizes
-        self.values[self.used : self.used + total] = np.fromiter((x for r in runs for x in r), np.int32, total)
+        self.values[self.used : self.used + total] = np.frombuffer(b"".join(runs), "<i4")
         self.used += total
         self.place.update(zip(words, range(at, at + n)))
 
     def runs(self, words: list[bytes]) -> np.ndarray:
         """The concatenated runs of `words`."""
-        if len(self.place) > self.max_words:
+        if len(self.place) > self.max_words or self.used > 16 * self.max_words:
             self._reset()
-        found = list(map(self.place.get, words))
-        if None in found:
-            self._add(list(dict.fromkeys(w for w, p in zip(words, found) if p is None)))
-            found = list(map(self.place.get, words))
-        at = np.array(found, dtype=np.int64)
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._add(list(dict.fromkeys(words[i] for i in missing)))
+            at[missing] = [self.place[words[i]] for i in missing]
         size = self.size[at]
         ends = np.cumsum(size)
         return self.values[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
