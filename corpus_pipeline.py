@@ -21,10 +21,20 @@ from sedge.llm.substring_dedup import remove_repeats
 MIN_SCORE = 0.5
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """All columns as d_*, so that no column of `docs` clashes with an operator's."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns))
+
+
+def _plain(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*(F.col(f"`d_{c}`").alias(c) for c in columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go; a missing `lang` is filled in."""
-    judged = identify_languages(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= MIN_SCORE))
-    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    judged = identify_languages(_marked(docs), "d_doc_id", "d_text", "d_lang")
+    judged = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= MIN_SCORE))
+    return _plain(judged.withColumn("d_lang", F.coalesce("d_lang", "lang_pred")), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +56,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more stay only in the document of least id."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = remove_repeats(docs, keep=rest)
-    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    rest = tuple(f"d_{c}" for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    cut = remove_repeats(_marked(docs), "d_doc_id", "d_text", keep=rest)
+    cut = cut.withColumnsRenamed({"doc_id": "d_doc_id", "text": "d_text"})
+    return _plain(cut.withColumn("d_n_chars", F.char_length("d_text").cast("long")), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +67,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     One epoch: a second one would bring back exact copies.
     """
-    mixed = mixing.mix_sources(docs, mixing.documents_tree(), mixing.DOCUMENTS_WEIGHTS, max_epochs=1)
-    return mixed.where("mix_copies > 0").select(*docs.columns)
+    tree = mixing.documents_tree("d_lang", "d_source")
+    mixed = mixing.mix_sources(_marked(docs), tree, mixing.DOCUMENTS_WEIGHTS, max_epochs=1, id_col="d_doc_id", text_col="d_text")
+    return _plain(mixed.where("mix_copies > 0"), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

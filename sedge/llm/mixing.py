@@ -129,11 +129,11 @@ def mix_sources(
     return chosen.withColumn("mix_copies", copies.cast("long")).drop("mix_epochs", "mix_left", "mix_cut")
 
 
-def documents_tree() -> dict[str, Column]:
+def documents_tree(lang: str = "lang", source: str = "source") -> dict[str, Column]:
     """The levels of the `documents` table: the domain is the source's number modulo 4."""
-    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]{1,9})$", 1)
+    number = F.regexp_extract(F.coalesce(source, F.lit("")), r"([0-9]{1,9})$", 1)
     domain = F.when(number == "", F.lit("domain-")).otherwise(F.concat(F.lit("domain"), (number.try_cast("int") % 4).cast("string")))
-    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+    return {"domain": domain, "lang": F.col(lang), "source": F.col(source)}
 
 
 #: Weights of the registered query and of the pipeline.

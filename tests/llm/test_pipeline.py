@@ -54,3 +54,19 @@ def test_stages_take_effect(spark):
         pieces[r.doc_id] += r.length
         assert r.length <= 2048
     assert set(pieces) == {r.doc_id for r in out["mixing"]}
+
+
+def test_odd_tables(spark):
+    """Clashing columns, nulls, repeated rows and empty tables go through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, held_out string, mix_tokens int, rk int, spans string, count int"
+    one = (None, "sch ein ung der", None, None, None, "h", 1, 2, "s", 3)
+    rows = [one, one, (4, None, None, "x", 0, "h", 1, 2, "s", 3), (5, "ung der sch", "de", "src1", 3, "h", 1, 2, "s", 3), (5, "ung der sch", "de", "src1", 3, "h", 1, 2, "s", 3)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        names = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialize(stage(spark, docs, ""), name)
+            assert docs.columns == names
+            assert all(r.held_out == "h" and r["count"] == 3 and r.spans == "s" for r in docs.collect())
+        assert docs.where("doc_id = 5").count() <= 1
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
