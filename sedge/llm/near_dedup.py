@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize, semi_reduce
+from .scratch import materialize, semi_reduce, text_batches
 from .words import mix, slices, strings, word_table
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
@@ -195,7 +195,7 @@ def _verify(size: int, num: int, den: int):
     """Spanning links of one chunk: members (role 1) with guests (role 0), or
     with each other where there are no guests."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         ids, role, label = (pdf[c].to_numpy() for c in ("id", "role", "label"))
         text = pa.array(pdf["text"], pa.large_string())
@@ -253,6 +253,7 @@ def near_duplicates(
     Rows that share an id with different texts link whatever either text links.
     A null id is returned with a null component and links nothing.
     """
+    text_batches(docs.sparkSession)
     num, den = threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = materialize(docs.mapInArrow(_sketch(shingle), "doc_id long, n long, print binary, regs binary"), "sketches")
@@ -336,7 +337,7 @@ def near_duplicates(
 def _guarded(verify):
     """Compare only where a chunk has guests: else its members are done."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if not (pdf["role"] == 0).any():
             return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
         return verify(key, pdf)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import anti_reduce, materialize, semi_reduce
+from .scratch import anti_reduce, materialize, semi_reduce, text_batches
 from .words import mix, powers, slices, strings, word_table
 
 #: Words of a minimizer.
@@ -219,16 +219,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text stays null and has 0 words; texts shorter than `k` words lose
     nothing.  Rows with one id, repeated or not, don't remove each other's
-    words; rows with a null id neither lose words nor remove any.
+    words; rows with a null id neither lose words nor remove any.  Columns of
+    `keep` with the names of results are replaced.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    text_batches(docs.sparkSession)
+    keep = tuple(c for c in keep if c not in ("doc_id", "text", "n_words", "n_removed"))
+    held = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("int")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("kept"))
     base = base.withColumn("rk", F.xxhash64("doc_id", "text"))
     spans = materialize(repeated_spans(base, k), "spans")
     ids = spans.select("doc_id").distinct()
     n_ids = ids.count()
     hit = semi_reduce(base, ids, "doc_id", n_ids).join(spans, ["doc_id", "rk"], "left")
     rest = anti_reduce(base, ids, "doc_id", n_ids).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    names = ["doc_id", *keep]
+    names = ["doc_id", "kept"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*names).schema) + ", text string, n_words long, n_removed long"
     columns = [*names, "text", "spans"]
-    return hit.select(*columns).mapInArrow(_cut(names), schema).unionByName(rest.select(*columns).mapInArrow(_cut(names), schema))
+    out = hit.select(*columns).mapInArrow(_cut(names), schema).unionByName(rest.select(*columns).mapInArrow(_cut(names), schema))
+    return out.select("doc_id", *(F.col("kept")[c].alias(c) for c in keep), "text", "n_words", "n_removed")
