@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import counted, materialize
 
 #: Rows of a bucket of a leaf's hash order, on average.
 BUCKET_ROWS = 2000
@@ -106,7 +106,7 @@ def mix_sources(
     shares = shares.withColumn("epochs", F.expr("CASE WHEN tokens = 0 THEN 0 ELSE share DIV tokens END").cast("long"))
     shares = shares.withColumn("left_", F.when(F.col("tokens") > 0, F.col("share") % F.col("tokens")).otherwise(0).cast("long"))
     shares = shares.withColumn("buckets", F.ceil(F.col("rows_") / BUCKET_ROWS).cast("long"))
-    shares = materialize(shares, "shares")
+    shares = counted(materialize(shares, "shares"))  # a row for each leaf: documents meet them unshuffled
 
     place = lambda epoch, i: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch).cast("string"), i))
     placed = rows.join(shares, names).withColumn("at", place("epochs", F.col("mix_id")))
@@ -123,7 +123,7 @@ def mix_sources(
     cuts = inside.unionByName(border).groupBy(*names).agg(F.max("cut").alias("cut"))
     cuts = shares.join(cuts, names, "left").select(*names, F.col("epochs").alias("mix_epochs"), F.col("left_").alias("mix_left"), F.col("cut").alias("mix_cut"))
 
-    chosen = marked.join(cuts, names, "left")
+    chosen = marked.join(counted(materialize(cuts, "cuts")), names, "left")
     last = (place("mix_epochs", F.coalesce(F.col(id_col).cast("string"), F.lit(""))) <= F.col("mix_cut")) & (F.col("mix_left") > 0)
     copies = F.col("mix_epochs") + F.when(last, 1).otherwise(0)
     return chosen.withColumn("mix_copies", copies.cast("long")).drop("mix_epochs", "mix_left", "mix_cut")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Ids up to this number may be broadcast (8 bytes each, 32 MB); beyond it the
 #: join is left to a shuffle.
 MAX_BROADCAST_IDS = 4_000_000
+#: The same for narrow rows of a few strings (some 200 bytes each, 20 MB).
+MAX_BROADCAST_ROWS = 100_000
 
 
 #: Whole texts go to Python in batches of so many rows; the default of 10,000
@@ -48,6 +50,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A materialized table, marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def semi_reduce(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     """Rows of `df` whose `key` is in `ids` (one distinct column of that name).
 
