@@ -10,9 +10,12 @@ decides which candidates stay near enough to be verified on their full sets.
 Nothing lists the pairs of a group:
 
 * documents with equal sets collapse into one class first;
-* a band bucket links its members only to one pivot, and the links whose
-  estimate is far below the threshold go;
-* what is left falls into loose families; a family is verified in chunks of a
+* a band bucket links its members to one pivot, and the links whose estimate
+  is far below the threshold go; what is left falls into loose families;
+* where members of several families stand in one bucket, those outside its
+  largest family are estimated against all others of the bucket in blocks, so
+  every pair that shares a bucket is in one family or has been found far apart;
+* a family is verified in chunks of a
   bounded number of members (their texts fetched by a join) and only spanning
   links leave a task;
 * chunks meet through a few landmarks, and members that did not join their
@@ -43,6 +46,8 @@ BAND_ROWS = 4
 BANDS = BUCKETS // BAND_ROWS
 #: Links whose estimated similarity is below the threshold by this much go.
 SLACK = 0.3
+#: Members of a band bucket, on average, that meet as many others in one task.
+BLOCK = 2048
 #: Members of a family that one task compares with each other.
 CHUNK = 384
 #: Members of each family that all of its chunks hold, on average.
@@ -191,6 +196,58 @@ class _Forest:
         return i != j
 
 
+def _across(least: float):
+    """Links between the families of one bucket: guests (role 0) with hosts (role 1).
+
+    Guests stand among the hosts too (`twice`); of two guests the lesser id asks.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, role, n, twice = (pdf[c].to_numpy() for c in ("id", "role", "n", "twice"))
+        regs = _matrix(pa.array(pdf["regs"], pa.binary()))
+        guests, hosts = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        names, code = np.unique(pdf["family"].to_numpy(), return_inverse=True)
+        forest, links = _Forest(len(names)), []
+        step = max(1, 8192 // max(len(hosts), 1))
+        for at in range(0, len(guests), step):
+            root = np.array([forest.find(c) for c in range(len(names))])[code]
+            some = guests[at : at + step]
+            i, j = np.repeat(some, len(hosts)), np.tile(hosts, len(some))
+            open_ = (root[i] != root[j]) & (~twice[j] | (ids[i] < ids[j]))
+            i, j = i[open_], j[open_]
+            near = estimate(regs[i], regs[j], n[i], n[j]) >= least
+            for a, b in zip(i[near].tolist(), j[near].tolist()):
+                if forest.join(int(code[a]), int(code[b])):
+                    links.append((ids[a], ids[b]))
+        return pd.DataFrame({"u": np.array([a for a, _ in links], np.int64), "v": np.array([b for _, b in links], np.int64)})
+
+    return run
+
+
+def _bridges(shared: DataFrame, families: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) between families (node, family) that meet in a bucket (band, id).
+
+    The bucket's largest family waits as hosts, all other members are guests;
+    guests and hosts meet in blocks, and one task holds two blocks at most.
+    """
+    members = shared.join(families.withColumnRenamed("node", "id"), "id", "left").withColumn("family", F.coalesce("family", "id"))
+    mixed = members.groupBy("band").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low < high").select("band")
+    members = materialize(members.join(mixed, "band"), "mixed")
+    votes = members.groupBy("band", "family").agg(F.count("*").alias("votes"))
+    main = votes.groupBy("band").agg(
+        F.max(F.struct("votes", F.col("family").alias("main")))["main"].alias("main"), F.sum("votes").alias("all"), F.max("votes").alias("most")
+    )
+    blocks = lambda count: F.ceil(count / BLOCK).cast("int")
+    main = main.select("band", "main", blocks(F.col("all")).alias("chunks"), blocks(F.col("all") - F.col("most")).alias("lots"))
+    members = members.join(main, "band").join(reps.select("id", "n", "regs"), "id").withColumn("twice", F.col("family") != F.col("main"))
+    lot = lambda seed, count: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(count).cast("long")).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    kept = ("id", "family", "n", "regs", "twice")
+    guests = members.where("twice").select("band", lot(3, "lots").alias("part"), every("chunks").alias("chunk"), *kept, F.lit(0).alias("role"))
+    hosts = members.select("band", every("lots").alias("part"), lot(4, "chunks").alias("chunk"), *kept, F.lit(1).alias("role"))
+    return guests.unionByName(hosts).groupBy("band", "part", "chunk").applyInPandas(_across(least), "u long, v long")
+
+
 def _verify(size: int, num: int, den: int):
     """Spanning links of one chunk: members (role 1) with guests (role 0), or
     with each other where there are no guests."""
@@ -267,13 +324,19 @@ def near_duplicates(
 
     bands = materialize(reps.select("id", "regs").mapInArrow(_bands, "band long, id long"), "bands")
     pivots = bands.groupBy("band").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p < last").drop("last")
-    stars = bands.join(pivots, "band").where("id > p").select(F.col("id").alias("u"), F.col("p").alias("v")).distinct()
+    shared = materialize(bands.join(pivots, "band").where("id > p"), "shared")  # a pivot itself is compared with all
+    stars = shared.select(F.col("id").alias("u"), F.col("p").alias("v")).distinct()
+    least = max(num / den - SLACK, 0.0)
     paired = (
         stars.join(reps.select(F.col("id").alias("u"), "n", "regs"), "u")
         .join(reps.select(F.col("id").alias("v"), F.col("n").alias("pn"), F.col("regs").alias("pregs")), "v")
-        .mapInArrow(_loose(max(num / den - SLACK, 0.0)), "u long, v long")
+        .mapInArrow(_loose(least), "u long, v long")
     )
     families = materialize(connected_components(paired).withColumnRenamed("component", "family"), "families")
+    bridges = materialize(_bridges(shared.select("band", "id"), families, reps, least), "bridges")
+    if bridges.limit(1).count():
+        known = families.select(F.col("node").alias("u"), F.col("family").alias("v"))
+        families = materialize(connected_components(known.unionByName(bridges)).withColumnRenamed("component", "family"), "families")
 
     sizes = families.groupBy("family").agg(F.count("*").alias("members"))
     members = families.join(sizes, "family").select(

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sedge.llm import near_dedup
@@ -74,3 +75,45 @@ def test_null_repeated_and_empty(spark):
     got = sorted((near_duplicates(df).select("doc_id", "component_id").collect()), key=str)
     assert [(r[0], r[1]) for r in got] == sorted([(None, None), (4, 2), (4, 2), (9, 2), (9, 2), (2, 2), (7, 7)], key=str)
     assert near_duplicates(df.where("1 = 0")).count() == 0
+
+
+def slots(n, pairs, seed=11):
+    """n texts of 300 words, each one of two, then copies of the last with one word changed."""
+    rng = random.Random(seed)
+    words = [(f"a{i}", f"b{i}") for i in range(300)]
+    texts = [[rng.choice(w) for w in words] for _ in range(n)]
+    for t in texts[n - pairs :]:
+        copy = list(t)
+        copy[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(copy)
+    return list(enumerate(" ".join(t) for t in texts))
+
+
+def brute_counts(rows, size, num, den):
+    """`brute` over thousands of texts: common shingles as a product of 0/1 matrices."""
+    sets = [shingles(t, size) for _, t in rows]
+    code = {}
+    held = [[code.setdefault(s, len(code)) for s in x] for x in sets]
+    has = np.zeros((len(rows), len(code)), np.float32)
+    for i, x in enumerate(held):
+        has[i, x] = 1
+    common = np.rint(has @ has.T).astype(np.int64)
+    n = np.diag(common)
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in np.argwhere(np.triu(den * common >= num * (n[:, None] + n - common), 1)).tolist():
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    return {rows[i][0]: (len(sets[i]), rows[find(i)][0]) for i in range(len(rows))}
+
+
+def test_siblings_with_far_pivots(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rows = slots(4000, 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(near_duplicates(df, shingle=1)) == brute_counts(rows, 1, 4, 5)
