@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import text_batches
@@ -182,6 +182,8 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     lot = F.xxhash64(F.lit("language sample"), "key")
     chosen = labelled.where(F.pmod(lot, F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)).select("lang", lot.alias("key"), "text")
     chosen = chosen.mapInArrow(_samples, "lang string, key long, at array<int>, tf array<float>")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))  # cut within tasks, then again
+    chosen = chosen.where("size(at) > 0").withColumn("place", place).where(F.col("place") <= train_rows).drop("place")
     found = chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_train(idf, train_rows), "langs array<string>, weights binary, temperature double").first()
     if found is None or not found["langs"]:
         return Model([], idf, np.zeros((FEATURES, 0)), 1.0)

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from sedge.llm import language_id
 from sedge.llm.language_id import Model, calibrate, fit, grams, identify_languages, softmax, weigh
 
 SYLLABLES = {"en": "th ing on the er an re".split(), "de": "sch ein ung ü der ch".split(), "fr": "eau é que les oi ment".split()}
@@ -56,3 +57,20 @@ def test_ftrl_is_sparse_and_temperature_calibrates():
     assert abs(softmax(logits[:1] / t)[0, 0] - 0.75) < 0.01
     rng.shuffle(rows)
     assert Model(langs, idf, w, 1.0).predict("sch ein ung")[0] == "de"
+
+
+def test_training_task_gets_bounded_rows(spark, monkeypatch):
+    train = language_id._train
+
+    def bounded(idf, limit):
+        inner = train(idf, limit)
+
+        def run(pdf):
+            assert pdf.groupby("lang").size().max() <= limit
+            return inner(pdf)
+
+        return run
+
+    monkeypatch.setattr(language_id, "_train", bounded)
+    df = spark.createDataFrame([r[:3] for r in corpus(6000)], "doc_id long, text string, lang string")
+    assert identify_languages(df, train_rows=4).count() == 6000
