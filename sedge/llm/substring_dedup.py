@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import anti_reduce, materialize, semi_reduce, text_batches
-from .words import mix, powers, slices, strings, word_table
+from .words import Words, mix, powers, slices, strings, word_table
 
 #: Words of a minimizer.
 SEED_WORDS = 8
@@ -36,11 +36,10 @@ _INVERSE = tuple(np.uint64(pow(int(s), -1, 1 << 64)) for s in _STEP)
 class _Digests:
     """Digests of any run of words of a slice from prefix sums, in two lanes."""
 
-    def __init__(self, word: np.ndarray):
-        n = len(word)
+    def __init__(self, words: Words):
+        n = len(words.hash)
         self.lanes = []
-        for lane, (step, inverse) in enumerate(zip(_STEP, _INVERSE)):
-            w = mix(word + np.uint64(lane + 1))
+        for w, step, inverse in zip((words.hash, words.hash2), _STEP, _INVERSE):
             total = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum(w * powers(n, step), dtype=np.uint64, out=total[1:])
             self.lanes.append((total, powers(n + 1, inverse)))
@@ -78,7 +77,7 @@ def _paths(k: int):
                 if edges <= 0:
                     continue
                 doc = np.repeat(np.arange(rows), np.diff(w.ptr))
-                digests = _Digests(w.hash)
+                digests = _Digests(w)
                 place = np.arange(len(w.hash) - seed_words + 1)
                 seed = digests.of(place, place + seed_words)[0]
                 best = _minimizer(seed, k - seed_words + 1)[:edges]
@@ -115,7 +114,7 @@ def _edges(k: int):
             text = strings(batch.column("text"))
             for at, rows in slices(text):
                 w = word_table(text.slice(at, rows))
-                digests = _Digests(w.hash)
+                digests = _Digests(w)
                 for r in range(rows):
                     paths = batch.column("paths")[at + r].as_py()
                     place = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in paths]))

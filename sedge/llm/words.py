@@ -2,12 +2,14 @@
 
 A word is a maximal run of bytes other than space and U+0009..U+000D, which in
 UTF-8 is the same as `[^\\x20\\x09-\\x0D]+` over characters.  Words are kept as
-64-bit hashes with byte offsets, so tasks work on numpy arrays of a bounded
+two 64-bit hashes of their bytes with byte offsets, so tasks work on numpy arrays of a bounded
 slice of rows instead of on Python strings.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,15 +21,15 @@ SLICE_BYTES = 1 << 20
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
-_SAME = np.arange(256, dtype=np.uint64)
-_LOWER = _SAME.copy()
-_LOWER[65:91] += np.uint64(32)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_powers = np.ones(1, dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+_LANES = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)), (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9FB21C651E98DF25)))
 
 
-def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
+def powers(n: int, base: np.uint64) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     p = np.full(n, base, dtype=np.uint64)
     if n:
@@ -35,13 +37,6 @@ def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def _base_powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = powers(max(n, 64))
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -58,6 +53,7 @@ class Words:
     """Words of some rows: row r has words ptr[r] to ptr[r + 1]."""
 
     hash: np.ndarray
+    hash2: np.ndarray  # a second, independent hash
     start: np.ndarray  # byte offsets into `data`
     end: np.ndarray
     ptr: np.ndarray
@@ -76,6 +72,19 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def segments(text: bytes, size: int) -> Iterator[bytes]:
+    """`text` in parts of about `size` bytes that end before white space."""
+    at = 0
+    while at < len(text):
+        end = _SPACE.search(text, at + size)
+        to = end.start() if end else len(text)
+        yield text[at:to]
+        at = to
+
+
 def _offsets(column: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     raw = np.frombuffer(column.buffers()[1], dtype=kind)
@@ -93,12 +102,14 @@ def word_table(column: pa.Array, lower: bool = False) -> Words:
     """All words of a column without nulls; `lower` maps A-Z to a-z."""
     if len(column) == 0:
         none = np.zeros(0, dtype=np.int64)
-        return Words(none.astype(np.uint64), none, none, np.zeros(1, np.int64), np.zeros(1, np.int64), none.astype(np.uint8))
+        return Words(none.astype(np.uint64), none.astype(np.uint64), none, none, np.zeros(1, np.int64), np.zeros(1, np.int64), none.astype(np.uint8))
     ends = _offsets(column)
     held = column.buffers()[2]
     data = (np.frombuffer(held, dtype=np.uint8) if held is not None else np.zeros(0, np.uint8))[ends[0] : ends[-1]]
     row = ends - ends[0]
     n = len(data)
+    if lower:
+        data = _LOWER[data]
     inside = _IS_WORD[data]
     before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     before[1:] = inside[:-1]
@@ -107,13 +118,24 @@ def word_table(column: pa.Array, lower: bool = False) -> Words:
     after[row[row > 0] - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
-    size = end - start
-    if not len(start):
-        return Words(np.zeros(0, np.uint64), start, end, np.zeros(len(row), np.int64), row, data)
-    first = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
-    value = (_LOWER if lower else _SAME)[data[inside]] + np.uint64(1)
-    value *= _base_powers(int(size.max()))[place]
-    h = np.add.reduceat(value, first)
-    h += size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return Words(mix(h), start, end, np.searchsorted(start, row), row, data)
+    return Words(*_word_hashes(data, start, end - start), start, end, np.searchsorted(start, row), row, data)
+
+
+def _word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word: eight bytes at a time, scrambled after each."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    hashes = [mix(size.astype(np.uint64) + salt) for salt, _ in _LANES]
+    left = np.flatnonzero(size <= _LONG)
+    at = 0
+    while len(left):
+        held = np.minimum(size[left] - at, 8).astype(np.uint64)
+        piece = eight[start[left] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * held))
+        for h, (salt, factor) in zip(hashes, _LANES):
+            h[left] = mix((h[left] ^ mix(piece + salt)) * factor)
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : start[i] + size[i]].tobytes(), digest_size=16).digest()
+        hashes[0][i], hashes[1][i] = np.frombuffer(digest, dtype="<u8")
+    return hashes[0], hashes[1]
