@@ -12,63 +12,97 @@ the pieces of their length.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
-import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize, text_batches
-from .word_cache import MAX_WORDS, WordCache
-from .words import strings
+from .word_cache import TEXT_BYTES, WordCache
+from .words import slices, strings
 
 #: Rows that one task ranks; longer runs of one length are split by a hash.
 RANKED = 10_000
 
-
-#: The tokenizer's own split of a word, for words of Latin letters, digits and
-#: signs, which its normaliser only lower-cases; other words go to it whole.
-_SIMPLE = regex.compile(r"[\x21-\x3b\x3d\x3f-\x7b\x7d\x7e\xa1-\u012f\u0131-\u024f]+")
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-
-
+#: The tokenizer's own split of a word (fixed value).
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: How byte-level vocabularies write bytes that aren't printable: as U+0100 and on, in order.
 _BYTES = {b: 256 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+#: Words of characters below this bound, signs that may begin special tokens
+#: and apostrophes (contractions) excepted, are split here; the tokenizer's
+#: normaliser only lower-cases them.  Other words go to the tokenizer whole.
+_BOUND = 0x250
+_LETTER, _DIGIT, _SIGN, _ODD = range(4)
+
+
+@functools.cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """(class, lower case) of the characters below _BOUND; the last row stands for all others."""
+    kinds = np.full(_BOUND + 1, _ODD, dtype=np.int8)
+    lower = np.arange(_BOUND + 1, dtype=np.uint32)
+    for c in range(0x21, _BOUND):
+        if chr(c) in "'<|>" or 0x7F <= c <= 0xA0 or c == 0x130:
+            continue
+        major = unicodedata.category(chr(c))[0]
+        kinds[c] = {"L": _LETTER, "N": _DIGIT}.get(major, _SIGN)
+        lower[c] = ord(chr(c).lower())
+    return kinds, lower
 
 
-def _bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}i", *ids)
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(map(len, lists), np.int64, len(lists)), np.fromiter(itertools.chain.from_iterable(lists), np.int32)
 
 
-class _Parts:
-    """Ids of words from the remembered ids of their parts."""
+class _Ids:
+    """Ids of words, from the remembered ids of their parts where the tokenizer's rule is the known one."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model, self.known = tokenizer, tokenizer.model, {}
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         rule = json.loads(tokenizer.to_str())
         split = str((rule.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex"))
         kinds = [n.get("type") for n in (rule.get("normalizer") or {}).get("normalizers", [])]
-        self.simple = split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and kinds == ["NFC", "Replace", "Lowercase"]
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > MAX_WORDS:
-            self.known = {}
-        simple = _SIMPLE.fullmatch if self.simple else lambda w: None
-        parts = [_PARTS.findall(w.lower()) if simple(w) else [w] for w in words]
-        known, tokenize = self.known, self.model.tokenize
-        for w, ps in zip(words, parts):
-            if ps[0] is w:  # normalised and split by the tokenizer itself
-                known[w] = _bytes(self.tokenizer.encode(w, add_special_tokens=False).ids)
-            for p in ps:
-                if p not in known:
-                    known[p] = _bytes([t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES))])
-        return [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]
+        self.known_rule = split == _SPLIT and kinds == ["NFC", "Replace", "Lowercase"]
+        self.parts = WordCache(self._of_parts)
+
+    def _of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        written = (p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES) for p in parts)
+        tokenize = self.model.tokenize
+        return _joined([[t.id for t in tokenize(p)] for p in written])
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        kinds, lower = _characters()
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(length) - length
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        near = np.minimum(code, np.uint32(_BOUND))
+        kind = kinds[near]
+        simple = (np.maximum.reduceat(kind, first) < _ODD) if self.known_rule else np.zeros(len(words), dtype=bool)
+
+        odd_size, odd_ids = _joined([self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in np.flatnonzero(~simple).tolist()])
+        # a part begins where the class changes, at each digit, and with each word
+        begins = (kind == _DIGIT) | np.append(True, kind[1:] != kind[:-1])
+        begins[first] = True
+        held = np.repeat(simple, length)
+        begins, letters = begins[held], lower[near[held]]
+        spaced = np.full(len(letters) + int(begins.sum()), 32, dtype=np.uint32)
+        spaced[np.arange(len(letters)) + np.cumsum(begins)] = letters
+        parts = spaced.tobytes().decode("utf-32-le").split(" ")[1:]
+        part_size, part_ids = self.parts.of_repeated(parts)
+        owner = np.repeat(np.arange(len(words)), length)[held][begins]
+
+        size = np.bincount(owner, weights=part_size, minlength=len(words)).astype(np.int64)
+        size[~simple] = odd_size
+        ids = np.zeros(int(size.sum()), np.int32)
+        from_parts = np.repeat(simple, size)
+        ids[from_parts], ids[~from_parts] = part_ids, odd_ids
+        return size, ids
 
 
 @functools.lru_cache(maxsize=2)
@@ -79,22 +113,31 @@ def encoder(tokenizer_json: str) -> WordCache:
     """
     from tokenizers import Tokenizer
 
-    return WordCache(_Parts(Tokenizer.from_str(tokenizer_json)).ids)
+    return WordCache(_Ids(Tokenizer.from_str(tokenizer_json)).of)
 
 
 def _pieces(tokenizer_json: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer_json)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            ids_of = batch.column("doc_id").to_pylist()
-            for doc_id, text in zip(ids_of, strings(batch.column("text"))):
-                ids = np.append(words.runs(text.as_py().encode().split()), end_id).astype("<u4")
-                for at in range(0, len(ids), length):
-                    piece = ids[at : at + length]
-                    for x, v in zip(out, (doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(ids))):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            text = strings(batch.column("text"))
+            for row, rows in slices(text, TEXT_BYTES):
+                size, ids = words.runs(text.slice(row, rows))
+                total = size + 1
+                stop = np.cumsum(total)
+                whole = np.full(int(stop[-1]), end_id, dtype="<u4")
+                own = np.ones(len(whole), dtype=bool)
+                own[stop - 1] = False
+                whole[own] = ids
+                many = -(-total // length)
+                owner = np.repeat(np.arange(rows), many)
+                start = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * length
+                size = np.minimum(total[owner] - start, length)
+                first = (stop - total)[owner] + start
+                held = memoryview(whole).cast("B")
+                crc = [zlib.crc32(held[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + size).tolist())]
+                columns = [batch.column("doc_id").slice(row, rows).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in (start, size, crc, total[owner]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -149,7 +192,10 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     A document's ids are those of its whole text, then `end_id`; a null text is
     empty, so every row has at least one piece.  Pieces are cut at multiples
     of `length`.  sequence_id counts from 0; the pieces of a sequence lie at
-    gapless offsets from 0.  Repeated rows are packed as often as they come.
+    gapless offsets from 0.  Repeated rows are packed as often as they come, a
+    null id is packed like any other.  An empty table gives an empty result.
+    A text of any length is tokenised whole, in parts that end at white space.
+    Other columns are not returned, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     text_batches(docs.sparkSession)
@@ -160,7 +206,9 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     names = "length long, lo long, hi long, many long, first long, base long"
     slots = spark.createDataFrame(slots, names)
-    shares = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in histogram.items()], "length long, parts long")
+    # a length's rows are ranked in parts of RANKED rows, or an even share of all rows where that is less
+    share = min(RANKED, max(1, sum(histogram.values()) // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shares = spark.createDataFrame([(n, -(-c // share)) for n, c in histogram.items()], "length long, parts long")
 
     pieces = pieces.join(F.broadcast(shares), "length")
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts"))).drop("parts")

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import text_batches
-from .word_cache import WordCache
-from .words import strings
+from .word_cache import TEXT_BYTES, WordCache
+from .words import slices, strings
 
 
 class LongestMatch:
@@ -92,19 +92,18 @@ def sentence_pieces(model_file: str) -> list[str]:
 def _cache(pieces: tuple[str, ...], prefix: str) -> WordCache:
     """One for each worker process and vocabulary."""
     automaton = LongestMatch(list(pieces), prefix)
-    return WordCache(lambda words: [automaton.count(w).to_bytes(4, "little") for w in words])
+    return WordCache(lambda words: (np.ones(len(words), np.int64), np.fromiter(map(automaton.count, words), np.int32, len(words))))
 
 
 def _counts(vocabulary, prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(vocabulary.value, prefix)
         for batch in batches:
-            n_words, n_tokens = [], []
-            for text in strings(batch.column("text")):
-                counts = cache.runs(text.as_py().encode().split())
-                n_words.append(len(counts))
-                n_tokens.append(int(counts.sum(dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+            text = strings(batch.column("text"))
+            for at, rows in slices(text, TEXT_BYTES):
+                n_words, counts = cache.runs(text.slice(at, rows))
+                n_tokens = np.diff(np.append(0, np.cumsum(counts, dtype=np.int64))[np.append(0, np.cumsum(n_words))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, rows), pa.array(n_words), pa.array(n_tokens)], names=["doc_id", "n_words", "n_tokens"])
 
     return run
 
@@ -114,7 +113,9 @@ def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
 
     Words are runs of characters other than space and U+0009..U+000D, taken
     unchanged; n_tokens adds up their greedy longest-match pieces.  Null and
-    empty texts have none.  Repeated rows are returned as often as they come.
+    empty texts have none.  Repeated rows are returned as often as they come, and
+    an empty table gives an empty result.  A text of any length is counted
+    whole, in parts that end at white space.  Other columns are not returned.
     The vocabulary (its size is fixed, not the corpus's) is broadcast.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -63,3 +64,30 @@ def test_sequences_hold_all_ids(spark, monkeypatch):
         assert at <= 64
     assert len(sequences) <= 1.1 * sum(r.length for r in got) / 64 + 1
     assert pack(df.where("1 = 0"), FILE).count() == 0
+
+
+def test_words_have_the_ids_of_the_tokenizer():
+    tokenizer = Tokenizer.from_file(FILE)
+    signs = [chr(c) for c in range(0x21, 0x260)]
+    words = [a + b for a in ["", *"sZ9.É'<"] for b in signs] + [b + a for a in "dZ9.É'>" for b in signs]
+    words = list(dict.fromkeys(w for w in words + ["l'été's", "a''s", "éx", "İ", "ǅ"] if w.split() == [w]))
+    size, ids = packing._Ids(tokenizer).of(words)
+    want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_very_long_texts_and_odd_rows(spark, monkeypatch):
+    from sedge.llm import word_cache
+
+    monkeypatch.setattr(word_cache, "TEXT_BYTES", 256)  # in this process only: the kernel is run here
+    long = "Ünder the stone, 1984 don't " * 4000
+    text = pa.array([long, "", "x" * 3000, " \n "])
+    encode = packing.encoder(open(FILE).read())
+    for row in text:
+        sizes, ids = encode.runs(pa.array([row.as_py()]))
+        want = Tokenizer.from_file(FILE).encode(row.as_py(), add_special_tokens=False).ids
+        assert sizes.tolist() == [len(want)] and ids.tolist() == want
+    rows = [(1, long), (None, "null id"), (2, None), (2, None)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), FILE)
+    totals = {(r.doc_id, r.doc_tokens) for r in got.collect()}
+    assert len(totals) == 3 and (2, 1) in totals and max(n for _, n in totals) > 30_000
