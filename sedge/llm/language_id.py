@@ -178,11 +178,12 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     df[features["feature"].to_numpy()] = features["n"].to_numpy()
     rows = int(held.loc[held["feature"] < 0, "n"].sum())
     idf = np.log((1.0 + rows) / (1.0 + df)) + 1e-3
-    rate = F.create_map(*itertools.chain.from_iterable((F.lit(x), F.lit(min(1.0, 1.3 * train_rows / n + 0.002))) for x, n in counts.items()))
+    # some 1.5 times the bound by hash, then the bound itself (tasks cut to it before they shuffle)
+    rate = F.create_map(*itertools.chain.from_iterable((F.lit(x), F.lit(1.5 * train_rows / n)) for x, n in counts.items()))
     lot = F.xxhash64(F.lit("language sample"), "key")
-    chosen = labelled.where(F.pmod(lot, F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)).select("lang", lot.alias("key"), "text")
+    chosen = labelled.where(F.pmod(lot, F.lit(1 << 52)) < rate[F.col("lang")] * float(1 << 52)).select("lang", lot.alias("key"), "text")
     chosen = chosen.mapInArrow(_samples, "lang string, key long, at array<int>, tf array<float>")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))  # cut within tasks, then again
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     chosen = chosen.where("size(at) > 0").withColumn("place", place).where(F.col("place") <= train_rows).drop("place")
     found = chosen.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_train(idf, train_rows), "langs array<string>, weights binary, temperature double").first()
     if found is None or not found["langs"]:
@@ -228,7 +229,10 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Learns from the rows that are not held out and have an id, a text and a
     language; id and language are not inputs of the prediction.  Repeated rows
-    are predicted as often as they come.
+    are predicted as often as they come.  A null id is not held out and not
+    learned from.  A text of any length is read whole.  An empty table gives an
+    empty result, one without labels `und` for every row.  Columns of `docs`
+    with the names of results are replaced.
     """
     text_batches(docs.sparkSession)
     labelled = docs.where(~held_out(id_col)).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
