@@ -26,16 +26,31 @@ def normalize_query_client(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain_e(text), r"[^a-zа-я0-9_\s-]", " "), r"(?U)\s+", " "))
 
 
+def raw_tokens(text: Column, profile: Profile) -> Column:
+    """Runs of the profile's token characters, before stopwords and stems; null: none."""
+    return F.regexp_extract_all(plain_e(F.coalesce(text, F.lit(""))), F.lit(profile.token), F.lit(0))
+
+
+def kept_token(token: Column, profile: Profile) -> Column:
+    """Two characters or more and not a stopword."""
+    return (F.length(token) >= 2) & ~token.isin(*profile.stopwords) if profile.stopwords else F.length(token) >= 2
+
+
+def stem(token: Column, profile: Profile) -> Column:
+    """A token without the longest of the profile's suffixes that leaves three characters."""
+    out = F.when(F.lit(False), token)
+    for suffix in sorted(profile.suffixes, key=len, reverse=True):
+        rest = F.length(token) - len(suffix)
+        out = out.when((rest >= 3) & F.endswith(token, F.lit(suffix)), F.left(token, rest))
+    return out.otherwise(token)
+
+
 def tokenize(text: Column, profile: Profile) -> Column:
     """Stemmed tokens without stopwords and single characters; null: none."""
-    stop = F.array(*map(F.lit, profile.stopwords)) if profile.stopwords else F.array().cast("array<string>")
-    keep = lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w)
-    raw = F.regexp_extract_all(plain_e(F.coalesce(text, F.lit(""))), F.lit(profile.token), F.lit(0))
-    tokens = F.filter(raw, keep)
+    tokens = F.filter(raw_tokens(text, profile), lambda w: kept_token(w, profile))
     if not profile.suffixes:
         return tokens
-    stem = lambda w: F.when(w.rlike("^[0-9]+$"), w).otherwise(F.regexp_replace(w, profile.stem, "$1"))
-    return F.filter(F.transform(tokens, stem), keep)
+    return F.filter(F.transform(tokens, lambda w: stem(w, profile)), lambda w: kept_token(w, profile))
 
 
 def token_count(text: Column) -> Column:

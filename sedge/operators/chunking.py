@@ -1,13 +1,16 @@
 """Segmenting documents into clause-level chunks.
 
 Lines get their kind from patterns, segments are islands between boundaries
-(a running sum), chapters carry forward over pages (a window), and only two
-steps that depend on their own output run in Python, one document at a time:
-the sliding window over long segments and the merging of short chunks.
+(a running sum), chapters carry forward over pages (a window), short chunks
+find the chunk they join by another window, and only the sliding window over
+long segments, each of which begins where the one before it ended, runs in
+Python, for long segments alone.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,29 +60,36 @@ def segments(pages: DataFrame) -> DataFrame:
     return part.agg(first("chapter"), first("paragraph"), kind.alias("type"), joined.alias("text"))
 
 
+_SENTENCE_END = re.compile(r"[.!?;](?= )")
+
+
 def split_long(text: str, size: int = MAX_CHARS, overlap: int = OVERLAP) -> list[str]:
     """Windows of at most `size` characters that overlap.
 
     A window ends at its last sentence end beyond 55 % of its size, else at
     its last blank beyond 80 %, else where it is full.
     """
+    if not 0 <= overlap < size * 0.55:
+        raise ValueError("the overlap must be smaller than any window")
     if len(text) <= size:
         return [text]
-    out, at = [], 0
-    while True:
-        window = text[at : at + size]
-        if at + size < len(text):
-            stop = max(window.rfind(mark + " ") for mark in ".!?;")
-            blank = window.rfind(" ")
-            if stop > size * 0.55:
-                window = window[: stop + 1]
-            elif blank > size * 0.8:
-                window = window[:blank]
-        out.append(window.strip())
-        at += len(window)
-        if at >= len(text):
-            return out
-        at = max(0, at - overlap)
+    sentences = [m.end() for m in _SENTENCE_END.finditer(text)]
+    blanks = [m.start() for m in re.finditer(" ", text)]
+
+    def last(places: list[int], low: float, high: int) -> int | None:
+        """The last of `places` in low < place < high."""
+        i = bisect_right(places, high - 1)
+        return places[i - 1] if i and places[i - 1] > low else None
+
+    spans, begin = [], 0
+    while not spans or spans[-1][1] < len(text):
+        full = begin + size
+        end = len(text)
+        if full < end:
+            end = last(sentences, begin + size * 0.55 + 1, full) or last(blanks, begin + size * 0.8, full) or full
+        spans.append((begin, end))
+        begin = end - overlap
+    return [text[a:b].strip() for a, b in spans]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -88,30 +98,42 @@ def windows(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: split_long(t) if t is not None else [])
 
 
-def _merge(chunks: pd.DataFrame) -> pd.DataFrame:
-    """Short chunks of a clause join the chunk before them; noise goes."""
-    kept: list[dict] = []
-    for c in chunks.sort_values(["page", "segment", "part"]).to_dict("records"):
-        size, table, numbered = len(c["text"]), c["type"] == "table", pd.notna(c["paragraph"])
-        last = kept[-1] if kept else None
-        if size and size < SHORT and last and numbered and last["paragraph"] == c["paragraph"] and not table and last["type"] != "table":
-            last["text"] += " " + c["text"]
-        elif table or len(c["text"].strip()) >= (NOISE_NUMBERED if numbered else NOISE):
-            kept.append(c)
-    out = pd.DataFrame(kept, columns=chunks.columns).drop(columns=["segment", "part"])
-    out["paragraph"] = out["paragraph"].astype(object).where(out["paragraph"].notna(), None)
-    out["chapter"] = out["chapter"].astype(object).where(out["chapter"].notna(), None)
-    return out.assign(ordinal=range(len(out)))
+def merged(parts: DataFrame) -> DataFrame:
+    """Short chunks of a clause join the chunk before them; noise goes.
+
+    What a chunk meets is the last one before it that is not noise: whether
+    that one stands alone or has joined another of its clause, clause and kind
+    are the same, so a window finds them and no step waits for another.
+    """
+    order = Window.partitionBy("doc_id").orderBy("page", "segment", "part")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    numbered, table = F.col("paragraph").isNotNull(), F.col("type") == "table"
+    lasting = table | (F.length(F.trim("text")) >= F.when(numbered, NOISE_NUMBERED).otherwise(NOISE))
+    rows = parts.withColumn("lasting", lasting)
+    rows = rows.withColumn("last", F.last(F.when(F.col("lasting"), F.struct("paragraph", "type")), True).over(before))
+    joins = (F.length("text") < SHORT) & (F.length("text") > 0) & ~table & (F.col("last.type") != "table") & (F.col("last.paragraph") == F.col("paragraph"))
+    rows = rows.withColumn("joins", F.coalesce(joins, F.lit(False))).where("joins or lasting")
+    rows = rows.withColumn("chunk", F.sum((~F.col("joins")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    place = F.struct("page", "segment", "part")
+    head = lambda c: F.min_by(c, place).alias(c)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("place"), "text"))), lambda x: x["text"]), " ")
+    out = rows.groupBy("doc_id", "chunk").agg(*(head(c) for c in ("page", "chapter", "paragraph", "type")), text.alias("text"))
+    return out.withColumn("ordinal", (F.col("chunk") - 1).cast("int")).drop("chunk")
 
 
 def chunk(pages: DataFrame) -> DataFrame:
-    """(doc_id, ordinal, page, chapter, paragraph, type, text, token_count) of pages."""
-    parts = segments(pages)
-    long = F.when((F.length("text") > MAX_CHARS) & (F.col("type") != "table"), windows("text")).otherwise(F.array("text"))
-    parts = parts.select("doc_id", "page", "segment", "chapter", "paragraph", "type", F.posexplode(long).alias("part", "text"))
-    kind = parts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, page {parts.schema['page'].dataType.simpleString()}, chapter string, paragraph string, type string, text string, ordinal int"
-    return parts.groupBy("doc_id").applyInPandas(_merge, schema).withColumn("token_count", tx.token_count(F.col("text")))
+    """(doc_id, page, chapter, paragraph, type, text, ordinal, token_count) of pages."""
+    rows = segments(pages)
+    long = F.when((F.length("text") > MAX_CHARS) & (F.col("type") != "table"), F.col("text"))
+    rows = rows.withColumn("windows", windows(long))
+    parts = F.when(F.size("windows") > 0, F.col("windows")).otherwise(F.array("text"))
+    rows = rows.select("doc_id", "page", "segment", "chapter", "paragraph", "type", F.posexplode(parts).alias("part", "text"))
+    return merged(rows).withColumn("token_count", tx.token_count(F.col("text")))
+
+
+def register(spark) -> None:
+    """Make chunk_text(text) known to SQL."""
+    spark.udtf.register("chunk_text", ChunkText)
 
 
 @F.udtf(returnType="ordinal: int, text: string")

@@ -13,25 +13,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.profiles import Profile
-from ..functions.text import jaccard, tokenize, trigrams
+from ..functions.text import jaccard, kept_token, raw_tokens, stem, tokenize, trigrams
 
 K1, B = 1.2, 0.75
+#: Terms of a query batch, or similar narrow rows, that go to every task; more are left to a shuffle.
+MAX_BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """`df`, marked for broadcast if it is counted to have at most `most` rows (of some 100 bytes)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def tokenized(chunks: DataFrame, profile: Profile, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, tokens): a row's tokens in order, for what needs their places."""
     return chunks.select(F.col(id_col).alias("id"), tokenize(F.col(text_col), profile).alias("tokens"))
 
 
-def postings(tokens: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """(term, id, tf); `only` keeps the terms of a query before rows multiply."""
-    kept = F.col("tokens")
-    if only is not None:
-        kept = F.filter(kept, lambda t: t.isin(only))
-    return tokens.select("id", F.explode(kept).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+def occurrences(chunks: DataFrame, profile: Profile, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, term): a row for each token; term is null for a dropped one, and once for a row without any.
+
+    Tokens are exploded before they are judged, so stopwords and stems are
+    plain expressions of generated code and not functions over arrays.  Rows
+    with a null id are not indexed.
+    """
+    rows = chunks.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode_outer(raw_tokens(F.col(text_col), profile)).alias("raw"))
+    rows = rows.select("id", F.when(kept_token(F.col("raw"), profile), stem(F.col("raw"), profile)).alias("term"))
+    return rows.select("id", F.when(kept_token(F.col("term"), profile), F.col("term")).alias("term"))
+
+
+def counted(occurrences_: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf): a row for each term of a row of text; '' stands for dropped tokens.
+
+    With `terms` (term), only those keep their name and all others add up
+    under '': what a query needs of a corpus, from one pass over it.
+    """
+    rows = occurrences_
+    if terms is not None:
+        asked = small(terms.select(F.col("term").alias("asked")).distinct())
+        rows = rows.join(asked, rows["term"] == asked["asked"], "left").select("id", "asked", F.col("term").isNotNull().cast("long").alias("one"))
+        return rows.groupBy("id", F.coalesce("asked", F.lit("")).alias("term")).agg(F.sum("one").alias("tf"))
+    return rows.groupBy("id", F.coalesce("term", F.lit("")).alias("term")).agg(F.count("term").alias("tf"))
+
+
+def postings(counted_: DataFrame) -> DataFrame:
+    """(term, id, tf) of counted rows.  The condition is on the sum too, so that
+    lengths and postings share the shuffle below it."""
+    return counted_.where(F.when(F.col("tf") > 0, F.col("term") != "")).select("term", "id", "tf")
 
 
-def lengths(tokens: DataFrame) -> DataFrame:
-    return tokens.select("id", F.size("tokens").cast("long").alias("dl"))
+def lengths(counted_: DataFrame) -> DataFrame:
+    """(id, dl): the tokens of every row, 0 included."""
+    return counted_.groupBy("id").agg(F.sum("tf").alias("dl"))
 
 
 def statistics(lengths_: DataFrame) -> DataFrame:
@@ -53,9 +86,10 @@ def query_terms(queries: DataFrame, profile: Profile, text_col: str = "text") ->
 
 def bm25(terms: DataFrame, postings_: DataFrame, lengths_: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score): sums over the distinct terms of each query."""
-    asked = postings_.join(terms.select("term").distinct(), "term", "left_semi")
+    terms = small(terms)
+    asked = postings_.join(small(terms.select("term").distinct()), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    hits = terms.join(asked, "term").join(df, "term").join(lengths_, "id").crossJoin(F.broadcast(stats))  # one row
+    hits = asked.join(terms, "term").join(df, "term").join(lengths_, "id").crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     dl = F.when(F.col("dl") == 0, F.col("avgdl")).otherwise(F.col("dl"))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * dl / F.col("avgdl")))
@@ -71,7 +105,7 @@ def top_per_query(scores: DataFrame, k: int, score: str = "score", partition: tu
 def match_all(terms: DataFrame, postings_: DataFrame) -> DataFrame:
     """(query_id, id) of the rows that hold every term of a query."""
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    found = terms.join(postings_, "term").groupBy("query_id", "id").agg(F.count("*").alias("found"))
+    found = postings_.join(small(terms), "term").groupBy("query_id", "id").agg(F.count("*").alias("found"))
     return found.join(wanted, "query_id").where("found = wanted").select("query_id", "id")
 
 

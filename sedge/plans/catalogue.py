@@ -76,13 +76,16 @@ def _asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUERIES), "query_id int, text string")
 
 
+def _counted(spark: SparkSession, sf_dir: str, terms: DataFrame | None = None) -> DataFrame:
+    return lexical.counted(lexical.occurrences(table(spark, sf_dir, "documents"), LATIN, "doc_id"), terms)
+
+
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, id, score) of the queries over whole documents."""
-    tokens = lexical.tokenized(table(spark, sf_dir, "documents"), LATIN, "doc_id")
     terms = lexical.query_terms(_asked(spark), LATIN)
-    only = sorted({r[0] for r in terms.select("term").distinct().collect()})  # terms of three queries
-    sizes = lexical.lengths(tokens)
-    out = lexical.bm25(terms, lexical.postings(tokens, only), sizes, lexical.statistics(sizes))
+    counted = _counted(spark, sf_dir, terms)
+    sizes = lexical.lengths(counted)
+    out = lexical.bm25(terms, lexical.postings(counted), sizes, lexical.statistics(sizes))
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -130,24 +133,24 @@ post AS (SELECT t AS term, id, count(*) AS tf FROM tok, unnest(tokens) AS x(t) G
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, min(id) AS first_id, max(id) AS last_id, max(tf) AS max_tf FROM post GROUP BY term"""
 )
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = lexical.postings(lexical.tokenized(table(spark, sf_dir, "documents"), LATIN, "doc_id"))
+    post = lexical.postings(_counted(spark, sf_dir))
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("tf").alias("max_tf"))
 
 
 @_query(
     f"""WITH tok AS (SELECT doc_id AS id, {_tokens("text")} AS tokens FROM documents),
 post AS (SELECT t AS term, id, count(*) AS tf FROM tok, unnest(tokens) AS x(t) GROUP BY t, id)
-SELECT term, count(*) AS df, string_agg(id || ':' || tf, ' ' ORDER BY id) AS list FROM post WHERE term LIKE 'th%' GROUP BY term"""
+SELECT term, count(*) AS df, string_agg(id || ':' || tf, ' ' ORDER BY id) AS list FROM post GROUP BY term"""
 )
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = lexical.postings(lexical.tokenized(table(spark, sf_dir, "documents"), LATIN, "doc_id")).where(F.col("term").startswith("th"))
+    post = lexical.postings(_counted(spark, sf_dir))
     entry = F.transform("list", lambda x: F.concat_ws(":", x["id"].cast("string"), x["tf"].cast("string")))
     return lexical.posting_lists(post).select("term", "df", F.array_join(entry, " ").alias("list"))
 
 
 @_query(f"""WITH len_ AS (SELECT len({_tokens("text")}) AS dl FROM documents) SELECT count(*) AS n, round(avg(dl), 2) AS avgdl FROM len_""")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.statistics(lexical.lengths(lexical.tokenized(table(spark, sf_dir, "documents"), LATIN, "doc_id")))
+    return lexical.statistics(lexical.lengths(_counted(spark, sf_dir, spark.createDataFrame([], "term string"))))
 
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(replace(lower(text), 'ё', 'е'), '[^\p{L}\p{M}\p{N}_\s\-]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -168,8 +171,7 @@ SELECT query_id, id FROM got JOIN want USING (query_id, n)"""
 )
 def fts_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = lexical.query_terms(_asked(spark), LATIN)
-    only = sorted({r[0] for r in terms.select("term").distinct().collect()})
-    return lexical.match_all(terms, lexical.postings(lexical.tokenized(table(spark, sf_dir, "documents"), LATIN, "doc_id"), only))
+    return lexical.match_all(terms, lexical.postings(_counted(spark, sf_dir, terms)))
 
 
 _FALLBACK = lexical.fallback_words("eauau schst of therion")
@@ -388,7 +390,7 @@ UNION ALL SELECT query_id, id, round(sim * 0.8, 6), 'trigram' FROM tri WHERE que
 def fallback_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame(list(_CASCADE), "query_id int, text string")
     rows = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id")
-    fts = lexical.match_all(lexical.query_terms(asked, LATIN), lexical.postings(lexical.tokenized(rows, LATIN))).withColumn("score", F.lit(1.0))
+    fts = lexical.match_all(lexical.query_terms(asked, LATIN), lexical.postings(lexical.counted(lexical.occurrences(rows, LATIN)))).withColumn("score", F.lit(1.0))
     ilike = trigram = None
     for i, t in _CASCADE:
         like = rows.where(lexical.contains_any(F.col("text"), lexical.fallback_words(t))).select(F.lit(i).alias("query_id"), "id")

@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables whose rows cost much work each.
+TEXTS = ("documents", "pages", "conversations")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts in fewer partitions than there are cores is dealt to all.
+
+    Only a table of few row groups (less than a core's share of
+    spark.sql.files.maxPartitionBytes each) is dealt, so no large one is shuffled.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,9 @@ def write_index(chunks: DataFrame, profile: Profile, path: str, vectors: DataFra
     Tokens are computed once; postings are ordered by term, so that a scan
     for a few terms skips row groups.
     """
-    tokens = lexical.tokenized(chunks, profile, id_col, text_col)
-    sizes = lexical.lengths(tokens)
-    lexical.postings(tokens).sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    sizes.write.mode("overwrite").parquet(f"{path}/lengths")
+    counted = lexical.counted(lexical.occurrences(chunks, profile, id_col, text_col))
+    counted.sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    lexical.lengths(chunks.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/lengths")
     stats = lexical.statistics(chunks.sparkSession.read.parquet(f"{path}/lengths"))
     stats.withColumns({"k1": F.lit(lexical.K1), "b": F.lit(lexical.B)}).write.mode("overwrite").parquet(f"{path}/stats")
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
@@ -35,7 +34,8 @@ def write_index(chunks: DataFrame, profile: Profile, path: str, vectors: DataFra
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "lengths", "stats")}
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "lengths", "stats")}
+    return tables | {"postings": tables["postings"].where("term <> ''")}
 
 
 def _encode(rows: pd.DataFrame) -> bytes:

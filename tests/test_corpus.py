@@ -127,3 +127,65 @@ def test_stream_quota_folds_costs(spark, tmp_path):
     jobs.quota(stream, 30).writeStream.format("memory").queryName("quota_test").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     got = {r.request_id: (r.accepted, r.used) for r in spark.table("quota_test").collect()}
     assert got == {1: (True, 20), 2: (False, 20), 3: (True, 30), 4: (True, 30), 5: (False, 30)}
+
+
+def folded(parts):
+    """Chunks by the rule itself, one after another."""
+    kept = []
+    for page, paragraph, kind, text in parts:
+        last = kept[-1] if kept else None
+        if last and 0 < len(text) < 100 and paragraph and last[1] == paragraph and "table" not in (kind, last[2]):
+            last[3] += " " + text
+        elif kind == "table" or len(text) >= (15 if paragraph else 25):
+            kept.append([page, paragraph, kind, text])
+    return kept
+
+
+def test_merging_equals_the_fold(spark):
+    import random
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for doc in range(60):
+        parts = []
+        for i in range(rng.randrange(0, 40)):
+            size = rng.choice([3, 14, 15, 24, 25, 60, 99, 100, 140])
+            parts.append((i // 7, rng.choice(["1.1", "1.1", "1.2", None]), rng.choice(["paragraph"] * 4 + ["table"]), chr(97 + i % 26) * size))
+        want[doc] = [tuple(x) for x in folded(parts)]
+        rows += [(doc, page, i, 0, None, paragraph, kind, text) for i, (page, paragraph, kind, text) in enumerate(parts)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, segment int, part int, chapter string, paragraph string, type string, text string")
+    got = {d: [] for d in want}
+    for r in chunking.merged(df).orderBy("doc_id", "ordinal").collect():
+        assert r.ordinal == len(got[r.doc_id])
+        got[r.doc_id].append((r.page, r.paragraph, r.type, r.text))
+    assert got == want
+
+
+def test_windows_follow_the_rule():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice("abcde .;! ") for _ in range(rng.randrange(0, 400)))
+        size, overlap = rng.choice([(40, 8), (60, 30), (25, 0)])
+        begin, want = 0, []
+        while True:
+            window = text[begin : begin + size]
+            if begin + size < len(text):
+                stops = [i for i in range(len(window) - 1) if window[i] in ".!?;" and window[i + 1] == " " and i > size * 0.55]
+                blanks = [i for i, c in enumerate(window) if c == " " and i > size * 0.8]
+                window = window[: stops[-1] + 1] if stops else window[: blanks[-1]] if blanks else window
+            want.append(window.strip())
+            if begin + len(window) >= len(text):
+                break
+            begin += len(window) - overlap
+        assert chunking.split_long(text, size, overlap) == (want if len(text) > size else [text])
+    with pytest.raises(ValueError):
+        chunking.split_long("x", 10, 8)
+
+
+def test_chunk_text_is_a_table_function(spark):
+    chunking.register(spark)
+    text = "Слово и дело. " * 500
+    got = spark.createDataFrame([(text,)], "t string").createOrReplaceTempView("texts") or spark.sql("SELECT c.* FROM texts, LATERAL chunk_text(t) c ORDER BY ordinal").collect()
+    assert [r.text for r in got] == chunking.split_long(text) and len(got) > 2

@@ -16,10 +16,10 @@ def corpus(spark):
 
 def test_bm25_formula(spark):
     rows = spark.createDataFrame([(1, "альфа бета бета"), (2, "бета гамма"), (3, "дельта")], "id int, text string")
-    tokens = lexical.tokenized(rows, RUSSIAN)
-    sizes = lexical.lengths(tokens)
+    counted = lexical.counted(lexical.occurrences(rows, RUSSIAN))
+    sizes = lexical.lengths(counted)
     asked = spark.createDataFrame([(1, "бета бета")], "query_id int, text string")
-    got = {r.id: r.score for r in lexical.bm25(lexical.query_terms(asked, RUSSIAN), lexical.postings(tokens), sizes, lexical.statistics(sizes)).collect()}
+    got = {r.id: r.score for r in lexical.bm25(lexical.query_terms(asked, RUSSIAN), lexical.postings(counted), sizes, lexical.statistics(sizes)).collect()}
     import math
 
     idf = math.log((3 - 2 + 0.5) / (2 + 0.5) + 1)
@@ -90,6 +90,6 @@ def test_cascade_takes_the_first_list_with_an_answer(spark):
 
 def test_index_grows_without_changing_old_postings(spark):
     _, chunks = corpus(spark)
-    terms = lambda df: {(r.term, r.id): r.tf for r in lexical.postings(lexical.tokenized(df, RUSSIAN)).collect()}
+    terms = lambda df: {(r.term, r.id): r.tf for r in lexical.postings(lexical.counted(lexical.occurrences(df, RUSSIAN))).collect()}
     small, large = terms(chunks.where("id < 9")), terms(chunks)
     assert all(large[k] == v for k, v in small.items())
