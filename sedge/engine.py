@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.profiles import RUSSIAN, Profile
+from .functions.vectors import centroid
 from .operators import answers, catalog, dense, expansion, fusion, lexical
 from .sources import artifacts
+from .sources.staging import staged
 
 
 @dataclass
@@ -45,8 +47,12 @@ class Engine:
     def search(self, queries: DataFrame, vectors: DataFrame | None = None, mode: str = "fast", filters: dict | None = None, top: int = 10) -> DataFrame:
         """Fused hits of each query with the columns of their documents.
 
-        `vectors` (query_id, qv) are the queries' embeddings.  Filters hold
-        before the candidates are cut.  mode deep expands with synonyms.
+        Full text asks for all terms of a query; deep also asks each of up to
+        three synonym variants, every one with its own limit, and keeps a
+        row's best score.  A query without a match falls back to substrings,
+        then (without dense hits as well) to trigrams.  `vectors` (query_id,
+        qv) are embeddings, one for each variant that has one: their centroid
+        is searched.  Filters hold before candidates are cut.
         """
         deep = mode == "deep"
         limit, pool = (80, 40) if deep else (50, 30)
@@ -54,18 +60,27 @@ class Engine:
         ids = seen.select("id")
         plain = queries.select("query_id", tx.normalize_query(F.col("text")).alias("text"))
         variants = expansion.expand(plain, self.profile.synonyms, 3 if deep else 1)
+        said = variants.groupBy("query_id").agg(F.collect_list(F.when(F.col("pos") > 0, F.col("variant"))).alias("more"), F.count("*").alias("n"))
+        plain = plain.join(said, "query_id").withColumn("words", lexical.fallback_words(F.col("text"), F.col("more")))
         keyed = variants.select("query_id", F.struct("query_id", "pos").alias("key"), "variant")
         terms = lexical.query_terms(keyed.select(F.col("key").alias("query_id"), "variant"), self.profile, "variant")
-        scored = lexical.bm25(terms, self.postings, self.lengths, self.stats).join(ids, "id", "left_semi")
-        lists = scored.groupBy(F.col("query_id.query_id").alias("query_id"), "id").agg(F.max("score").alias("score"))
-        lists = lexical.top_per_query(lists, limit).drop("rank")
+        scored = lexical.bm25(terms, self.postings, self.lengths, self.stats)
+        scored = scored.join(lexical.match_all(terms, self.postings), ["query_id", "id"], "left_semi").join(ids, "id", "left_semi")
+        scored = lexical.top_per_query(scored, limit).select(F.col("query_id.query_id").alias("query_id"), "id", "score", "rank")
+        each = F.greatest(F.lit(20), F.floor(F.lit(limit) / F.col("n")) + 5) if deep else F.lit(limit)
+        scored = scored.join(plain.select("query_id", "n"), "query_id").where(F.col("rank") <= each)
+        fts = lexical.top_per_query(scored.groupBy("query_id", "id").agg(F.max("score").alias("score")), limit).drop("rank")
+        fts = staged(fts, "fts")  # a few rows of each query that every later step asks for
+        near = None
         if vectors is not None and self.vectors is not None:
-            near = dense.cosine_scores(vectors, self.vectors.join(ids, "id", "left_semi"))
-            near = lexical.top_per_query(near, limit).drop("rank")
-        else:
-            near = lists.limit(0)
-        fused = fusion.server_fusion(lists, near, pool, top)
-        return catalog.search_projection(fused.join(seen, "id"))
+            mean = centroid(vectors, ["query_id"], "qv").select("query_id", F.col("centroid").alias("qv"))
+            near = dense.cosine_scores(mean, self.vectors.join(ids, "id", "left_semi"))
+            near = staged(lexical.top_per_query(near, limit).drop("rank"), "near")
+        lists = staged(lexical.cascade(fts, seen.select("id", "text"), plain, near, limit), "lists")
+        fused = fusion.server_fusion(lists.drop("source"), fts.limit(0) if near is None else near, pool, top)
+        fused = fused.join(lists.select("query_id", "id", "source"), ["query_id", "id"], "left")
+        vec = F.when(F.col("source") == "trigram", F.coalesce("vec", F.lit(0.0))).otherwise(F.col("vec"))
+        return catalog.search_projection(fused.withColumn("vec", vec).join(seen, "id"))
 
     def ask(self, queries: DataFrame, vectors: DataFrame | None = None, mode: str = "fast", filters: dict | None = None) -> DataFrame:
         """Extractive answers with the guard's verdict; unsure ones say so."""
@@ -74,7 +89,8 @@ class Engine:
         sure = hits.join(guard.where("NOT low_confidence"), "query_id", "left_semi")
         shown = sure.select("query_id", "rank", F.col("document_number").alias("number"), F.col("document_title").alias("title"), "paragraph", "page", "text", "status")
         out = answers.extractive_answers(queries, shown, F.current_date())
-        return out.join(guard, "query_id", "left").withColumn("low_confidence", F.coalesce("low_confidence", F.lit(True)))
+        out = out.join(guard, "query_id", "left").withColumn("low_confidence", F.coalesce("low_confidence", F.lit(True)))
+        return out.join(fusion.messages(queries, hits, guard), "query_id", "left")
 
     def statistics(self) -> DataFrame:
         return catalog.dashboard(self.documents, self.chunks)

@@ -143,6 +143,42 @@ def status_label(status: Column) -> Column:
     return out
 
 
+def guessed_number(sample: Column, stem: Column) -> Column:
+    """The first code number in the head of a document or its file's name, else the name (100 characters)."""
+    # Fixed value: prefixes of code numbers.
+    pattern = r"(?iu)(СН\s*РК|СП\s*РК|СНиП|ГОСТ|СТ\s*РК)[\s\-]*([\d.\-]+\s*\d*)"
+    text = F.concat_ws(" ", sample, stem)
+    found = F.concat(F.upper(F.regexp_extract(text, pattern, 1)), F.lit(" "), F.trim(F.regexp_extract(text, pattern, 2)))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.substring(stem, 1, 100))
+
+
+def guessed_title(title: Column, stem: Column) -> Column:
+    return F.coalesce(F.nullif(title, F.lit("")), F.substring(F.replace(stem, F.lit("_"), F.lit(" ")), 1, 300))
+
+
+def guessed_type(number: Column, stem: Column) -> Column:
+    """The national kinds win over СНиП, which may also stand in the file's name."""
+    up = F.upper(number)
+    snip = F.contains(up, F.lit("СНИП")) | F.contains(F.upper(stem), F.lit("СНИП"))
+    return F.when(F.contains(up, F.lit("СН РК")), "СН РК").when(F.contains(up, F.lit("СП РК")), "СП РК").when(snip, "СНиП").otherwise("НТД")
+
+
+def relevance_band(percent: Column) -> Column:
+    """The four bands in which hits are shown."""
+    return F.when(percent >= 90, "emerald").when(percent >= 75, "blue").when(percent >= 55, "amber").otherwise("slate")
+
+
+def hue(text: Column) -> Column:
+    """A stable hue (0 to 359) of a string: a 32-bit rolling hash with factor 31.
+
+    Characters beyond the basic plane count by their code point.
+    """
+    wrapped = lambda x: F.pmod(x + 2147483648, F.lit(4294967296)) - 2147483648
+    step = lambda h, c: F.ascii(c).cast("long") + wrapped(wrapped(h) * 32) - h
+    characters = F.filter(F.split(text, ""), lambda c: c != "")
+    return (F.abs(F.aggregate(characters, F.lit(0).cast("long"), step)) % 360).cast("int")
+
+
 def mask(key: Column, head: int = 4, tail: int = 4) -> Column:
     """The ends of a secret; all of a short one."""
     return F.when(F.length(key) <= head + tail, key).otherwise(F.concat(F.substring(key, 1, head), F.lit("…"), F.right(key, F.lit(tail))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .lexical import small
 
 # Phrases and messages of answers.
 NOT_FOUND_PHRASES = ("не найдено", "не содержится", "нет информации", "не предоставлено", "не содержит", "не найден")
@@ -33,6 +34,62 @@ def grounded(quote: Column, context: Column, threshold: float = 0.85) -> Column:
     return F.when(grounded_exact(quote, context), True).otherwise(F.coalesce((F.length(F.trim(quote)) >= 10) & fuzzy, F.lit(False)))
 
 
+def grounded_pairs(quotes: DataFrame, contexts: DataFrame, threshold: float = 0.85, least: int = 10) -> DataFrame:
+    """(quote_id, context_id, exact, fuzzy) of every quote that a context grounds.
+
+    All of quotes (quote_id, text) meet all of contexts (context_id, text)
+    without a cross join: a quote of n words that matches in place but for the
+    share that the threshold forgives has, of one block of words more than may
+    differ, one that matches whole, and the first three words of each block
+    are keys.  The second to fourth words are the key of an exact match, whose
+    first and last words may be parts of words.  Quotes under five words are
+    only matched exactly, by their first characters at every place of a text.
+    """
+    key = lambda words, i: F.xxhash64(F.slice(words, i, 3))
+    asked = quotes.where(F.length(F.trim("text")) >= least).select("quote_id", tx.squeeze(F.col("text")).alias("q"))
+    asked = asked.withColumn("qw", F.split("q", " ")).withColumn("n", F.size("qw"))
+    texts = contexts.select("context_id", tx.squeeze(F.col("text")).alias("c"))
+    texts = texts.withColumn("cw", F.split("c", " "))
+
+    size = F.floor(F.col("n") / (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).cast("int")
+    starts = F.sequence(F.lit(0), F.col("n") - size, size)
+    long = asked.where("n >= 5").select("quote_id", "qw", F.explode(F.array_union(F.array(F.lit(1)), starts)).alias("at"))
+    keys = small(long.select("quote_id", "at", key(F.col("qw"), F.col("at") + 1).alias("key")))
+    grams = F.transform(F.sequence(F.lit(1), F.size("cw") - 2), lambda i: key(F.col("cw"), i))
+    held = texts.where(F.size("cw") >= 3).select("context_id", F.posexplode(grams).alias("pos", "key"))
+    met = held.join(keys, "key").select("quote_id", "context_id", (F.col("pos") - F.col("at")).alias("start")).distinct()
+
+    few = asked.where("n < 5").withColumn("size", F.least(F.length("q"), F.lit(8)))
+    sizes = F.broadcast(few.select("size").distinct())  # eight at most
+    chars = F.transform(F.sequence(F.lit(1), F.length("c")), lambda i: F.xxhash64(F.substr("c", i, F.col("size"))))
+    chars = texts.where("c <> ''").crossJoin(sizes).select("context_id", "size", F.explode(F.array_distinct(chars)).alias("key"))
+    brief = few.select("quote_id", "size", F.xxhash64(F.substr("q", F.lit(1), F.col("size"))).alias("key"))
+    met = met.unionByName(chars.join(brief, ["size", "key"]).select("quote_id", "context_id", F.lit(-1).alias("start")))
+
+    both = met.join(texts, "context_id").join(asked, "quote_id")
+    fits = (F.col("n") >= 5) & (F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("cw"))
+    in_place = F.zip_with("qw", F.slice("cw", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n")), lambda a, b: a == b)
+    hits = F.size(F.filter(in_place, lambda same: same))
+    judged = both.select("quote_id", "context_id", F.contains("c", "q").alias("exact"), (fits & (hits / F.col("n") >= threshold)).alias("fuzzy"))
+    return judged.groupBy("quote_id", "context_id").agg(F.bool_or("exact").alias("exact"), F.bool_or("fuzzy").alias("fuzzy")).where("exact or fuzzy")
+
+
+def most_similar(quotes: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(quote_id, context_id, jaccard): of all contexts the one that shares most words with each quote.
+
+    Shared words are counted in a join by word, whose partial sums are one row
+    for each quote that a context shares a word with; ties go to the smaller id.
+    """
+    words = lambda c: F.array_distinct(F.split(tx.squeeze(c), " "))
+    asked = quotes.select("quote_id", words(F.col("text")).alias("w"))
+    asked = small(asked.select("quote_id", F.size("w").alias("n"), F.explode("w").alias("word")))
+    held = contexts.select("context_id", words(F.col("text")).alias("w")).select("context_id", F.size("w").alias("m"), F.explode("w").alias("word"))
+    both = held.join(asked, "word").groupBy("quote_id", "context_id", "n", "m").agg(F.count("*").alias("both"))
+    jaccard = F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 9)
+    best = F.max_by(F.struct("context_id", "jaccard"), F.struct("jaccard", -F.col("context_id")))
+    return both.select("quote_id", "context_id", jaccard.alias("jaccard")).groupBy("quote_id").agg(best.alias("best")).select("quote_id", "best.*")
+
+
 def strict_grounded(quote: Column, context: Column, said: Column) -> Column:
     """Substring grounding; without a quote the model's own flag counts."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))

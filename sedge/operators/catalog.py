@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import upload_name
+
 FILTER_KEYS = ("status", "include_expired", "type", "document_id", "language", "owner_id")
 
 
@@ -107,3 +111,62 @@ def without_answered(hits: DataFrame, answers: DataFrame) -> DataFrame:
     said = answers.select("query_id", "is_grounded")
     shown = (F.col("rank") > 1) | ~F.coalesce("is_grounded", F.lit(False))
     return hits.join(said, "query_id", "left").where(shown).drop("is_grounded")
+
+
+def chunk_page(chunks: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of a listing of chunks by page and clause; clauses sort as text ("5.10" before "5.9")."""
+    return chunks.orderBy("page", F.col("paragraph").asc_nulls_last(), "id").offset(offset).limit(limit)
+
+
+def not_noise(text: Column, kind: Column, paragraph: Column, least: int = 25, least_numbered: int = 15) -> Column:
+    """Tables, numbered chunks of 15 characters and others of 25 are worth keeping."""
+    size = F.length(F.trim(text))
+    return (kind == "table") | (size >= F.when(paragraph.isNotNull(), least_numbered).otherwise(least))
+
+
+def post_filter(hits: DataFrame, status: str | None = None, kind: str | None = None) -> DataFrame:
+    """Hits that are already cut to the best k, by status and by the upper-case prefix of their number."""
+    out = hits if status is None else hits.where(F.col("status") == status)
+    return out if kind is None else out.where(F.startswith(F.upper("number"), F.upper(F.lit(kind))))
+
+
+def history_filter(history: DataFrame, typed: str, keys: tuple[str, ...] = ("user_id",), most: int = 8) -> DataFrame:
+    """The newest entries (keys, text, ts) of each history that contain what is typed, in any case."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts"), "text"))
+    return history.where(F.contains(F.lower("text"), F.lower(F.lit(typed)))).withColumn("place", place).where(F.col("place") <= most)
+
+
+def part_total(documents: DataFrame) -> DataFrame:
+    """One row: the sum of the documents' parts, null counted as 0."""
+    return documents.agg(F.coalesce(F.sum(F.coalesce("parts", F.lit(0))), F.lit(0)).cast("long").alias("total"))
+
+
+def newest(rows: DataFrame, time: str, key: str, most: int = 20) -> DataFrame:
+    """The newest rows, ties to the larger key."""
+    return rows.orderBy(F.desc(time), F.desc(key)).limit(most)
+
+
+def corpora(**sources: DataFrame) -> DataFrame:
+    """One corpus of several, each row with the name of its source."""
+    named = [df.withColumn("corpus", F.lit(name)) for name, df in sources.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def successors_by_number(documents: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Replaced numbers (number, by_number) with the successor's id and status; of equal numbers the first document counts."""
+    first = documents.groupBy("number").agg(F.min("document_id").alias("successor_id"), F.min_by("status", "document_id").alias("successor_status"))
+    return replaced.join(first.withColumnRenamed("number", "by_number"), "by_number", "left")
+
+
+def accepted_uploads(files: DataFrame, limit: int = 100 * 1024 * 1024) -> DataFrame:
+    """Uploads (upload_id, name, size) of PDF names within the size limit, under free names.
+
+    Names are sanitised; of equal ones the later uploads get _1, _2 and so on
+    before the extension.
+    """
+    safe = upload_name(F.col("name"))
+    kept = files.where((F.col("size") <= limit) & F.lower(F.trim("name")).endswith(".pdf")).withColumn("file", safe)
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("upload_id")) - 1
+    stem = F.regexp_replace("file", r"\.[^.]*$", "")
+    kept = kept.withColumn("nth", nth)
+    return kept.withColumn("file", F.when(F.col("nth") == 0, F.col("file")).otherwise(F.concat(stem, F.lit("_"), F.col("nth").cast("string"), F.lit(".pdf")))).drop("nth")

@@ -110,22 +110,15 @@ def client_guard(queries: DataFrame, results: DataFrame, corpus_size: DataFrame,
     return all_.select("query_id", (F.col("v").isNull() | ((F.greatest("v", F.lit(0.0)) < least) & (F.col("b") < 0.005))).alias("weak"))
 
 
-def fallback_cascade(fts: DataFrame, ilike: DataFrame, trigram: DataFrame, dense: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score, source: the first lexical list that has an answer.
-
-    Full text, else substrings (score 0.5), else - if the dense list is empty
-    as well - trigrams (0.8 of the similarity).  `queries` has query_id and
-    text; substrings need 3 characters of query, trigrams 4.  All branches are
-    one plan: emptiness is a flag of each query.
-    """
-    flag = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
-    gate = queries.select("query_id", F.length("text").alias("size"))
-    for df, name in ((fts, "has_fts"), (ilike, "has_ilike"), (dense, "has_dense")):
-        gate = gate.join(flag(df, name), "query_id", "left")
-    no = lambda c: F.col(c).isNull()
-    use_ilike = no("has_fts") & (F.col("size") >= 3)
-    use_trigram = no("has_fts") & (no("has_ilike") | (F.col("size") < 3)) & no("has_dense") & (F.col("size") >= 4)
-    part = lambda df, condition, score, name: df.join(gate.where(condition).select("query_id"), "query_id", "left_semi").select("query_id", "id", score.alias("score"), F.lit(name).alias("source"))
-    found = part(fts, F.col("has_fts"), F.col("score"), "fts")
-    found = found.unionByName(part(ilike, use_ilike, F.lit(0.5), "ilike"))
-    return found.unionByName(part(trigram, use_trigram, F.col("sim") * 0.8, "trigram"))
+# What a search says beside its hits.
+NOTHING = "В доступной нормативной базе точного требования не найдено. Попробуйте переформулировать запрос, изменить фильтры или загрузите документ в Документы."
+UNSURE = "Показаны ближайшие совпадения с низкой релевантностью — попробуйте переформулировать запрос или снять фильтры."
+
+
+def messages(queries: DataFrame, hits: DataFrame, guard: DataFrame) -> DataFrame:
+    """(query_id, total_found, message): what to say of no hits or of unsure ones, else null."""
+    found = hits.groupBy("query_id").agg(F.count("*").alias("total_found"))
+    rows = queries.select("query_id").join(found, "query_id", "left").join(guard.select("query_id", "low_confidence"), "query_id", "left")
+    total = F.coalesce("total_found", F.lit(0))
+    said = F.when(total == 0, NOTHING).when(F.col("low_confidence"), UNSURE)
+    return rows.select("query_id", total.alias("total_found"), said.alias("message"))

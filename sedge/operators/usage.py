@@ -60,3 +60,12 @@ def recent(log: DataFrame, keys: list[str], value: str, most: int = 12) -> DataF
     last = log.groupBy(*keys, value).agg(F.max("ts").alias("ts"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts"), value))
     return last.withColumn("place", place).where(F.col("place") <= most)
+
+
+def trending(log: DataFrame, limit: int = 5) -> DataFrame:
+    """(key, text, n, last): the most asked queries, ties to the one asked first."""
+    key = F.lower(F.trim("text"))
+    counted = log.where(key != "").groupBy(key.alias("key")).agg(
+        F.min_by("text", "ts").alias("text"), F.count("*").alias("n"), F.max("ts").alias("last"), F.min("ts").alias("first")
+    )
+    return counted.orderBy(F.desc("n"), "first", "key").limit(limit).drop("first")

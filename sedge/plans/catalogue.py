@@ -16,6 +16,7 @@ from ..functions import vectors as vx
 from ..functions.profiles import LATIN
 from ..operators import answers, catalog, chunking, dense, expansion, fusion, lexical, usage
 from ..sources import artifacts, collected
+from ..sources.staging import shared_path
 from ..streaming import jobs
 from .tables import DOCUMENTS_SQL, LINES_SQL, LOG_SQL, documents, lines, query_log, requests, table
 
@@ -93,20 +94,25 @@ def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
-def _probes(vectors: DataFrame) -> DataFrame:
-    """The vectors of ids 1 to 3 as queries."""
-    return vectors.where("id IN (1, 2, 3)").select(F.col("id").cast("int").alias("query_id"), F.col("v").alias("qv"))
+def _probes(vectors: DataFrame, which: str = "id % 100 = 0") -> DataFrame:
+    """Vectors as queries: every hundredth."""
+    return vectors.where(which).select(F.col("id").cast("int").alias("query_id"), F.col("v").alias("qv"))
 
 
-_DENSE = """near AS (
+def _dense(which: str) -> str:
+    return f"""near AS (
   SELECT CAST(q.vec_id AS INT) AS query_id, v.vec_id AS id,
          round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings v JOIN embeddings q ON q.vec_id IN (1, 2, 3) WHERE v.embedding IS NOT NULL)"""
+  FROM embeddings v JOIN embeddings q ON {which} WHERE v.embedding IS NOT NULL)"""
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The fusions have three text queries; vectors 1 to 3 are their embeddings.
+_DENSE = _dense("q.vec_id IN (1, 2, 3)")
+
+
+def _near(spark: SparkSession, sf_dir: str, which: str = "id IN (1, 2, 3)") -> DataFrame:
     v = _unit(spark, sf_dir)
-    return dense.cosine_scores(_probes(v), v).withColumn("score", F.round("score", 6))
+    return dense.cosine_scores(_probes(v, which), v).withColumn("score", F.round("score", 6))
 
 
 # ---- lexical index and search ----------------------------------------------
@@ -114,12 +120,12 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH {_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm)
-SELECT query_id, CAST(rank AS INT) AS rank, id AS doc_id, score, source FROM r JOIN documents ON doc_id = id WHERE rank <= 10"""
+SELECT query_id, CAST(rank AS INT) AS rank, id AS doc_id, score, source FROM r LEFT JOIN documents ON doc_id = id WHERE rank <= 10"""
 )
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = lexical.top_per_query(_bm25(spark, sf_dir), 10)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    return top.join(docs, "id").select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score", "source")
+    return top.join(docs, "id", "left").select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score", "source")
 
 
 @_query(f"""SELECT doc_id, CAST(len({_tokens("text")}) AS BIGINT) AS dl, CAST(len(regexp_extract_all(text, '[^\\s]+')) AS INT) AS words FROM documents""")
@@ -174,13 +180,15 @@ def fts_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.match_all(terms, lexical.postings(_counted(spark, sf_dir, terms)))
 
 
-_FALLBACK = lexical.fallback_words("eauau schst of therion")
-
-
-@_query("SELECT doc_id, 0.5::DOUBLE AS score FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{w}')" for w in _FALLBACK) + " ORDER BY doc_id LIMIT 50")
+@_query(
+    """SELECT doc_id, 0.5::DOUBLE AS score FROM documents
+WHERE contains(lower(text), 'eauau') OR contains(lower(text), 'schst') OR contains(lower(text), 'therion') ORDER BY doc_id LIMIT 50"""
+)
 def ilike_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = table(spark, sf_dir, "documents").where(lexical.contains_any(F.col("text"), _FALLBACK))
-    return hit.select("doc_id", F.lit(0.5).alias("score")).orderBy("doc_id").limit(50)
+    asked = spark.createDataFrame([(1, "eauau schst of therion")], "query_id int, text string").withColumn("words", lexical.fallback_words(F.col("text")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hit = lexical.contains_search(rows, asked)
+    return hit.select(F.col("id").alias("doc_id"), F.lit(0.5).alias("score")).orderBy("doc_id").limit(50)
 
 
 def _sql_grams(text: str) -> str:
@@ -195,7 +203,8 @@ SELECT item_id, round(i / (t - i), 6) AS sim FROM s WHERE i / (t - i) > 0.05 ORD
 )
 def trigram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id")
-    found = lexical.trigram_search(rows, TRIGRAM_QUERY, least=0.05).withColumn("sim", F.round("sim", 6))
+    asked = spark.createDataFrame([(1, TRIGRAM_QUERY)], "query_id int, text string")
+    found = lexical.trigram_search(rows, asked, least=0.05).withColumn("sim", F.round("sim", 6))
     return found.select(F.col("id").alias("item_id"), "sim").orderBy(F.desc("sim"), "item_id").limit(20)
 
 
@@ -205,11 +214,12 @@ _COVER = ("ea", "or", "on")
 @_query(
     f"""WITH tok AS (SELECT doc_id AS id, {_tokens("text")} AS tokens FROM documents),
 w AS (SELECT id, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM tok),
-p AS (SELECT id, i, {", ".join(f"max(CASE WHEN t = '{t}' THEN i END) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p{k}" for k, t in enumerate(_COVER))}
-  FROM w WHERE t IN {_COVER}),
-l AS (SELECT id, i, CASE WHEN p0 IS NOT NULL AND p1 IS NOT NULL AND p2 IS NOT NULL THEN least(p0, p1, p2) END AS low FROM p),
+o AS (SELECT id, t, i, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM w WHERE t IN {_COVER}),
+p AS (SELECT id, i, n, {", ".join(f"max(CASE WHEN t = '{t}' THEN i END) OVER u AS p{k}, max(CASE WHEN t = '{t}' THEN n END) OVER u AS n{k}" for k, t in enumerate(_COVER))}
+  FROM o WINDOW u AS (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+l AS (SELECT id, i, n, least(p0, p1, p2) AS low, least(n0, n1, n2) AS first_ FROM p WHERE p0 IS NOT NULL AND p1 IS NOT NULL AND p2 IS NOT NULL),
 f AS (SELECT *, lag(low) OVER (PARTITION BY id ORDER BY i) AS before FROM l)
-SELECT id, round(sum(1 / (i - low + 1)), 6) AS score FROM f WHERE low IS NOT NULL AND (before IS NULL OR low > before) GROUP BY id ORDER BY score DESC, id LIMIT 50"""
+SELECT id, round(sum(0.1 / (1 + (i - low) - (n - first_))), 6) AS score FROM f WHERE before IS NULL OR low > before GROUP BY id ORDER BY score DESC, id LIMIT 50"""
 )
 def cover_density_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = lexical.tokenized(table(spark, sf_dir, "documents"), LATIN, "doc_id")
@@ -221,11 +231,11 @@ def cover_density_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near)
+    f"""WITH {_dense("q.vec_id % 100 = 0")}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM near)
 SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"""
 )
 def knn_cosine_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_per_query(_near(spark, sf_dir), 10).select("query_id", "id", "score", F.col("rank").cast("int").alias("rank"))
+    return lexical.top_per_query(_near(spark, sf_dir, "id % 100 = 0"), 10).select("query_id", "id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 _INT8 = """sc AS (
@@ -237,7 +247,7 @@ qz AS (SELECT vec_id, embedding, scale, list_transform(embedding, lambda x: grea
 @_query(
     f"""WITH {_INT8}, s AS (
   SELECT CAST(p.vec_id AS INT) AS query_id, z.vec_id AS id, round(z.scale * list_dot_product(CAST(z.q AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
-  FROM qz z JOIN embeddings p ON p.vec_id IN (1, 2, 3)),
+  FROM qz z JOIN embeddings p ON p.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"""
 )
@@ -273,9 +283,9 @@ def centroid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- expansion, fusion, guards ---------------------------------------------
 
 
-def _first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 characters of each benchmark passage as queries."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.squeeze(F.substring("text", 1, 40)).alias("text"))
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's passages as queries."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.squeeze(F.col("text")).alias("text"))
 
 
 def _sql_variants(first_only: bool) -> str:
@@ -294,11 +304,11 @@ def _sql_expand(first_only: bool, name: str) -> str:
 
 
 @_query(
-    rf"""WITH b AS (SELECT item_id AS query_id, trim(regexp_replace(replace(lower(substr(text, 1, 40)), 'ё', 'е'), '\s+', ' ', 'g')) AS text FROM benchmark)
+    rf"""WITH b AS (SELECT item_id AS query_id, trim(regexp_replace(replace(lower(text), 'ё', 'е'), '\s+', ' ', 'g')) AS text FROM benchmark)
 {_sql_expand(False, "server")} UNION ALL {_sql_expand(True, "client")}"""
 )
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _first_words(spark, sf_dir)
+    asked = _passages(spark, sf_dir)
     server = expansion.expand(asked, LATIN.synonyms).withColumn("kind", F.lit("server"))
     return server.unionByName(expansion.expand(asked, LATIN.synonyms, first_only=True).withColumn("kind", F.lit("client")))
 
@@ -367,37 +377,29 @@ def confidence_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CASCADE = ((1, "the ea tion of and inthe"), (2, "zzqx the"), (3, "zzzz qqqq"), (4, "therion onthe andthe zz"))
 
 
-def _sql_contains(text: str, query: str) -> str:
-    return " OR ".join(f"contains(lower({text}), '{w}')" for w in lexical.fallback_words(query)) or "false"
-
-
 @_query(
     f"""WITH asked AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in _CASCADE)}) AS q(query_id, text)),
 term AS (SELECT DISTINCT query_id, t AS term FROM asked, unnest({_tokens("text")}) AS x(t)),
-tok AS (SELECT item_id AS id, text, {_tokens("text")} AS tokens FROM benchmark),
+tok AS (SELECT doc_id AS id, text, {_tokens("text")} AS tokens FROM documents),
 post AS (SELECT DISTINCT t AS term, id FROM tok, unnest(tokens) AS x(t)),
 want AS (SELECT query_id, count(*) AS n FROM term GROUP BY query_id),
 fts AS (SELECT query_id, id FROM (SELECT query_id, id, count(*) AS n FROM term JOIN post USING (term) GROUP BY query_id, id) JOIN want USING (query_id, n)),
-like_ AS ({" UNION ALL ".join(f"SELECT {i} AS query_id, id FROM tok WHERE {_sql_contains('text', t)}" for i, t in _CASCADE)}),
+word AS (SELECT * FROM (VALUES (1, 'the'), (1, 'tion'), (1, 'and'), (1, 'inthe'), (2, 'zzqx'), (2, 'the'), (3, 'zzzz'), (3, 'qqqq'), (4, 'therion'), (4, 'onthe'), (4, 'andthe')) AS w(query_id, word)),
+like_ AS (SELECT DISTINCT query_id, id FROM tok JOIN word ON contains(lower(text), word) WHERE query_id NOT IN (SELECT query_id FROM fts)),
+rest AS (SELECT * FROM asked WHERE query_id NOT IN (SELECT query_id FROM fts) AND query_id NOT IN (SELECT query_id FROM like_)),
+gram AS (SELECT id, {_sql_grams("text")} AS a FROM tok),
 tri AS (
-  SELECT query_id, id, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS sim FROM (
-    SELECT query_id, id, {_sql_grams("tok.text")} AS a, {_sql_grams("asked.text")} AS b FROM tok, asked)
-  WHERE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) > 0.02)
+  SELECT query_id, id, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS sim FROM gram, (SELECT query_id, {_sql_grams("text")} AS b FROM rest))
 SELECT query_id, id, 1.0::DOUBLE AS score, 'fts' AS source FROM fts
-UNION ALL SELECT query_id, id, 0.5::DOUBLE, 'ilike' FROM like_ WHERE query_id NOT IN (SELECT query_id FROM fts)
-UNION ALL SELECT query_id, id, round(sim * 0.8, 6), 'trigram' FROM tri WHERE query_id NOT IN (SELECT query_id FROM fts) AND query_id NOT IN (SELECT query_id FROM like_)"""
+UNION ALL SELECT query_id, id, 0.5::DOUBLE, 'ilike' FROM like_
+UNION ALL SELECT query_id, id, round(sim * 0.8, 6), 'trigram' FROM tri WHERE sim > 0.002"""
 )
 def fallback_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame(list(_CASCADE), "query_id int, text string")
-    rows = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id")
-    fts = lexical.match_all(lexical.query_terms(asked, LATIN), lexical.postings(lexical.counted(lexical.occurrences(rows, LATIN)))).withColumn("score", F.lit(1.0))
-    ilike = trigram = None
-    for i, t in _CASCADE:
-        like = rows.where(lexical.contains_any(F.col("text"), lexical.fallback_words(t))).select(F.lit(i).alias("query_id"), "id")
-        tri = lexical.trigram_search(rows, t, least=0.02).withColumn("query_id", F.lit(i))
-        ilike, trigram = (like, tri) if ilike is None else (ilike.unionByName(like), trigram.unionByName(tri))
-    nothing = fts.select("query_id", "id", "score").where("1 = 0")
-    return fusion.fallback_cascade(fts, ilike, trigram, nothing, asked).withColumn("score", F.round("score", 6))
+    asked = spark.createDataFrame(list(_CASCADE), "query_id int, text string").withColumn("words", lexical.fallback_words(F.col("text")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    terms = lexical.query_terms(asked, LATIN)
+    fts = lexical.match_all(terms, lexical.postings(_counted(spark, sf_dir, terms))).withColumn("score", F.lit(1.0))
+    return lexical.cascade(fts, rows, asked, least=0.002).withColumn("score", F.round("score", 6))
 
 
 # ---- filters, catalogue ----------------------------------------------------
@@ -466,13 +468,13 @@ def chunk_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {DOCUMENTS_SQL}, p AS (SELECT user_id, event_id % 1000 AS document_id, min(ts) AS created_at FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+    f"""WITH {DOCUMENTS_SQL}, p AS (SELECT user_id, event_id AS document_id, min(ts) AS created_at FROM events WHERE event_type = 'click' GROUP BY 1, 2),
 r AS (SELECT user_id, document_id, number, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, document_id DESC) AS place FROM p JOIN docs USING (document_id))
 SELECT user_id, document_id, number, CAST(place AS INT) AS place FROM r WHERE place <= 50"""
 )
 def pins_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = table(spark, sf_dir, "events").where("event_type = 'click'")
-    pinned = clicks.select("user_id", (F.col("event_id") % 1000).alias("document_id"), F.col("ts").alias("created_at"))
+    pinned = clicks.select("user_id", F.col("event_id").alias("document_id"), F.col("ts").alias("created_at"))
     out = catalog.pins(pinned, documents(spark, sf_dir).select("document_id", "number"))
     return out.select("user_id", "document_id", "number", F.col("place").cast("int").alias("place"))
 
@@ -529,7 +531,8 @@ def new_remote_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.groupBy("target").agg(F.min("page_id").alias("page_id"))
 
 
-_LINK = collected.LINK.replace("'", "''")
+# The SQL has a narrower pattern of its own: links of the given pages have an href alone.
+_LINK = '<a href="([^"]*)">([^<]*)</a>'
 
 
 @_query(
@@ -581,12 +584,18 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(_numbered(spark, sf_dir))
 
 
+_PAGES = r"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+line AS (
+  SELECT doc_id, i, i // 20 AS page, CASE WHEN i % 10 = 0 THEN 'Глава ' || (i // 10 + 1) WHEN i % 10 = 7 THEN 'Таблица ' || i || ' ' || t WHEN i % 3 = 1 THEN '5.' || i || ' ' || t ELSE t END AS t FROM raw),
+page AS (SELECT doc_id, page, string_agg(t, chr(10) ORDER BY i) AS text FROM line GROUP BY doc_id, page)"""
+
+
 @_query(
-    """WITH p AS (SELECT doc_id AS d, doc_id % 4 AS doc_id, text FROM documents)
-SELECT doc_id, avg(CASE WHEN length(trim(text, ' ')) > 40 THEN 1 ELSE 0 END) < 0.5 OR avg(length(trim(text, ' '))) < 80 AS is_scanned FROM p GROUP BY doc_id"""
+    f"""WITH {_PAGES}
+SELECT doc_id, avg(CASE WHEN length(trim(text, ' ')) > 40 THEN 1 ELSE 0 END) < 0.5 OR avg(length(trim(text, ' '))) < 80 AS is_scanned FROM page GROUP BY doc_id"""
 )
 def scan_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.scan_flags(table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("doc_id"), "text"))
+    return chunking.scan_flags(_numbered(spark, sf_dir))
 
 
 # ---- grounding and answers -------------------------------------------------
@@ -594,61 +603,50 @@ def scan_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQUEEZE = r"trim(regexp_replace(replace(lower({}), 'ё', 'е'), '\s+', ' ', 'g'))"
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the benchmark passage of its id modulo 40, cut to a quote of 60 characters."""
-    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 40).alias("k"), "item_id", F.substring("text", 1, 60).alias("quote"))
-    items = items.groupBy("k").agg(F.min_by("quote", "item_id").alias("quote"))
-    return table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 40).join(items, "k")
-
-
-_PAIRS = """pair AS (
-  SELECT doc_id, text, quote FROM documents JOIN (SELECT item_id % 40 AS k, arg_min(substr(text, 1, 60), item_id) AS quote FROM benchmark GROUP BY 1) ON doc_id % 40 = k)"""
-
-
 @_query(
     rf"""WITH items AS (SELECT item_id, {_SQUEEZE.format("text")} AS q FROM benchmark WHERE length(trim(text, ' ')) >= 10), d AS (SELECT doc_id, {_SQUEEZE.format("text")} AS c FROM documents)
 SELECT doc_id, count(*) AS passages, min(item_id) AS first_item FROM d JOIN items ON contains(c, q) GROUP BY doc_id"""
 )
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that stand in documents, found by the first three words of a passage."""
-    key = lambda words, i: F.xxhash64(F.slice(words, i, 3))
-    items = table(spark, sf_dir, "benchmark").where(F.length(F.trim("text")) >= 10).select("item_id", tx.squeeze(F.col("text")).alias("q"))
-    items = items.withColumn("w", F.split("q", " "))
-    # a substring may start and end within words: the words from the second on decide, short passages go by their own length
-    long = items.where(F.size("w") >= 5).withColumn("key", key(F.col("w"), 2))
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.squeeze(F.col("text")).alias("c"))
-    words = docs.withColumn("w", F.split("c", " "))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: key(F.col("w"), i)))
-    met = words.select("doc_id", "c", F.explode(starts).alias("key")).join(F.broadcast(long.select("item_id", "q", "key")), "key")
-    short = docs.crossJoin(F.broadcast(items.where(F.size("w") < 5).select("item_id", "q")))
-    hit = met.select("doc_id", "item_id", "c", "q").unionByName(short.select("doc_id", "item_id", "c", "q")).where(F.contains("c", "q"))
-    return hit.groupBy("doc_id").agg(F.count_distinct("item_id").alias("passages"), F.min("item_id").alias("first_item"))
-
-
-@_query(
-    rf"""WITH {_PAIRS}, w AS (SELECT doc_id, quote, string_split({_SQUEEZE.format("quote")}, ' ') AS q, string_split({_SQUEEZE.format("text")}, ' ') AS c FROM pair),
-m AS (
-  SELECT doc_id, contains(array_to_string(c, ' '), array_to_string(q, ' ')) AS exact,
-         coalesce(list_max(list_transform(range(1, greatest(len(c) - len(q) + 2, 1)), lambda i: len(list_filter(range(1, len(q) + 1), lambda j: q[j] = c[i + j - 1])) / len(q))), 0) AS best, len(q) AS n, length(trim(quote, ' ')) AS size FROM w)
-SELECT doc_id, size >= 10 AND exact AS exact, size >= 10 AND (exact OR (n >= 5 AND best >= 0.85)) AS fuzzy FROM m"""
+    found = answers.grounded_pairs(*_quotes(spark, sf_dir)).where("exact")
+    return found.groupBy(F.col("context_id").alias("doc_id")).agg(F.count("*").alias("passages"), F.min("quote_id").alias("first_item"))
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All passages of the benchmark as quotes, all documents as contexts."""
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
+    return quotes, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("context_id"), "text")
+
+
+@_query(
+    rf"""WITH q AS (SELECT item_id, {_SQUEEZE.format("text")} AS q FROM benchmark WHERE length(trim(text, ' ')) >= 10),
+d AS (SELECT doc_id, {_SQUEEZE.format("text")} AS c FROM documents),
+qw AS (SELECT item_id, unnest(string_split(q, ' ')) AS word, generate_subscripts(string_split(q, ' '), 1) AS j, len(string_split(q, ' ')) AS n FROM q),
+dw AS (SELECT doc_id, unnest(string_split(c, ' ')) AS word, generate_subscripts(string_split(c, ' '), 1) AS i, len(string_split(c, ' ')) AS m FROM d),
+near AS (
+  SELECT DISTINCT doc_id, item_id FROM (
+    SELECT doc_id, item_id, i - j AS start, count(*) AS hits, any_value(n) AS n, any_value(m) AS m FROM dw JOIN qw USING (word) WHERE n >= 5 GROUP BY doc_id, item_id, i - j)
+  WHERE hits / n >= 0.85 AND start >= 0 AND start + n <= m),
+same AS (SELECT doc_id, item_id FROM d JOIN q ON contains(c, q))
+SELECT doc_id, item_id, same.doc_id IS NOT NULL AS exact, true AS grounded FROM near FULL JOIN same USING (doc_id, item_id)"""
 )
 def quote_grounding_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir)
-    quote, text = F.col("quote"), F.col("text")
-    return rows.select("doc_id", answers.grounded_exact(quote, text).alias("exact"), answers.grounded(quote, text).alias("fuzzy"))
+    found = answers.grounded_pairs(*_quotes(spark, sf_dir))
+    return found.select(F.col("context_id").alias("doc_id"), F.col("quote_id").alias("item_id"), "exact", (F.col("exact") | F.col("fuzzy")).alias("grounded"))
 
 
 @_query(
-    rf"""WITH b AS (SELECT item_id, item_id % 40 AS query_id, list_distinct(string_split({_SQUEEZE.format("text")}, ' ')) AS w FROM benchmark WHERE item_id < 40),
-d AS (SELECT doc_id % 40 AS query_id, doc_id AS pos, list_distinct(string_split({_SQUEEZE.format("text")}, ' ')) AS c FROM documents),
-s AS (SELECT query_id, pos, round(len(list_intersect(w, c)) / (len(w) + len(c) - len(list_intersect(w, c))), 9) AS jaccard FROM b JOIN d USING (query_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC, pos) AS place FROM s)
-SELECT query_id, pos, round(jaccard, 6) AS jaccard FROM r WHERE place = 1"""
+    rf"""WITH b AS (SELECT item_id, list_distinct(string_split({_SQUEEZE.format("text")}, ' ')) AS w FROM benchmark),
+d AS (SELECT doc_id, list_distinct(string_split({_SQUEEZE.format("text")}, ' ')) AS c FROM documents),
+n AS (SELECT item_id, doc_id, count(*) AS shared FROM (SELECT item_id, unnest(w) AS x FROM b) JOIN (SELECT doc_id, unnest(c) AS x FROM d) USING (x) GROUP BY item_id, doc_id),
+s AS (SELECT item_id, doc_id, round(shared / (len(w) + len(c) - shared), 9) AS jaccard FROM n JOIN b USING (item_id) JOIN d USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY jaccard DESC, doc_id) AS place FROM s)
+SELECT item_id, doc_id, round(jaccard, 6) AS jaccard FROM r WHERE place = 1"""
 )
 def best_quote_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes = table(spark, sf_dir, "benchmark").where("item_id < 40").select((F.col("item_id") % 40).alias("query_id"), F.col("text").alias("quote"))
-    contexts = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("pos"), "text")
-    return answers.best_quotes(quotes, contexts).select("query_id", "pos", F.round("jaccard", 6).alias("jaccard"))
+    """The document that shares most words with each passage, over all documents."""
+    best = answers.most_similar(*_quotes(spark, sf_dir))
+    return best.select(F.col("quote_id").alias("item_id"), F.col("context_id").alias("doc_id"), F.round("jaccard", 6).alias("jaccard"))
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -674,14 +672,14 @@ def answer_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    r"""WITH t AS (SELECT conv_id, turn, regexp_replace(substr(text, 1, 80), '["\\\n\r\t{}]', ' ', 'g') AS plain FROM conversations WHERE role = 'assistant'),
+    r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '["\\\n\r\t{}]', ' ', 'g') AS plain FROM conversations WHERE role = 'assistant'),
 c AS (SELECT conv_id, turn, regexp_replace(plain, ',\s*([}\]])', '\1', 'g') AS plain FROM t)
-SELECT conv_id, turn, '{"answer": "' || plain || '", "pages": [1, 2]}' AS json, plain AS answer FROM c"""
+SELECT conv_id, turn, '{"answer": "' || plain || '", "pages": [1, 2]}' AS json, substr(plain, 1, 800) AS answer FROM c"""
 )
 def llm_output_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model outputs made from turns: thoughts, fences and trailing commas around an answer."""
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    plain = F.regexp_replace(F.substring("text", 1, 80), r'["\\\n\r\t{}]', " ")
+    plain = F.regexp_replace("text", r'["\\\n\r\t{}]', " ")
     raw = F.concat(F.lit("<think>hm</think>```json\n{\"answer\": \""), plain, F.lit("\", \"pages\": [1, 2,],}\n``` end"))
     return answers.repaired_output(turns.select("conv_id", "turn", raw.alias("text"))).select("conv_id", "turn", "json", "answer")
 
@@ -744,7 +742,7 @@ def usage_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
     rows = jobs.usage_windows(source.select(F.col("user_id").cast("string").alias("subject"), "ts"))
-    out = jobs.run_to_end(rows, jobs.shared_path(spark, "usage"), jobs.shared_path(spark, "usage-state"))
+    out = jobs.run_to_end(rows, shared_path(spark, "usage"), shared_path(spark, "usage-state"))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -795,8 +793,10 @@ def type_and_status_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("document_id", tx.status_label(F.col("status")).alias("label"), tx.document_type(F.col("number")).alias("kind"), tx.safe_name(F.col("title")).alias("file"), tx.mask(F.col("checksum")).alias("masked"))
 
 
-@_query("SELECT vec_id AS id, true AS same FROM embeddings WHERE embedding IS NOT NULL")
+@_query(f"""WITH {_INT8} SELECT vec_id AS id, CAST(scale AS FLOAT)::DOUBLE AS scale, CAST(list_sum(q) AS BIGINT) AS total, CAST(q[1] AS INT) AS first, CAST(q[len(q)] AS INT) AS last FROM qz""")
 def snv1_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = vx.quantize(_unit(spark, sf_dir).where("v is not null"), "v").select("id", F.col("scale").cast("float").alias("scale"), "q")
-    back = artifacts.decode_shards(artifacts.encode_shards(z)).withColumnRenamed("q", "q2").withColumnRenamed("scale", "scale2")
-    return z.join(back, "id").select("id", ((F.col("q") == F.col("q2")) & (F.col("scale") == F.col("scale2"))).alias("same"))
+    back = artifacts.decode_shards(artifacts.encode_shards(z))
+    total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    ends = [F.element_at("q", i).cast("int").alias(name) for i, name in ((1, "first"), (-1, "last"))]
+    return back.select("id", F.col("scale").cast("double").alias("scale"), total.alias("total"), *ends)

@@ -48,13 +48,13 @@ DOCUMENTS_SQL = """docs AS (
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of documents as chunks: id = 1000 a document and the line's number."""
+    """The lines of documents as chunks: id = 2^32 a document and the line's number."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    return rows.where("trim(text) <> ''").select((F.col("doc_id") * 1000000 + F.col("pos")).alias("id"), F.col("doc_id").alias("document_id"), F.col("pos").alias("page"), "text")
+    return rows.where("trim(text) <> ''").select((F.col("doc_id") * 4294967296 + F.col("pos")).alias("id"), F.col("doc_id").alias("document_id"), F.col("pos").alias("page"), "text")
 
 
 LINES_SQL = """lines AS (
-  SELECT doc_id * 1000000 + pos AS id, doc_id AS document_id, CAST(pos AS INT) AS page, text FROM (
+  SELECT doc_id * 4294967296 + pos AS id, doc_id AS document_id, CAST(pos AS INT) AS page, text FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
   WHERE trim(text, ' ') <> '')"""
 
@@ -67,10 +67,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The users' turns as a log of queries (their first 12 characters)."""
+    """The users' turns as a log of queries; each conversation is a user's."""
     rows = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return rows.select((F.col("conv_id") % 20).alias("user_id"), F.substring("text", 1, 12).alias("text"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ts"))
+    return rows.select(F.col("conv_id").alias("user_id"), "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("ts"))
 
 
 LOG_SQL = """log AS (
-  SELECT conv_id % 20 AS user_id, substr(text, 1, 12) AS text, conv_id * 1000 + turn AS ts FROM conversations WHERE role = 'user')"""
+  SELECT conv_id AS user_id, text, conv_id * 1000 + turn AS ts FROM conversations WHERE role = 'user')"""

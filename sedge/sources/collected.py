@@ -60,3 +60,23 @@ def with_metadata(documents: DataFrame, sidecar: DataFrame) -> DataFrame:
     side = sidecar.select("stem", F.col("number").alias("side_number"), F.col("title").alias("side_title"))
     out = documents.join(side, "stem", "left")
     return out.withColumn("number", F.coalesce("side_number", "number")).withColumn("title", F.coalesce("side_title", "title", "stem")).drop("side_number", "side_title")
+
+
+def page_texts(blocks: DataFrame, plain: DataFrame, share: float = 0.9, least: int = 40) -> DataFrame:
+    """(doc_id, page, text, has_text, x0, y0, x1, y1) of extracted pages.
+
+    blocks: doc_id, page, x0, y0, x1, y1, text; plain: doc_id, page, text.
+    Blocks are read in rows of 20 points, from the left; their text is taken
+    if it has more than `share` of the plain text's length, or the plain text
+    is empty.  The box is that of the first block.
+    """
+    order = F.struct(F.bround(F.col("y0") / 20).alias("row"), "x0", "y0", "text")
+    box = F.struct("x0", "y0", "x1", "y1")
+    kept = blocks.where(F.trim("text") != "")
+    read = F.transform(F.sort_array(F.collect_list(order)), lambda b: b["text"])
+    rows = kept.groupBy("doc_id", "page").agg(F.array_join(read, "\n").alias("by_block"), F.min_by(box, order).alias("box"))
+    both = plain.withColumnRenamed("text", "plain").join(rows, ["doc_id", "page"], "full_outer")
+    size = lambda c: F.length(F.trim(F.coalesce(c, F.lit(""))))
+    text = F.when((size("by_block") > size("plain") * share) | (size("plain") == 0), F.coalesce("by_block", F.lit(""))).otherwise(F.col("plain"))
+    out = both.select("doc_id", "page", text.alias("text"), "box.*")
+    return out.withColumn("has_text", F.length(F.trim("text")) > least)

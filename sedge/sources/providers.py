@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.answers import repaired_output, strict_grounded
+
 
 class Embedder(Protocol):
     dim: int
@@ -78,3 +80,34 @@ def file_pages(files: DataFrame, reader: PageReader) -> DataFrame:
                 yield pd.DataFrame({"path": [path] * len(pages), "page": range(1, len(pages) + 1), "text": pages})
 
     return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
+
+
+#: What a model is asked, with its temperature and its most tokens.
+FAST = "Выдержки из нормативов:\n{context}\n\nЗапрос: {query}\n\nОтветь в 2-4 предложениях только по выдержкам. Верни один объект JSON: answer, normative_basis, paragraph, page, quote (дословно), status."
+DEEP = "Выдержки из разных нормативов:\n{context}\n\nЗапрос: {query}\n\nСравни документы, отметь противоречия и приоритет действующих, ответь в 4-7 предложениях только по выдержкам. Верни один объект JSON: answer, normative_basis, paragraph, page, quote (дословно), status."
+MODES = {"fast": (FAST, 0.1, 1000), "deep": (DEEP, 0.15, 1600)}
+STRICTER = "\n\nВажно: quote должна быть дословным фрагментом выдержек."
+
+
+def generate_grounded(queries: DataFrame, contexts: DataFrame, provider: Generator, mode: str = "fast") -> DataFrame:
+    """(query_id, output, quote, is_grounded, retried) of queries (query_id, text).
+
+    An answer whose quote no context holds is asked for once more with a
+    stricter prompt; the second answer counts, grounded or not.
+    """
+    template = MODES[mode][0]
+
+    def judged(asked: DataFrame) -> DataFrame:
+        said = generate(asked, provider).withColumnRenamed("output", "text")
+        said = repaired_output(said).withColumn("quote", F.get_json_object("json", "$.quote"))
+        grounded = strict_grounded(F.col("quote"), F.col("context"), F.lit(False))
+        return said.join(contexts, "query_id").select("query_id", F.col("text").alias("output"), "quote", grounded.alias("is_grounded"))
+
+    asked = prompts(queries, contexts, template)
+    first = judged(asked)
+    missed = first.where("NOT is_grounded").select("query_id")
+    again = judged(asked.join(missed, "query_id", "left_semi").withColumn("prompt", F.concat("prompt", F.lit(STRICTER))))
+    again = again.select("query_id", *(F.col(c).alias(f"again_{c}") for c in ("output", "quote", "is_grounded")))
+    both = first.join(again, "query_id", "left").withColumn("retried", F.col("again_is_grounded").isNotNull())
+    later = lambda c: F.when(F.col("retried"), F.col(f"again_{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("query_id", later("output"), later("quote"), later("is_grounded"), "retried")

@@ -2,34 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sedge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Read all input of a stream and return its result as a table at `path`."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+        # a batch that is run again replaces itself; in complete mode the last one is the result
+        part = path if mode == "complete" else f"{path}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(part)
 
     job = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     job.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    rows = stream.sparkSession.read.schema(stream.schema)
+    return rows.parquet(path) if mode == "complete" else rows.option("recursiveFileLookup", True).parquet(path)
 
 
 def usage_windows(events: DataFrame, width: str = "1 day", late: str = "1 day", keys: tuple[str, ...] = ("subject",)) -> DataFrame:
@@ -43,20 +35,22 @@ def quota(requests: DataFrame, limit: int) -> DataFrame:
     """Lifetime quota of a stream of (subject, request_id, cost): accepted or not.
 
     The state of a subject is what it has used; a rejected request costs
-    nothing.  Costs may vary, so this is a fold and not a count.
+    nothing.  Costs may vary, so this is a fold and not a count: in one trigger
+    a subject's requests are taken in the order of their ids, whatever batches
+    they come in (three numbers of each are held until then).
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        for pdf in batches:
-            accepted, after = [], []
-            for cost in pdf.sort_values("request_id")["cost"].tolist():
-                fits = used + cost <= limit
-                used += cost if fits else 0
-                accepted.append(fits)
-                after.append(used)
-            yield pd.DataFrame({"subject": key[0], "request_id": pdf["request_id"].sort_values().to_numpy(), "accepted": accepted, "used": after})
+        rows = pd.concat([pdf[["request_id", "cost"]] for pdf in batches]).sort_values("request_id")
+        accepted, after = [], []
+        for cost in rows["cost"].tolist():
+            fits = used + cost <= limit
+            used += cost if fits else 0
+            accepted.append(fits)
+            after.append(used)
         state.update((used,))
+        yield pd.DataFrame({"subject": key[0], "request_id": rows["request_id"].to_numpy(), "accepted": accepted, "used": after})
 
     schema = "subject string, request_id long, accepted boolean, used long"
     return requests.groupBy("subject").applyInPandasWithState(run, schema, "used long", "append", GroupStateTimeout.NoTimeout)

@@ -81,11 +81,27 @@ def test_tenancy_has_three_states(spark):
 
 
 def test_cascade_takes_the_first_list_with_an_answer(spark):
-    q = spark.createDataFrame([(1, "abcd"), (2, "abcd"), (3, "abcd"), (4, "abcd"), (5, "ab")], "query_id int, text string")
-    row = lambda *ids: spark.createDataFrame([(i, 7, 0.9) for i in ids], "query_id int, id int, score double")
-    tri = row(1, 2, 3, 4, 5).withColumnRenamed("score", "sim")
-    got = {r.query_id: (r.source, r.score) for r in fusion.fallback_cascade(row(1), row(1, 2), tri, row(4), q).collect()}
-    assert got == {1: ("fts", 0.9), 2: ("ilike", 0.5), 3: ("trigram", pytest.approx(0.72))}
+    asked = [(1, "abcd", ["abcd"]), (2, "zebra x", ["zebra"]), (3, "quicks silvers", ["quicks", "silvers"]), (4, "quicks silvers", ["quicks"]), (5, "ab", ["ab"]), (6, "zzzzzz", [])]
+    q = spark.createDataFrame(asked, "query_id int, text string, words array<string>")
+    rows = spark.createDataFrame([(7, "ZEBRAS run"), (8, "quick silver"), (9, None)], "id int, text string")
+    scored = lambda *ids: spark.createDataFrame([(i, 7, 0.9) for i in ids], "query_id int, id int, score double")
+    got = {(r.query_id, r.id): (r.source, r.score) for r in lexical.cascade(scored(1), rows, q, scored(4)).collect()}
+    assert got == {(1, 7): ("fts", 0.9), (2, 7): ("ilike", 0.5), (3, 8): ("trigram", pytest.approx(0.8 * 11 / 17))}
+
+
+def test_deep_search_needs_all_terms_of_a_variant_and_averages_vectors(spark, tmp_path):
+    docs, chunks = corpus(spark)
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i else [0.6, 0.8]) for i in (0, 1, 2, 3)], "id int, v array<double>")
+    engine = Engine.index(docs, chunks, str(tmp_path / "index"), vectors)
+    engine.vectors = vectors
+    asked = spark.createDataFrame([(1, "ширина коридора"), (2, "ккоридор"), (3, "широкий коридор")], "query_id int, text string")
+    qv = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id int, qv array<double>")
+    deep = engine.search(asked, qv, "deep").collect()
+    first = next(r for r in deep if r.query_id == 1 and r.id == 0)
+    assert first.source == "fts" and first.vec == pytest.approx(1.4 / 2**0.5, abs=1e-6)
+    assert {r.source for r in deep if r.query_id == 3} == {"ilike"} and any(r.query_id == 3 for r in deep)
+    said = {r.query_id: r.message for r in engine.ask(asked).collect()}
+    assert said[1] is None or said[1] == fusion.UNSURE
 
 
 def test_index_grows_without_changing_old_postings(spark):

@@ -88,5 +88,51 @@ def test_sources_by_id_and_shown_hits(spark):
     hits = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "query_id int, rank int")
     said = spark.createDataFrame([(1, True), (2, False)], "query_id int, is_grounded boolean")
     assert sorted(map(tuple, catalog.without_answered(hits, said).collect())) == [(1, 2), (2, 1)]
-    assert lexical.fallback_words("a bcd efg hij klm nop", ["xyz bcd q", "uvw abc"]) == ["bcd", "efg", "hij", "klm", "xyz", "uvw"]
-    assert chunks.where(lexical.contains_any(F.col("text"), ["T3", "_"])).count() == 1
+    words = spark.createDataFrame([("a bcd efg hij klm nop", ["xyz bcd q", "uvw abc"])], "t string, v array<string>")
+    assert words.select(lexical.fallback_words(F.col("t"), F.col("v"))).first()[0] == ["bcd", "efg", "hij", "klm", "xyz", "uvw"]
+    asked = spark.createDataFrame([(1, ["T3", "_"])], "query_id int, words array<string>")
+    assert [r.id for r in lexical.contains_search(chunks, asked).collect()] == [3]
+
+
+def test_grounded_answers_are_asked_for_twice_at_most(spark):
+    class Model:
+        def generate(self, prompts):
+            said = lambda p: "verbatim" if "good" in p or ("slow" in p and providers.STRICTER in p) else "invented"
+            return ['{"answer": "x", "quote": "' + said(p) + '"}' for p in prompts]
+
+    asked = spark.createDataFrame([(1, "good"), (2, "slow"), (3, "bad")], "query_id int, text string")
+    contexts = asked.selectExpr("query_id", "'A Verbatim  context' AS context")
+    got = {r.query_id: (r.quote, r.is_grounded, r.retried) for r in providers.generate_grounded(asked, contexts, Model()).collect()}
+    assert got == {1: ("verbatim", True, False), 2: ("verbatim", True, True), 3: ("invented", False, True)}
+
+
+def test_fuzzy_pairs_equal_the_slow_rule(spark):
+    import random
+
+    from sedge.operators import answers
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    texts = [[rng.choice(words) for _ in range(rng.randrange(0, 60))] for _ in range(40)]
+    quotes = []
+    for i in range(60):
+        source, n = rng.choice([t for t in texts if len(t) > 30]), rng.randrange(1, 28)
+        at = rng.randrange(0, len(source) - n + 1)
+        quote = source[at : at + n]
+        for k in rng.sample(range(n), min(n, rng.randrange(0, 5))):
+            quote[k] = "changed"
+        quotes.append(" ".join(quote)[rng.randrange(0, 2) :])
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, text string")
+    c = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "context_id int, text string")
+    want = {}
+    for i, quote in enumerate(quotes):
+        for j, text in enumerate(texts):
+            if len(quote.strip()) < 10:
+                continue
+            w, squeezed = quote.split(), " ".join(text)
+            exact = " ".join(w) in squeezed
+            fuzzy = len(w) >= 5 and any(sum(a == b for a, b in zip(w, text[k:])) / len(w) >= 0.85 for k in range(len(text) - len(w) + 1))
+            if exact or fuzzy:
+                want[i, j] = (exact, fuzzy)
+    got = {(r.quote_id, r.context_id): (r.exact, r.fuzzy) for r in answers.grounded_pairs(q, c).collect()}
+    assert got == want and any(f and not e for e, f in want.values()) and any(e and not f for e, f in want.values())
