@@ -1,23 +1,32 @@
 """Exact top-k inner-product search by columnar branch and bound.
 
-Candidates are dealt into tiles and queries into blocks; every block meets
-every tile once.  A tile holds its vectors by dimension.  Scores accumulate
-one block of dimensions at a time, the dimensions with most mass first; after
-each block a candidate's score can grow at most by the product of the two
-remaining norms (Cauchy-Schwarz), and candidates whose bound is below the
-query's k-th best known score are compacted away.  Each pair of block and tile
-returns k rows for each query, which a ranking merges.
+Candidates are dealt into tiles of a bounded number of bytes, each one row,
+and queries into blocks, which go to every tile.  A tile holds its vectors by
+dimension.  Scores accumulate one block of dimensions at a time, the
+dimensions with most mass first; after each block a candidate's score can grow
+at most by the product of the two remaining norms (Cauchy-Schwarz), and
+candidates whose bound is below the query's bar are compacted away.
+
+The bar is the query's k-th best score in one tile, searched first, and from
+then on in all tiles; a tile raises it by its own best.  So most tiles return
+few rows of a query, and a ranking merges them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a tile and queries of a block.
-TILE, BLOCK = 8192, 1024
+from .scratch import materialize
+
+#: Components of a tile and of a query block, on average (8 bytes each).
+TILE, BLOCK = 1 << 20, 1 << 17
+#: With more tiles than this, one is searched first for the bars of all.
+FIRST = 8
 #: Dimensions added between two compactions.
 DIMS = 16
 #: Largest sum that doubles add up without rounding.
@@ -37,13 +46,22 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: float)
     return rows.select("id", whole.alias("vec")).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
+def _members(row: pa.StructScalar) -> tuple[np.ndarray, ...]:
+    """Ids, vectors (a row each) and, of queries, bars of a tile or block."""
+    held = row.values
+    out = [held.field(i).to_numpy(zero_copy_only=False) for i in range(held.type.num_fields) if i != 1]
+    flat = held.field(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return out[0], flat.reshape(len(held), -1), *out[1:]
+
+
 def _search(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _rows([], [], [], [])
-        ids, q_ids = left["id"].to_numpy(), right["id"].to_numpy()
-        c = np.stack(left["vec"].to_numpy()).astype(np.int64)
-        q = np.stack(right["vec"].to_numpy()).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile, block in zip(batch.column("tile_rows"), batch.column("block_rows")):
+                found = search(*_members(tile), *_members(block))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+    def search(ids: np.ndarray, c: np.ndarray, q_ids: np.ndarray, q: np.ndarray, bars: np.ndarray) -> list[np.ndarray]:
         if c.shape[1] == 0 or float(np.abs(c).max()) * float(np.abs(q).max()) * c.shape[1] >= _EXACT:
             kind = np.int64  # no bounds: sums of doubles would be rounded
         else:
@@ -58,7 +76,7 @@ def _search(k: int):
             return [tail[b] if b < len(tail) else np.zeros(squares.shape[1]) for b in [*cuts[1:], len(tail)]]
 
         c_rest, q_rest = rest(column.astype(float) ** 2), rest(query.T.astype(float) ** 2)
-        found: tuple[list, list, list, list] = ([], [], [], [])
+        found: tuple[list, list, list] = ([], [], [])
         for at in range(0, len(query), 64):
             some = query[at : at + 64]
             begun = some[:, : (cuts[1:] or [len(column)])[0]] @ column[: (cuts[1:] or [len(column)])[0]]
@@ -66,33 +84,34 @@ def _search(k: int):
                 score, one = begun[j], some[j]
                 alive = np.flatnonzero(ids != q_ids[at + j])
                 score = score[alive]
-                least = -np.inf
+                least = bars[at + j] if kind is np.float64 else -np.inf
                 for b, cut in enumerate(cuts):
                     if b:
                         to = cut + DIMS
                         score = score + one[cut:to] @ column[cut:to, alive]
-                    if kind is np.int64 or len(alive) <= k:
+                    if kind is np.int64:
                         continue
                     most = (score + c_rest[b][alive] * q_rest[b][at + j]) * (1 + 1e-12) + 1.0
-                    if b == 0:  # exact scores of the most promising give the first bar
+                    if b == 0 and len(alive) > k:  # exact scores of the most promising raise the bar
                         seed = alive[np.argpartition(-most, k)[: 2 * k]] if len(alive) > 2 * k else alive
                         exact = one @ column[:, seed]
-                        least = np.partition(exact, len(exact) - k)[len(exact) - k]
+                        least = max(least, np.partition(exact, len(exact) - k)[len(exact) - k])
                     keep = most >= least
                     alive, score = alive[keep], score[keep]
                 score = score.astype(np.int64)
+                alive, score = alive[score >= least], score[score >= least]
                 best = np.lexsort((ids[alive], -score))[:k]
                 found[0].append(np.full(len(best), q_ids[at + j]))
                 found[1].append(ids[alive[best]])
                 found[2].append(score[best])
-        return _rows(*found[:3], [])
+        return [np.concatenate(x).astype(np.int64) for x in found]
 
     return run
 
 
-def _rows(query, ids, score, _) -> pd.DataFrame:
-    join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return pd.DataFrame({"query_id": join(query), "vec_id": join(ids), "score": join(score)})
+def _top(rows: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -101,14 +120,26 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataF
     Both inputs are (id, vec array<long>) with one row for an id and no nulls.
     A query is not a candidate for itself; ties go to the smaller id; only
     vectors of the query's length are candidates; a query with fewer than k
-    candidates returns all, one without returns none.
+    candidates returns all, one without (or with an empty table) returns none.
+    Other columns don't matter, whatever their names.
     """
-    n, m = candidates.count(), queries.count()
-    tiles, blocks = max(1, -(-n // TILE)), max(1, -(-m // BLOCK))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = candidates.select("id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), each(blocks).alias("block"))
-    right = queries.select("id", "vec", F.size("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), each(tiles).alias("tile"))
-    keys = ("dim", "tile", "block")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    sized = lambda df: int(df.agg(F.coalesce(F.sum(F.greatest(F.size("vec"), F.lit(1))), F.lit(0))).first()[0])
+    n_tiles, n_blocks = max(1, -(-sized(candidates) // TILE)), max(1, -(-sized(queries) // BLOCK))
+    lot = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    dim = F.size("vec").alias("dim")
+    tiles = candidates.select(F.struct("id", "vec").alias("x"), dim, lot(n_tiles).alias("tile"))
+    tiles = materialize(tiles.groupBy("dim", "tile").agg(F.collect_list("x").alias("tile_rows")), "tiles")
+
+    def met(asked: DataFrame, which) -> DataFrame:
+        blocks = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vec", "bar")).alias("block_rows"))
+        blocks = blocks.withColumn("tile", F.explode(which))
+        pairs = tiles.join(blocks, ["dim", "tile"]).select("tile_rows", "block_rows")
+        return pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+
+    asked = queries.select("id", "vec", dim, lot(n_blocks).alias("block"), F.lit(float("-inf")).alias("bar"))
+    if n_tiles > FIRST:
+        bars = _top(met(asked, F.array(F.lit(0))), k).groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n"))
+        bars = materialize(bars.where(F.col("n") == k).select(F.col("query_id").alias("id"), F.when(F.abs("score") < _EXACT, F.col("score").cast("double")).alias("known")), "bars")
+        asked = asked.join(bars, "id", "left").withColumn("bar", F.coalesce("known", "bar")).drop("known")
+    found = met(asked, F.sequence(F.lit(0), F.lit(n_tiles - 1)))
+    return _top(found, k).select("query_id", "rank", "vec_id", "score")

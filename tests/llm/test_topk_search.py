@@ -28,8 +28,8 @@ def test_matches_brute_force_with_pruning(spark, monkeypatch):
     rows = [(i, [rng.gauss(0, 1) / (1 + d) for d in range(40)]) for i in range(900)]
     rows += [(1000 + i, list(rows[i % 7][1])) for i in range(60)]  # ties
     rows = [(i, [float(x) for x in map(lambda y: round(y, 3), v)]) for i, v in rows]
-    monkeypatch.setattr(topk_search, "TILE", 100)
-    monkeypatch.setattr(topk_search, "BLOCK", 4)
+    monkeypatch.setattr(topk_search, "TILE", 4000)
+    monkeypatch.setattr(topk_search, "BLOCK", 160)
     import numpy as np
 
     exact = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
@@ -40,6 +40,8 @@ def test_odd_vectors_and_few_candidates(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (100, [1.0, 2.0]), (5, [0.5, -0.5]), (6, [1.0]), (200, [2.0]), (300, []), (None, [1.0, 1.0]), (0, [1.0, 2.0])]
     want = sorted(brute([(i, v) for i, v in rows if i is not None]))
     assert run(spark, rows) == want and {r[0] for r in want} == {0, 100, 200}
+    empty = integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding", 1024)
+    assert exact_top_k(empty, empty).collect() == []
     assert run(spark, [(0, [1.0])]) == [] and run(spark, [(1, None)]) == []
 
 
