@@ -79,9 +79,13 @@ def mix_sources(
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Every row of `docs` with mix_tokens and mix_copies, its number of copies.
 
+    With `keep` only those columns and the levels are returned; they are then
+    written with the token counts, and texts are read once.
+
     `levels` names the tree's levels, from the root, with their columns; a null
     counts as ''.  `weights` gives nodes of a level other weights than 1; a
     node of weight 0 gets nothing.  The target is `target_tokens`, or
@@ -98,7 +102,8 @@ def mix_sources(
     weights = {f"mix_{k}": v for k, v in (weights or {}).items()}
     marked = docs.withColumns({n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(names, levels.values())})
     marked = marked.withColumn("mix_tokens", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
-    rows = materialize(marked.select(*names, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"), "mix_tokens"), "tokens")
+    kept = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None).cast("int")
+    rows = materialize(marked.select(*names, F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"), "mix_tokens", kept.alias("mix_kept")), "tokens")
     leaves = materialize(rows.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("rows_")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     target = min(total * max_epochs, target_tokens if target_tokens is not None else total * target_share[0] // target_share[1])
@@ -123,10 +128,12 @@ def mix_sources(
     cuts = inside.unionByName(border).groupBy(*names).agg(F.max("cut").alias("cut"))
     cuts = shares.join(cuts, names, "left").select(*names, F.col("epochs").alias("mix_epochs"), F.col("left_").alias("mix_left"), F.col("cut").alias("mix_cut"))
 
+    if keep:
+        marked, id_col = rows.select(*(F.col("mix_kept")[c].alias(c) for c in keep), *names, "mix_tokens", "mix_id"), "mix_id"
     chosen = marked.join(counted(materialize(cuts, "cuts")), names, "left")
     last = (place("mix_epochs", F.coalesce(F.col(id_col).cast("string"), F.lit(""))) <= F.col("mix_cut")) & (F.col("mix_left") > 0)
     copies = F.col("mix_epochs") + F.when(last, 1).otherwise(0)
-    return chosen.withColumn("mix_copies", copies.cast("long")).drop("mix_epochs", "mix_left", "mix_cut")
+    return chosen.withColumn("mix_copies", copies.cast("long")).drop("mix_epochs", "mix_left", "mix_cut", "mix_id")
 
 
 def documents_tree(lang: str = "lang", source: str = "source") -> dict[str, Column]:

@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import table as _table
 from . import mixing
 from .html_extract import extract_text
 from .language_id import identify_languages
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_rules
+from .scratch import materialize
 from .sql import SQL
 from .substring_dedup import remove_repeats
 from .token_counts import sentence_pieces, token_counts
@@ -24,9 +26,6 @@ from .topk_search import exact_top_k, integer_vectors
 from .url_filter import PAGES_RULES, filter_urls, page_links
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file."""
@@ -37,6 +36,7 @@ def vocabulary(name: str) -> str:
 
 def op1_branch_and_bound_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = integer_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    rows = materialize(rows, "vectors")
     out = exact_top_k(rows, rows.where("id % 100 = 0"), 10)
     return out.withColumn("rank", F.col("rank").cast("int"))
 
@@ -61,7 +61,7 @@ def op5_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), mixing.documents_tree(), mixing.DOCUMENTS_WEIGHTS)
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), mixing.documents_tree(), mixing.DOCUMENTS_WEIGHTS, keep=("doc_id",))
     level = [F.col(f"mix_{x}").alias(x) for x in ("domain", "lang", "source")]
     return mixed.select("doc_id", *level, F.col("mix_tokens").alias("n_tokens"), F.col("mix_copies").alias("copies"))
 
