@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def _star(pairs: DataFrame, least: DataFrame, keep) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         own = least.select("u", F.col("m").alias("v"))
         small = _star(large, least, F.lit(True)).unionByName(own).distinct()
-        edges = materialize(small, "stars")
+        edges, old = materialize(small, "stars"), edges
+        discard(old)
         now = _signature(edges)
         if now == last:
             break

@@ -7,12 +7,11 @@ executor then costs at most the tasks that it was running.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_path
+
 #: Ids up to this number may be broadcast (8 bytes each, 32 MB); beyond it the
 #: join is left to a shuffle.
 MAX_BROADCAST_IDS = 4_000_000
@@ -20,34 +19,39 @@ MAX_BROADCAST_IDS = 4_000_000
 MAX_BROADCAST_ROWS = 100_000
 
 
-#: Whole texts go to Python in batches of so many rows; the default of 10,000
-#: would hold tens of megabytes of text several times over in each task.
-BATCH_ROWS = 1000
+#: Whole texts go to Python in batches of so many rows and bytes at most; the
+#: defaults would hold tens of megabytes of text several times over in a task.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS if it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's limits of Arrow batches to ours where they are larger.
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; one of our own only if unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sedge-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    The setting stays: plans are run after the operator has returned them.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and return a reader of the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sedge-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_path(spark, f"sedge-{name}")
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that no plan reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def counted(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -58,13 +58,16 @@ def _rule(host: Column, path: Column, rules: list[Rule], value) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target) urls of the redirects and canonical links of page heads."""
-    url, head = F.col(url_col), F.substring_index(F.col(html_col), "<body", 1)
-    tag = F.regexp_extract(head, CANONICAL, 0)
-    href = F.concat(*(F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)))
-    refresh = F.regexp_extract(F.regexp_extract(head, REFRESH, 0), TARGET, 1)
+    """(source, target) urls of all redirects and canonical links of page heads.
+
+    A head ends where the body begins; a null html has none.
+    """
+    url, head = F.col(url_col), F.split(F.col(html_col), r"(?i)<body\b", 2)[0]
+    href = lambda tag: F.concat(*(F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)))
+    canonical = F.transform(F.regexp_extract_all(head, F.lit(CANONICAL), F.lit(0)), href)
+    refresh = F.transform(F.regexp_extract_all(head, F.lit(REFRESH), F.lit(0)), lambda tag: F.regexp_extract(tag, TARGET, 1))
     plain = lambda c: F.trim(F.replace(c, F.lit("&amp;"), F.lit("&")))
-    out = pages.select(url.alias("source"), F.explode(F.array(plain(href), plain(refresh))).alias("target"))
+    out = pages.select(url.alias("source"), F.explode(F.transform(F.concat(canonical, refresh), plain)).alias("target"))
     out = out.where("source is not null and target is not null and target <> ''")
     root = F.regexp_extract("source", r"(?s)^(.*?://[^/?#]*)", 1)
     full = (
@@ -88,7 +91,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], links: DataFrame, url_col:
     Targets that are not in `pages` count.
 
     A null url, or one without ://, has empty host and path, no rule and no
-    component: it is allowed.  The list of rules is part of the query, so its
+    component: it is allowed.  Repeated rows are judged as often as they come,
+    an empty table gives an empty result, and urls and pages of any length are
+    read whole.  The list of rules is part of the query, so its
     length is fixed; an empty one allows everything.  Columns of `pages` with
     the names of the results are replaced.
     """

@@ -36,6 +36,14 @@ def test_block_decisions_reach_aliases(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow", 9: "allow", 10: "block"}
 
 
+def test_all_links_of_a_head(spark):
+    two = "<head><link rel=canonical href='http://x.com/1'><LINK href='http://bad.net/' REL='canonical'></head><BODY><link rel=canonical href='http://e.org/fr/'>"
+    df = spark.createDataFrame([(1, "http://a.com/1", two), (2, "http://a.com/2", None)], "page_id long, url string, html string")
+    assert sorted(r.target for r in page_links(df).collect()) == ["http://bad.net/", "http://x.com/1"]
+    assert judged(spark, [(1, "http://a.com/1", two), (1, "http://a.com/1", two), (3, "http://x.com/1", "x" * 300_000)])[3][3] == "block"
+    assert filter_urls(df.where("1 = 0"), PAGES_RULES, page_links(df.where("1 = 0"))).count() == 0
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(300)] + [(5, 5), (None, 3), (7, None), (2000, 2001), (2001, 2000), (2000, 2001)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
