@@ -67,3 +67,34 @@ def test_white_space_stays_and_edge_cases(spark):
         got[r.doc_id].append((r.text, r.n_words, r.n_removed))
     assert got == {1: [(long, 60, 0)], 2: [("  start\nend  ", 62, 60)] * 2, None: [(long, 60, 0)], 3: [(None, 0, 0)]}
     assert remove_repeats(df.where("1 = 0")).count() == 0
+
+
+def test_words_of_equal_polynomials_differ(spark):
+    morse = "a"
+    for _ in range(10):
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    line = [f"x{i}" for i in range(80)]
+    rows = [(1, " ".join(line[:40] + [morse] + line[40:])), (2, " ".join(line[:40] + [other] + line[40:]))]
+    assert result(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 50)
+
+
+def test_a_span_that_is_not_its_source_stays(spark, monkeypatch):
+    from sedge.llm import substring_dedup
+
+    texts = [" ".join(f"{a}{i}" for i in range(90)) for a in "pq"]
+    df = spark.createDataFrame(list(enumerate([texts[0], texts[0], texts[1]])), "doc_id long, text string")
+    spans = substring_dedup.repeated_spans
+    wrong = lambda docs, k: spans(docs, k).withColumn("spans", F.transform("spans", lambda s: s.withField("digest", F.lit(b"x"))))
+    assert sum(r.n_removed for r in remove_repeats(df).collect()) == 90
+    monkeypatch.setattr(substring_dedup, "repeated_spans", wrong)
+    assert sum(r.n_removed for r in remove_repeats(df).collect()) == 0
+
+
+def test_very_long_and_empty(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[100:40_000] + ["z"] + words[40_000:])), (3, " ".join(["again"] * 30_000)), (4, " ".join(["again", "and"] * 300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(remove_repeats(df)) == brute(rows, 50)
+    assert remove_repeats(df.where("1 = 0")).count() == 0
