@@ -15,9 +15,8 @@ Nothing lists the pairs of a group:
 * where members of several families stand in one bucket, those outside its
   largest family are estimated against all others of the bucket in blocks, so
   every pair that shares a bucket is in one family or has been found far apart;
-* a family is verified in chunks of a
-  bounded number of members (their texts fetched by a join) and only spanning
-  links leave a task;
+* a family is verified in chunks of a bounded number of members and of
+  shingles (their texts fetched by a join) and only spanning links leave a task;
 * chunks meet through a few landmarks, and members that did not join their
   family's main component are compared with every other chunk.
 
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize, semi_reduce, text_batches
+from .scratch import discard, materialize, semi_reduce, text_batches
 from .words import mix, slices, strings, word_table
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
@@ -50,6 +49,8 @@ SLACK = 0.3
 BLOCK = 2048
 #: Members of a family that one task compares with each other.
 CHUNK = 384
+#: Shingles of those members, on average (16 MB of hashes and as much text).
+CHUNK_SHINGLES = 2_000_000
 #: Members of each family that all of its chunks hold, on average.
 LANDMARKS = 8
 #: Constant of the expected register collisions in the HyperMinHash paper
@@ -308,7 +309,9 @@ def near_duplicates(
     Null or empty texts, and texts of white space, have no shingles and their
     own id as component.  Repeated rows are returned as often as they come.
     Rows that share an id with different texts link whatever either text links.
-    A null id is returned with a null component and links nothing.
+    A null id is returned with a null component and links nothing.  An empty
+    table gives an empty result; texts of any length are taken whole, and
+    other columns don't matter, whatever their names.
     """
     text_batches(docs.sparkSession)
     num, den = threshold
@@ -334,15 +337,17 @@ def near_duplicates(
     )
     families = materialize(connected_components(paired).withColumnRenamed("component", "family"), "families")
     bridges = materialize(_bridges(shared.select("band", "id"), families, reps, least), "bridges")
+    discard(bands, shared)
     if bridges.limit(1).count():
         known = families.select(F.col("node").alias("u"), F.col("family").alias("v"))
         families = materialize(connected_components(known.unionByName(bridges)).withColumnRenamed("component", "family"), "families")
 
-    sizes = families.groupBy("family").agg(F.count("*").alias("members"))
+    weights = reps.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
+    sizes = families.join(weights, "node").groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("held"))
     members = families.join(sizes, "family").select(
         F.col("node").alias("id"),
         "family",
-        F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"),
+        F.ceil(F.greatest(F.col("members") / CHUNK, F.col("held") / CHUNK_SHINGLES)).cast("int").alias("chunks"),
         F.pmod(F.xxhash64("node", F.lit(1)), F.col("members")).alias("lot"),
     )
     members = members.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
@@ -384,6 +389,7 @@ def near_duplicates(
         links = materialize(links.unionByName(across), "links")
         found = materialize(connected_components(links), "found")
 
+    discard(texts, families)
     # ids that hold several texts link their classes
     several = held.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     if held.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():

@@ -7,6 +7,10 @@ executor then costs at most the tasks that it was running.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +47,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
+    if (written := _written.get()) is not None:
+        written.append(table)
     return table
 
 
+_written: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def tidied() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete, at the end, the tables that are materialized within, but those handed to `keep`.
+
+    with tidied() as keep:
+        result = keep(materialize(operator(rows), "result"))
+    """
+    outer, written, kept = _written.get(), [], []
+    mark = _written.set(written)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _written.reset(mark)
+    discard(*(t for t in written if not any(t is k for k in kept)))
+    if outer is not None:
+        outer.extend(kept)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no plan reads any more."""
     for table in tables:

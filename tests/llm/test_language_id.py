@@ -74,3 +74,47 @@ def test_training_task_gets_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(language_id, "_train", bounded)
     df = spark.createDataFrame([r[:3] for r in corpus(6000)], "doc_id long, text string, lang string")
     assert identify_languages(df, train_rows=4).count() == 6000
+
+
+def plain_ftrl(rows, n_langs):
+    """The update of each weight by itself, in plain numbers."""
+    import math
+
+    from sedge.llm.language_id import ALPHA, BETA, EPOCHS, L1, L2
+
+    z, n = {}, {}
+
+    def weight(f, c):
+        v = z.get((f, c), 0.0)
+        if abs(v) <= L1:
+            return 0.0
+        return -(v - math.copysign(L1, v)) / ((BETA + math.sqrt(n.get((f, c), 0.0))) / ALPHA + L2)
+
+    for _ in range(EPOCHS):
+        for at, x, lang in rows:
+            w = {(f, c): weight(f, c) for f in at for c in range(n_langs)}
+            logits = [sum(v * w[f, c] for f, v in zip(at, x)) for c in range(n_langs)]
+            top = max(logits)
+            e = [math.exp(v - top) for v in logits]
+            for f, v in zip(at, x):
+                for c in range(n_langs):
+                    g = v * (e[c] / sum(e) - (c == lang))
+                    old = n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / ALPHA * w[f, c]
+                    n[f, c] = old + g * g
+    return {k: weight(*k) for k in z}
+
+
+def test_ftrl_equals_a_plain_loop():
+    langs = sorted(SYLLABLES)
+    data = [(at, weigh(at, tf, np.ones(1 << 14)), langs.index(l)) for _, t, l, _ in corpus(40, 4) if l for at, tf in [grams(t)]]
+    got, want = fit(data, 3), plain_ftrl([(at.tolist(), x.tolist(), y) for at, x, y in data], 3)
+    assert all(abs(got[f, c] - v) < 1e-9 for (f, c), v in want.items())
+    assert np.count_nonzero(got) == sum(v != 0 for v in want.values())
+
+
+def test_very_long_texts_and_rates(spark):
+    rows = [r[:3] for r in corpus(300)] + [(5000, "sch ein ung der " * 60_000, None), (5001, "th ing on the " * 60_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify_languages(df).collect()}
+    assert got[5000] == "de" and got[5001] == "en"

@@ -117,3 +117,13 @@ def test_siblings_with_far_pivots(spark, monkeypatch):
     rows = slots(4000, 200)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert result(near_duplicates(df, shingle=1)) == brute_counts(rows, 1, 4, 5)
+
+
+def test_very_long_texts_and_heavy_families(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", 60_000)  # a family of three such texts is cut by its size
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(40_000)]
+    texts = [words, words[:39_000], words[1000:], words[:30_000], [f"v{i}" for i in range(40_000)]]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(df)) == brute(rows, 5, 4, 5)
