@@ -23,6 +23,8 @@ from .scratch import counted, materialize
 
 #: Rows of a bucket of a leaf's hash order, on average.
 BUCKET_ROWS = 2000
+#: Buckets of the children of a node for each doubling of capacity per weight.
+BUCKETS_A_DOUBLING = 16
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,17 +41,32 @@ def _fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
     Children are met in the order of capacity per weight; the first that the
     remaining budget doesn't saturate fixes the level for it and all later.
+    A parent may have millions of children (hosts), so their running sums are
+    taken within buckets of like ratio, on top of the sums of the buckets.
     """
-    by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = by.orderBy(F.col("w") == 0, F.try_divide(F.col("cap").cast("double"), F.col("w").cast("double")), F.col(name))
+    nodes = nodes.withColumn("root", F.lit(0))
+    keys = [*parent, "root"]
+    ratio = F.try_divide(F.col("cap").cast("double"), F.col("w").cast("double"))
+    bucket = F.when(F.col("w") == 0, 1 << 20).when(F.col("cap") == 0, -(1 << 20)).otherwise(F.floor(F.log2(ratio) * BUCKETS_A_DOUBLING))
+    nodes = nodes.withColumn("bucket", bucket.cast("int"))
+    sums = nodes.groupBy(*keys, "bucket").agg(F.sum("cap").alias("bucket_cap"), F.sum("w").alias("bucket_w"))
+    of_parent = Window.partitionBy(*keys).orderBy("bucket")
+    sums = sums.withColumn("cap_before", F.coalesce(F.sum("bucket_cap").over(of_parent.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = sums.withColumn("w_behind", F.coalesce(F.sum("bucket_w").over(of_parent.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)))
+    nodes = nodes.join(sums.drop("bucket_cap", "bucket_w"), [*keys, "bucket"])
+
+    order = Window.partitionBy(*keys, "bucket").orderBy(ratio, F.col(name))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     wide = lambda c: F.col(c).cast("decimal(20,0)")
-    nodes = nodes.withColumn("taken", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("ahead", F.sum("w").over(onward))
+    nodes = nodes.withColumn("taken", F.col("cap_before") + F.coalesce(F.sum("cap").over(before), F.lit(0)))
+    nodes = nodes.withColumn("ahead", F.col("w_behind") + F.sum("w").over(onward))
     full = (F.col("w") > 0) & (wide("cap") * wide("ahead") <= wide("w") * (F.col("budget") - F.col("taken")).cast("decimal(18,0)"))
     nodes = nodes.withColumn("full", full)
-    nodes = nodes.withColumn("rest", F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(by))
-    nodes = nodes.withColumn("open", F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(by))
+    level = nodes.groupBy(*keys).agg(
+        (F.max("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0))).alias("rest"), F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).alias("open")
+    )
+    nodes = nodes.join(level, keys)
     part = F.expr("CASE WHEN w = 0 OR open = 0 THEN 0 ELSE (CAST(w AS DECIMAL(18,0)) * CAST(rest AS DECIMAL(18,0))) DIV CAST(open AS DECIMAL(18,0)) END")
     return nodes.withColumn("share", F.when(F.col("full"), F.col("cap")).otherwise(part).cast("long"))
 
@@ -65,7 +82,8 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: dict[str, dict[s
         parent = levels[:depth]
         nodes = leaves.groupBy(*levels[: depth + 1]).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(name, weights.get(name, {})))
         nodes = nodes.join(above, parent) if above is not None else nodes.withColumn("budget", F.lit(int(target)).cast("long"))
-        above = _fill(nodes, parent, name).select(*levels[: depth + 1], F.col("share").alias("budget"))
+        filled = _fill(materialize(nodes, "nodes"), parent, name)
+        above = materialize(filled.select(*levels[: depth + 1], F.col("share").alias("budget")), "budgets")
     return leaves.join(above.withColumnRenamed("budget", "share"), levels).drop("cap")
 
 
