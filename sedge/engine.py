@@ -42,7 +42,9 @@ class Engine:
 
     @classmethod
     def open(cls, spark: SparkSession, documents: DataFrame, path: str, vectors: DataFrame | None = None, profile: Profile = RUSSIAN) -> Engine:
-        return cls(documents, vectors=vectors, profile=profile, **artifacts.read_index(spark, path))
+        """Open a written index; `vectors` (id, v) replace the quantised ones that it holds."""
+        held = artifacts.read_index(spark, path)
+        return cls(documents, profile=profile, **(held if vectors is None else held | {"vectors": vectors}))
 
     def search(self, queries: DataFrame, vectors: DataFrame | None = None, mode: str = "fast", filters: dict | None = None, top: int = 10) -> DataFrame:
         """Fused hits of each query with the columns of their documents.

@@ -64,12 +64,14 @@ def squeeze(text: Column) -> Column:
 
 def document_number(text: Column) -> Column:
     """The first code number (СНиП, СН РК, СП РК) in a text; '' if none."""
+    # Fixed value: how code numbers are written.
     return F.regexp_extract(text, r"(?iu)((?:СНиП|СН\s*РК|СП\s*РК)\s*[\d.\-]+)", 1)
 
 
 def document_type(number: Column) -> Column:
     """Document type by the number's prefix, in upper case."""
     up = F.upper(number)
+    # The prefixes of the types.
     return (
         F.when(up.startswith("СНИП"), "СНиП").when(up.startswith("СН РК"), "СН РК").when(up.startswith("СП РК"), "СП РК").otherwise("НТД")
     )

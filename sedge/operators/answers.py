@@ -123,6 +123,7 @@ def best_quotes(quotes: DataFrame, contexts: DataFrame, least: float = 0.15) ->
 def context_blocks(hits: DataFrame, most: int = 3, size: int = 1200) -> DataFrame:
     """(query_id, context): numbered blocks of the best hits for a prompt."""
     dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("—"))
+    # The labels of a block.
     block = F.concat(
         F.lit("["), F.col("rank").cast("string"), F.lit("] Документ: "), F.coalesce("title", "number", F.lit("Документ")), F.lit(" ("), dash("number"), F.lit(")\nПункт: "),
         dash("paragraph"), F.lit(", Стр: "), dash("page"), F.lit(", Статус: "), F.coalesce("status", F.lit("действует")), F.lit('\nТекст: "'), F.substring(F.coalesce("text", F.lit("")), 1, size), F.lit('"'),

@@ -20,7 +20,7 @@ MAGIC = b"SNV1"
 def write_index(chunks: DataFrame, profile: Profile, path: str, vectors: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> None:
     """Write chunks, postings, lengths, stats (and vectors) below `path`.
 
-    Tokens are computed once; postings are ordered by term, so that a scan
+    A manifest of one row is written last.  Tokens are computed once; postings are ordered by term, so that a scan
     for a few terms skips row groups.
     """
     counted = lexical.counted(lexical.occurrences(chunks, profile, id_col, text_col))
@@ -29,13 +29,23 @@ def write_index(chunks: DataFrame, profile: Profile, path: str, vectors: DataFra
     stats = lexical.statistics(chunks.sparkSession.read.parquet(f"{path}/lengths"))
     stats.withColumns({"k1": F.lit(lexical.K1), "b": F.lit(lexical.B)}).write.mode("overwrite").parquet(f"{path}/stats")
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    dim = F.lit(0)
     if vectors is not None:
         quantize(vectors, "v").select("id", "scale", "q").write.mode("overwrite").parquet(f"{path}/vectors")
+        dim = F.coalesce(F.max(F.size("q")), F.lit(0))
+    held = chunks.sparkSession.read.parquet(f"{path}/{'stats' if vectors is None else 'vectors'}")
+    manifest = held.agg(dim.cast("int").alias("dim"), F.lit(60).alias("rrf_k"), F.lit("int8").alias("quantisation"), F.current_timestamp().alias("built_at"))
+    manifest.withColumn("has_vectors", F.lit(vectors is not None)).write.mode("overwrite").parquet(f"{path}/manifest")  # last: an index with a manifest is whole
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "lengths", "stats")}
-    return tables | {"postings": tables["postings"].where("term <> ''")}
+    manifest = spark.read.parquet(f"{path}/manifest").first()
+    vectors = None
+    if manifest.has_vectors:
+        value = F.transform("q", lambda x: x.cast("double") * F.col("scale"))
+        vectors = spark.read.parquet(f"{path}/vectors").select("id", value.alias("v"))
+    return tables | {"postings": tables["postings"].where("term <> ''"), "vectors": vectors}
 
 
 def _encode(rows: pd.DataFrame) -> bytes:

@@ -93,7 +93,8 @@ def test_deep_search_needs_all_terms_of_a_variant_and_averages_vectors(spark, tm
     docs, chunks = corpus(spark)
     vectors = spark.createDataFrame([(i, [1.0, 0.0] if i else [0.6, 0.8]) for i in (0, 1, 2, 3)], "id int, v array<double>")
     engine = Engine.index(docs, chunks, str(tmp_path / "index"), vectors)
-    engine.vectors = vectors
+    stored = {r.id: r.v for r in Engine.open(spark, docs, str(tmp_path / "index")).vectors.collect()}
+    assert stored[0] == pytest.approx([0.6, 0.8], abs=0.01) and stored[1] == pytest.approx([1.0, 0.0])
     asked = spark.createDataFrame([(1, "ширина коридора"), (2, "ккоридор"), (3, "широкий коридор")], "query_id int, text string")
     qv = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id int, qv array<double>")
     deep = engine.search(asked, qv, "deep").collect()

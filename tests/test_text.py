@@ -10,7 +10,7 @@ def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
 
-# The demo corpus: clause, page, text, length in tokens.
+# Clauses of the demo corpus (clause, page, text) and their length in tokens.
 GOLDEN = [
     ("5.8", 42, "Ширина коридоров в жилых зданиях должна быть не менее 1,4 м при длине коридора до 10 м и не менее 1,6 м при большей длине. Ширина коридоров, ведущих к эвакуационным выходам, должна быть не менее 1,2 м.", 19),
     ("5.9", 42, "Ширина эвакуационных путей и выходов должна обеспечивать беспрепятственное движение людей. Минимальная ширина эвакуационного выхода из помещения — 0,9 м, из здания — 1,2 м. Высота эвакуационных путей в свету — не менее 2,0 м.", 20),
