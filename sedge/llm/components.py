@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 from .scratch import discard, materialize
 
 
-def _star(pairs: DataFrame, least: DataFrame, keep) -> DataFrame:
-    """Edges (v, m) for the neighbours v of u that `keep` takes, m the least of u."""
-    out = pairs.join(least, "u").where(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+#: Nodes up to this number (16 bytes each) may be broadcast with their least neighbour.
+MAX_BROADCAST_NODES = 1_000_000
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -29,19 +27,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     `u` and `v` are of one orderable type; null ends and loops link nothing,
     repeated edges count once.  Nodes that are in no edge are not returned.
+    The least neighbours go to the edges where the edges are counted to have
+    few ends, which keeps a hub's edges where they are; else they meet in a join.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = materialize(edges.distinct(), "edges")
     last = _signature(edges)
+    few = 2 * last[0] <= MAX_BROADCAST_NODES
+
+    def with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
+        return pairs.join(F.broadcast(least) if few else least, "u")
+
     for _ in range(max_rounds if last[0] else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _star(both, least, F.col("v") > F.col("u"))
-        # small star over the result, whose edges point to smaller nodes
-        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        # large star: greater neighbours point to the least of u
+        large = with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: u and all it points to point to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        own = least.select("u", F.col("m").alias("v"))
-        small = _star(large, least, F.lit(True)).unionByName(own).distinct()
+        small = with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges, old = materialize(small, "stars"), edges
         discard(old)
         now = _signature(edges)

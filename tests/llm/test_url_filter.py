@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from sedge.llm import components
 from sedge.llm.components import connected_components
 from sedge.llm.url_filter import PAGES_RULES, filter_urls, page_links
 
@@ -44,7 +46,9 @@ def test_all_links_of_a_head(spark):
     assert filter_urls(df.where("1 = 0"), PAGES_RULES, page_links(df.where("1 = 0"))).count() == 0
 
 
-def test_components_of_chains_and_hubs(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components_of_chains_and_hubs(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "MAX_BROADCAST_NODES", few)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(300)] + [(5, 5), (None, 3), (7, None), (2000, 2001), (2001, 2000), (2000, 2001)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = {i: 0 for i in range(61)} | {i: 1000 for i in range(1000, 1301)} | {2000: 2000, 2001: 2000}
