@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import MAX_BROADCAST_IDS, anti_reduce, discard, materialize, semi_reduce, text_batches
+from .scratch import MAX_BROADCAST_IDS, anti_reduce, counted, discard, materialize, semi_reduce, text_batches
 from .words import Words, mix, powers, slices, strings, word_table
 
 #: Words of a minimizer.
 SEED_WORDS = 8
+#: Spans of one source from which on its digest goes to the spans.
+HOT = 2000
 
 _STEP = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 _INVERSE = tuple(np.uint64(pow(int(s), -1, 1 << 64)) for s in _STEP)
@@ -188,14 +190,14 @@ def _digest(words: np.ndarray) -> bytes:
 
 
 def _source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(source, source_rk, source_start, size, digest) of the spans that are asked of a text."""
+    """(source, source_rk, source_start, size, digest, n) of the spans that are asked of a text, n times each."""
     for batch in batches:
         text = strings(batch.column("text"))
         for at, rows in slices(text):
             w = word_table(text.slice(at, rows))
             for r in range(rows):
                 asked = batch.column("asked")[at + r].values
-                start, size = (asked.field(c).to_numpy().astype(np.int64) for c in ("start", "size"))
+                start, size, many = (asked.field(c).to_numpy().astype(np.int64) for c in ("start", "size", "n"))
                 a, n = int(w.ptr[r]), len(start)
                 found = [_digest(w.data[w.start[a + i] : w.end[a + i + m - 1]]) for i, m in zip(start.tolist(), size.tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -205,8 +207,9 @@ def _source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                         pa.array(start.astype(np.int32)),
                         pa.array(size.astype(np.int32)),
                         pa.array(found, pa.binary()),
+                        pa.array(many),
                     ],
-                    names=["source", "source_rk", "source_start", "size", "digest"],
+                    names=["source", "source_rk", "source_start", "size", "digest", "n"],
                 )
 
 
@@ -292,13 +295,18 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> DataFrame:
     spans = materialize(spans.select("doc_id", "rk", "start", "end", "source", "source_rk", place, (F.col("end") - F.col("start")).alias("size")), "spans")
     discard(met, compact)
 
-    asked = spans.select(F.col("source").alias("doc_id"), F.col("source_rk").alias("rk"), F.struct(F.col("source_start").alias("start"), "size").alias("x")).distinct()
+    asked = spans.groupBy(F.col("source").alias("doc_id"), F.col("source_rk").alias("rk"), F.col("source_start").alias("start"), "size").agg(F.count("*").alias("n"))
+    asked = asked.select("doc_id", "rk", F.struct("start", "size", "n").alias("x"))
     asked = materialize(asked.groupBy("doc_id", "rk").agg(F.collect_list("x").alias("asked")), "asked")
     ids = asked.select("doc_id").distinct()
     sources = semi_reduce(text, ids, "doc_id", ids.count()).join(asked, ["doc_id", "rk"])
-    digests = sources.mapInArrow(_source_digests, "source long, source_rk long, source_start int, size int, digest binary")
-    digests = digests.groupBy("source", "source_rk", "source_start", "size").agg(F.first("digest").alias("digest"))  # rows of text may repeat
-    known = spans.join(digests, ["source", "source_rk", "source_start", "size"])
+    place = ["source", "source_rk", "source_start", "size"]
+    digests = sources.mapInArrow(_source_digests, "source long, source_rk long, source_start int, size int, digest binary, n long")
+    digests = materialize(digests.groupBy(*place).agg(F.first("digest").alias("digest"), F.max("n").alias("n")), "digests")  # rows of text may repeat
+    # what very many spans ask for goes to them, so that they aren't dealt to one task
+    hot = counted(digests.where(F.col("n") > HOT).drop("n"))
+    rest = spans.join(hot, place, "left_anti").join(digests.where(F.col("n") <= HOT).drop("n"), place)
+    known = spans.join(hot, place).unionByName(rest)
     return known.groupBy("doc_id", "rk").agg(F.sort_array(F.collect_list(F.struct("start", "end", "digest"))).alias("spans"))
 
 

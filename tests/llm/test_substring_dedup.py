@@ -79,6 +79,14 @@ def test_words_of_equal_polynomials_differ(spark):
     assert result(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 50)
 
 
+def test_hot_sources(spark, monkeypatch):
+    from sedge.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    rows = corpus(5, 12)
+    assert result(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), k=12)) == brute(rows, 12)
+
+
 def test_a_span_that_is_not_its_source_stays(spark, monkeypatch):
     from sedge.llm import substring_dedup
 
