@@ -579,7 +579,42 @@ def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "page", F.col("segment").cast("bigint").alias("segment"), "chapter", F.length("text").cast("bigint").alias("chars"))
 
 
-@_query()
+@_query(
+    r"""WITH RECURSIVE raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+line AS (
+  SELECT doc_id, i, i // 20 AS page, trim(CASE WHEN i % 10 = 0 THEN 'Глава ' || (i // 10 + 1) WHEN i % 10 = 7 THEN 'Таблица ' || i || ' ' || t WHEN i % 3 = 1 THEN '5.' || i || ' ' || t ELSE t END, ' ' || chr(9) || chr(13)) AS text FROM raw),
+k AS (
+  SELECT *, CASE WHEN regexp_matches(text, '(?i)^Таблица\s+\d+') THEN 'table' WHEN regexp_matches(text, '(?i)^(Глава|Раздел|Приложение)\s+(\d+|[А-ЯA-Z])') THEN 'chapter'
+    WHEN regexp_matches(text, '^\d+(\.\d+){1,4}[.)]?\s+') THEN 'paragraph' ELSE 'text' END AS kind FROM line WHERE text <> ''),
+n AS (
+  SELECT *, CASE WHEN kind = 'paragraph' THEN regexp_extract(text, '^(\d+(?:\.\d+){1,4})', 1) ELSE nullif(regexp_extract(text, '^.*?(\d+\.\d+(?:\.\d+)*)\s+[А-ЯA-Z]', 1), '') END AS number,
+    kind IN ('paragraph', 'table') OR (kind = 'text' AND coalesce(lag(kind) OVER (PARTITION BY doc_id, page ORDER BY i), 'none') IN ('none', 'table', 'chapter')) AS starts FROM k),
+p AS (
+  SELECT *, sum(starts::INT) OVER so_far AS segment, last_value(CASE WHEN kind = 'chapter' THEN substr(text, 1, 250) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter,
+    CASE WHEN kind = 'table' THEN coalesce((last_value(CASE WHEN starts AND kind <> 'table' THEN {'p': number} END IGNORE NULLS) OVER so_far).p, 'Таблица ' || regexp_extract(text, '(?i)^Таблица\s+(\d+)', 1)) ELSE number END AS paragraph
+  FROM n WINDOW so_far AS (PARTITION BY doc_id, page ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+seg AS (
+  SELECT doc_id, page, segment, first(chapter ORDER BY i) AS chapter, first(paragraph ORDER BY i) AS paragraph, CASE WHEN first(kind ORDER BY i) = 'table' THEN 'table' ELSE 'paragraph' END AS type, string_agg(text, ' ' ORDER BY i) AS text
+  FROM p WHERE kind <> 'chapter' GROUP BY doc_id, page, segment),
+win AS (
+  SELECT doc_id, page, segment, text, 0 AS part, 0 AS b, substr(text, 1, 2800) AS w FROM seg WHERE length(text) > 2800 AND type <> 'table'
+  UNION ALL
+  SELECT doc_id, page, segment, text, part + 1, e - 600, substr(text, e - 600 + 1, 2800) FROM (
+    SELECT *, b + CASE WHEN stop > 1540 THEN stop + 1 WHEN strpos(reverse(w), ' ') > 0 AND 2800 - strpos(reverse(w), ' ') > 2240 THEN 2800 - strpos(reverse(w), ' ') ELSE 2800 END AS e FROM (
+      SELECT *, list_max(list_transform(['.', '!', '?', ';'], lambda m: CASE WHEN contains(w, m || ' ') THEN 2799 - strpos(reverse(w), ' ' || m) ELSE -1 END)) AS stop FROM win WHERE b + 2800 < length(text)))),
+cut AS (SELECT *, coalesce(lead(b) OVER (PARTITION BY doc_id, page, segment ORDER BY part) + 600, length(text)) AS e FROM win),
+part AS (
+  SELECT doc_id, page, segment, 0 AS part, chapter, paragraph, type, text FROM seg WHERE length(text) <= 2800 OR type = 'table'
+  UNION ALL SELECT doc_id, page, segment, part, chapter, paragraph, type, trim(substr(cut.text, b + 1, e - b), ' ') FROM cut JOIN seg USING (doc_id, page, segment)),
+lasting AS (SELECT *, type = 'table' OR length(trim(text, ' ')) >= CASE WHEN paragraph IS NOT NULL THEN 15 ELSE 25 END AS lasts FROM part),
+met AS (SELECT *, last_value(CASE WHEN lasts THEN {'p': paragraph, 't': type} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, segment, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM lasting),
+joined AS (SELECT *, coalesce(length(text) BETWEEN 1 AND 99 AND type <> 'table' AND last.t <> 'table' AND last.p = paragraph, false) AS joins FROM met),
+placed AS (SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY doc_id ORDER BY page, segment, part) AS chunk FROM joined WHERE joins OR lasts),
+c AS (
+  SELECT doc_id, chunk, first(page ORDER BY page, segment, part) AS page, first(chapter ORDER BY page, segment, part) AS chapter, first(paragraph ORDER BY page, segment, part) AS paragraph, first(type ORDER BY page, segment, part) AS type,
+    string_agg(text, ' ' ORDER BY page, segment, part) AS text FROM placed GROUP BY doc_id, chunk)
+SELECT doc_id, CAST(page AS INT) AS page, chapter, paragraph, type, text, CAST(chunk - 1 AS INT) AS ordinal, CAST(len(regexp_extract_all(text, '\S+')) AS INT) AS token_count FROM c"""
+)
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(_numbered(spark, sf_dir))
 
