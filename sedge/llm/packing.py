@@ -138,6 +138,7 @@ def _pieces(tokenizer_json: str, length: int, end_id: int):
                 crc = [zlib.crc32(held[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + size).tolist())]
                 columns = [batch.column("doc_id").slice(row, rows).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in (start, size, crc, total[owner]))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        pa.default_memory_pool().release_unused()  # the worker lives on in later stages
 
     return run
 

@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 
 from .words import SLICE_BYTES, segments
 
-#: Words that a worker remembers before it starts afresh (some 60 MB).
-MAX_WORDS = 300_000
+#: Words that a worker remembers before it starts afresh (some 40 MB).
+MAX_WORDS = 200_000
 #: Bytes of text that are split at once: more text repeats more of its words.
 TEXT_BYTES = 4 * SLICE_BYTES
 
