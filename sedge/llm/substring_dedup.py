@@ -42,7 +42,7 @@ _STEP = (np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25))
 _INVERSE = tuple(np.uint64(pow(int(s), -1, 1 << 64)) for s in _STEP)
 
 
-class _Digests:
+class Digests:
     """Digests of any run of words of a slice from prefix sums, in two lanes."""
 
     def __init__(self, words: Words):
@@ -86,7 +86,7 @@ def _paths(k: int):
                 if edges <= 0:
                     continue
                 doc = np.repeat(np.arange(rows), np.diff(w.ptr))
-                digests = _Digests(w)
+                digests = Digests(w)
                 place = np.arange(len(w.hash) - seed_words + 1)
                 seed = digests.of(place, place + seed_words)[0]
                 best = minimizer(seed, k - seed_words + 1)[:edges]
@@ -127,7 +127,7 @@ def _edges(k: int):
             text = strings(batch.column("text"))
             for at, rows in slices(text):
                 w = word_table(text.slice(at, rows))
-                digests = _Digests(w)
+                digests = Digests(w)
                 for r in range(rows):
                     paths = batch.column("paths")[at + r].values
                     begin, many = (paths.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
