@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import table as _table
 from . import mixing
+from .conversation_repair import damaged, repair_conversations
 from .html_extract import extract_text
 from .language_id import identify_languages
 from .near_dedup import near_duplicates
@@ -20,13 +21,13 @@ from .packing import pack
 from .quality_rules import quality_rules
 from .scratch import materialize
 from .sql import SQL
+from .sql_records import RECORDS_SQL
 from .substring_dedup import remove_repeats
 from .token_counts import sentence_pieces, token_counts
 from .topk_search import exact_top_k, integer_vectors
 from .url_filter import PAGES_RULES, filter_urls, page_links
 
 
-
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
@@ -86,14 +87,19 @@ def op10_suffix_array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op13_bidirectional_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         op1_branch_and_bound_top_k, op2_substring_dedup, op3_hyperminhash, op4_shortest_pack_first, op5_longest_match_counts,
         op6_hierarchical_mix, op7_redirect_url_filter, op8_line_frequency_rules, op9_ftrl_language_id, op10_suffix_array_text,
+        op13_bidirectional_repair,
     )
     return {f.__name__: f for f in all_}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the result; the others are tested by brute force."""
-    return dict(SQL)
+    return SQL | RECORDS_SQL
