@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table as _table
+from ..sources.staging import shared_path
 from . import mixing
+from .archives import archived_pages, page_records, write_archive
 from .conversation_repair import damaged, repair_conversations
 from .html_extract import extract_text
 from .language_id import identify_languages
@@ -87,6 +89,12 @@ def op10_suffix_array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "sedge-warc")
+    write_archive(page_records(_table(spark, sf_dir, "pages")), path)
+    return archived_pages(spark, path)
+
+
 def op13_bidirectional_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(_table(spark, sf_dir, "conversations")))
 
@@ -95,7 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         op1_branch_and_bound_top_k, op2_substring_dedup, op3_hyperminhash, op4_shortest_pack_first, op5_longest_match_counts,
         op6_hierarchical_mix, op7_redirect_url_filter, op8_line_frequency_rules, op9_ftrl_language_id, op10_suffix_array_text,
-        op13_bidirectional_repair,
+        op11_warc_source, op13_bidirectional_repair,
     )
     return {f.__name__: f for f in all_}
 

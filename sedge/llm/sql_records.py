@@ -75,6 +75,26 @@ e AS (
 SELECT conv_id, gaps, blank, duplicate, truncated, illegal, way.c::BIGINT AS cost, way.a AS audit, sha256(coalesce(way.r, '')) AS repaired_sha256 FROM e
 """
 
+
+
+def _base32(digest: str) -> str:
+    """Base32 of a hexadecimal SHA-1, five hexadecimal digits (four letters) at a time."""
+    bits = f"('0x' || substr({digest}, 5 * g + 1, 5))::BIGINT"
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({bits}) >> {shift}) & 31)::INT + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"list_aggregate(list_transform(range(8), lambda g: {letters}), 'string_agg', '')"
+
+
+OP11 = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS digest FROM p),
+r AS (
+  SELECT *, row_number() OVER w AS nth, first_value(page_id) OVER w AS keeper FROM d
+  WINDOW w AS (PARTITION BY digest, payload_bytes ORDER BY page_id DESC NULLS LAST, url NULLS FIRST))
+SELECT page_id, payload_bytes, {_base32("digest")} AS payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN keeper END AS refers_to FROM r
+"""
+
 RECORDS_SQL = {
+    "op11_warc_source": OP11,
     "op13_bidirectional_repair": OP13,
 }
