@@ -16,6 +16,7 @@ from ..sources.staging import shared_path
 from . import mixing
 from .archives import archived_pages, page_records, write_archive
 from .conversation_repair import damaged, repair_conversations
+from .conversation_trie import prefix_trie, rebuilt
 from .html_extract import extract_text
 from .language_id import identify_languages
 from .near_dedup import near_duplicates
@@ -95,6 +96,10 @@ def op11_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(spark, path)
 
 
+def op12_ternary_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 def op13_bidirectional_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(_table(spark, sf_dir, "conversations")))
 
@@ -103,7 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (
         op1_branch_and_bound_top_k, op2_substring_dedup, op3_hyperminhash, op4_shortest_pack_first, op5_longest_match_counts,
         op6_hierarchical_mix, op7_redirect_url_filter, op8_line_frequency_rules, op9_ftrl_language_id, op10_suffix_array_text,
-        op11_warc_source, op13_bidirectional_repair,
+        op11_warc_source, op12_ternary_prefix_trie, op13_bidirectional_repair,
     )
     return {f.__name__: f for f in all_}
 

@@ -94,7 +94,35 @@ SELECT page_id, payload_bytes, {_base32("digest")} AS payload_digest, CASE WHEN
        CASE WHEN nth > 1 THEN keeper END AS refers_to FROM r
 """
 
+OP12 = rf"""
+WITH k AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, list({{'t': role || chr(0) || text, 'w': len(regexp_extract_all(text, '{_BLANK}+'))}} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM k GROUP BY conv_id),
+r AS (
+  SELECT o.conv_id, o.turns, coalesce(b.turns, []) AS base, {_crc32("o.conv_id::VARCHAR")} % 4 AS h
+  FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+s AS (SELECT conv_id, list_concat(list_slice(base, 1, h), list_slice(turns, h + 1, len(turns))) AS turns FROM r),
+p AS (
+  SELECT conv_id, d, sha256(array_to_string(list_transform(list_slice(turns, 1, d), lambda t: sha256(t.t)), ',')) AS node,
+         sha256(array_to_string(list_transform(list_slice(turns, 1, d - 1), lambda t: sha256(t.t)), ',')) AS parent,
+         CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS words, d = len(turns) AS ends
+  FROM s, unnest(range(0, len(turns) + 1)) AS x(d)),
+n AS (
+  SELECT d, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids FROM p GROUP BY d, node),
+c AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (d, node)),
+t AS (
+  SELECT u.d, u.node, count(*) FILTER (WHERE m.n_children = 0) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved_tokens
+  FROM m JOIN p v ON v.conv_id = m.conv_id AND v.d = m.d JOIN p u ON u.conv_id = v.conv_id AND u.d <= v.d GROUP BY u.d, u.node)
+SELECT m.conv_id, m.d::BIGINT AS depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, t.n_leaves::BIGINT AS n_leaves,
+       t.saved_tokens::BIGINT AS saved_tokens, sha256(m.ids) AS ends_sha256
+FROM m JOIN t USING (d, node) LEFT JOIN m a ON m.d > 0 AND a.d = m.d - 1 AND a.node = m.parent
+"""
+
 RECORDS_SQL = {
     "op11_warc_source": OP11,
+    "op12_ternary_prefix_trie": OP12,
     "op13_bidirectional_repair": OP13,
 }
