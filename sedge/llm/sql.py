@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .mixing import DOCUMENTS_WEIGHTS
-from .url_filter import CANONICAL, HOST, HREF, PAGES_RULES, PATH, QUERY, REFRESH, TARGET
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,50 +67,88 @@ SELECT doc_id, domain, lang, source, n_tokens,
 """
 
 
-def _text(x: str) -> str:
-    return x.replace("'", "''")
+# verdict, host, path
+_PAGE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
 def _rules(host: str, path: str, value) -> str:
-    ordered = sorted(PAGES_RULES, key=lambda r: len(r.host + r.path), reverse=True)
-    fits = lambda r: f"({host} = '{r.host}' OR {host} LIKE '%.{r.host}') AND {path} LIKE '{r.path}%'"
+    ordered = sorted(_PAGE_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = lambda r: f"({host} = '{r[1]}' OR {host} LIKE '%.{r[1]}') AND {path} LIKE '{r[2]}%'"
     return "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in ordered) + " END"
 
 
+def _after(url: str) -> str:
+    """What follows the first ://."""
+    return f"CASE WHEN contains({url}, '://') THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
+
+
 def _host(url: str) -> str:
-    return f"coalesce(translate(regexp_extract({url}, '{_text(HOST)}', 1), '{_UPPER}', '{_LOWER}'), '')"
+    return f"coalesce(translate(regexp_extract({_after(url)}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}'), '')"
 
 
 def _path(url: str) -> str:
-    return f"coalesce(regexp_extract({url}, '{_text(PATH)}', 1), '')"
+    return f"coalesce(regexp_extract({_after(url)}, '^[^/?#]*([^?#]*)', 1), '')"
+
+
+def _query(url: str) -> str:
+    return f"regexp_extract({_after(url)}, '^[^?#]*([?][^#]*)', 1)"
 
 
 def _key(url: str) -> str:
-    return f"{_host(url)} || CASE WHEN {_path(url)} = '' THEN '/' ELSE {_path(url)} END || regexp_extract({url}, '{_text(QUERY)}', 1)"
+    return f"CASE WHEN contains({url}, '://') THEN {_host(url)} || CASE WHEN {_path(url)} = '' THEN '/' ELSE {_path(url)} END || {_query(url)} END"
+
+
+def _root(url: str) -> str:
+    return f"regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1)"
+
+
+def _dotless(path: str) -> str:
+    """`..` takes the segment before it away, `.` nothing; either at the end leaves a slash."""
+    parts = f"string_split(substr({path}, 2), '/')"
+    step = "CASE WHEN x[1] = '.' THEN k WHEN x[1] = '..' THEN list_slice(k, 1, greatest(len(k) - 1, 0)) ELSE list_concat(k, x) END"
+    folded = f"list_reduce(list_prepend([]::VARCHAR[], list_transform({parts}, lambda y: [y])), lambda k, x: {step})"
+    return f"'/' || array_to_string(list_concat({folded}, CASE WHEN {parts}[-1] IN ('.', '..') THEN [''] ELSE [] END), '/')"
+
+
+def _resolve(target: str, base: str) -> str:
+    path, rest = f"regexp_extract({target}, '^[^?#]*')", f"regexp_extract({target}, '(?s)^[^?#]*(.*)$', 1)"
+    folder = f"CASE WHEN {_path(base)} = '' THEN '/' ELSE regexp_replace({_path(base)}, '[^/]*$', '') END"
+    return f"""CASE
+    WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {target}
+    WHEN {target} LIKE '//%' THEN regexp_extract({base}, '(?s)^(.*?:)//', 1) || {target}
+    WHEN {target} LIKE '/%' THEN {_root(base)} || {_dotless(path)} || {rest}
+    WHEN {target} LIKE '#%' THEN {_root(base)} || {_path(base)} || {_query(base)}
+    WHEN {target} LIKE '?%' THEN {_root(base)} || {_path(base)} || {target}
+    ELSE {_root(base)} || {_dotless(f"({folder} || {path})")} || {rest} END"""
+
+
+def _href(tag: str) -> str:
+    value = r"""(?is)\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)"""
+    return f"""trim(replace(regexp_replace(regexp_extract({tag}, '{value}', 1), '^["''](.*)["'']$', '\\1', 's'), '&amp;', '&'))"""
 
 
 OP7 = f"""
-WITH RECURSIVE heads AS (SELECT url, string_split(html, '<body')[1] AS head FROM pages WHERE url IS NOT NULL),
-tags AS (SELECT url, regexp_extract(head, '{_text(CANONICAL)}', 0) AS canonical, regexp_extract(head, '{_text(REFRESH)}', 0) AS refresh FROM heads),
-found AS (
-  SELECT url, regexp_extract(canonical, '{_text(HREF)}', 1) || regexp_extract(canonical, '{_text(HREF)}', 2) || regexp_extract(canonical, '{_text(HREF)}', 3) AS target FROM tags
-  UNION ALL SELECT url, regexp_extract(refresh, '{_text(TARGET)}', 1) FROM tags),
-plain AS (SELECT url, trim(replace(target, '&amp;', '&')) AS target FROM found WHERE target <> ''),
-whole AS (
-  SELECT url, CASE
-    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
-    WHEN target LIKE '//%' THEN regexp_extract(url, '^(.*?:)//', 1) || target
-    WHEN target LIKE '/%' THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || target
-    ELSE regexp_extract(url, '^(.*?://[^/?#]*)', 1) || regexp_replace({_path("url")}, '[^/]*$', '') || target END AS target FROM plain),
-edge AS (SELECT {_key("url")} AS u, {_key("target")} AS v FROM whole),
+WITH RECURSIVE heads AS (
+  SELECT url, regexp_replace(regexp_split_to_array(html, '(?i)<body\\b')[1], '(?s)<!--.*?(?:-->|$)', '', 'g') AS head
+  FROM pages WHERE contains(url, '://')),
+tags AS (
+  SELECT url, head, unnest(list_concat(
+    list_transform(regexp_extract_all(head, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), lambda t: {_href("t")}),
+    list_transform(regexp_extract_all(head, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'),
+                   lambda t: trim(replace(regexp_extract(t, '(?is)\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1), '&amp;', '&'))))) AS target
+  FROM heads),
+based AS (SELECT url, target, {_href("regexp_extract(head, '(?is)<base" + chr(92) + "b[^>]*>')")} AS given FROM tags WHERE target <> ''),
+whole AS (SELECT url, target, CASE WHEN given = '' THEN url ELSE {_resolve("given", "url")} END AS base FROM based),
+found AS (SELECT url, {_resolve("target", "base")} AS target FROM whole),
+edge AS (SELECT {_key("url")} AS u, {_key("target")} AS v FROM found),
 both_ AS (SELECT u, v FROM edge WHERE u <> v UNION SELECT v, u FROM edge WHERE u <> v),
 reach AS (SELECT u AS node, u AS seen FROM both_ UNION SELECT r.node, b.v FROM reach r JOIN both_ b ON r.seen = b.u),
 judged AS (
-  SELECT node, {_rules("regexp_extract(seen, '^([^/]*)', 1)", "regexp_extract(seen, '^[^/]*([^?]*)', 1)", lambda r: r.verdict)} AS said FROM reach),
+  SELECT node, {_rules("regexp_extract(seen, '^([^/]*)', 1)", "regexp_extract(seen, '^[^/]*([^?]*)', 1)", lambda r: r[0])} AS said FROM reach),
 class AS (SELECT node, CASE WHEN bool_or(said = 'allow') THEN 'allow' WHEN bool_or(said = 'block') THEN 'block' ELSE 'allow' END AS verdict FROM judged GROUP BY node),
 page AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, {_key("url")} AS node FROM pages)
-SELECT page_id, host, path, {_rules("host", "path", lambda r: r.host + r.path)} AS rule,
-       coalesce({_rules("host", "path", lambda r: r.verdict)}, class.verdict, 'allow') AS verdict
+SELECT page_id, host, path, {_rules("host", "path", lambda r: r[1] + r[2])} AS rule,
+       coalesce({_rules("host", "path", lambda r: r[0])}, class.verdict, 'allow') AS verdict
 FROM page LEFT JOIN class USING (node)
 """
 

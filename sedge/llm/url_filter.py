@@ -29,6 +29,8 @@ QUERY = r"(?s)^.*?://[^?#]*(\?[^#]*)"
 CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+COMMENT = r"(?s)<!--.*?(?:-->|$)"
+BASE = r"(?is)<base\b[^>]*>"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)"
 
 
@@ -44,9 +46,33 @@ def path_of(url: Column) -> Column:
 
 
 def _key(url: Column) -> Column:
-    """What aliases of scheme, fragment and host case have in common."""
+    """What aliases of scheme, fragment and host case have in common; null for a url without ://, which is no node."""
     path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
-    return F.concat(host_of(url), path, F.regexp_extract(url, QUERY, 1))
+    return F.when(F.contains(url, F.lit("://")), F.concat(host_of(url), path, F.regexp_extract(url, QUERY, 1)))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / without its `.` and `..` segments (RFC 3986, 5.2.4)."""
+    parts = F.split(F.substr(path, F.lit(2)), "/", -1)
+    tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), tail), "/"))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """A reference in full (RFC 3986, 5.2), from a base with ://; other schemes stay as they are."""
+    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    own, query = path_of(base), F.regexp_extract(base, QUERY, 1)
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(own == "", F.lit("/")).otherwise(F.regexp_replace(own, r"[^/]*$", ""))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(root, _without_dots(path), rest))
+        .when(target.startswith("#"), F.concat(root, own, query))
+        .when(path == "", F.concat(root, own, rest))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), rest))
+    )
 
 
 def _rule(host: Column, path: Column, rules: list[Rule], value) -> Column:
@@ -60,23 +86,19 @@ def _rule(host: Column, path: Column, rules: list[Rule], value) -> Column:
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(source, target) urls of all redirects and canonical links of page heads.
 
-    A head ends where the body begins; a null html has none.
+    A head ends where the body begins, and comments in it don't count; a null
+    html has none.  Targets are resolved against the page's first <base href>,
+    else its url; pages whose url has no :// link nothing.
     """
-    url, head = F.col(url_col), F.split(F.col(html_col), r"(?i)<body\b", 2)[0]
+    url, head = F.col(url_col), F.regexp_replace(F.split(F.col(html_col), r"(?i)<body\b", 2)[0], COMMENT, "")
     href = lambda tag: F.concat(*(F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)))
     canonical = F.transform(F.regexp_extract_all(head, F.lit(CANONICAL), F.lit(0)), href)
     refresh = F.transform(F.regexp_extract_all(head, F.lit(REFRESH), F.lit(0)), lambda tag: F.regexp_extract(tag, TARGET, 1))
     plain = lambda c: F.trim(F.replace(c, F.lit("&amp;"), F.lit("&")))
-    out = pages.select(url.alias("source"), F.explode(F.transform(F.concat(canonical, refresh), plain)).alias("target"))
-    out = out.where("source is not null and target is not null and target <> ''")
-    root = F.regexp_extract("source", r"(?s)^(.*?://[^/?#]*)", 1)
-    full = (
-        F.when(F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat(F.regexp_extract("source", r"(?s)^(.*?:)//", 1), F.col("target")))
-        .when(F.col("target").startswith("/"), F.concat(root, F.col("target")))
-        .otherwise(F.concat(root, F.regexp_replace(path_of(F.col("source")), r"[^/]*$", ""), F.col("target")))
-    )
-    return out.select("source", full.alias("target"))
+    out = pages.where(F.contains(url, F.lit("://")))
+    out = out.select(url.alias("source"), plain(href(F.regexp_extract(head, BASE, 0))).alias("base"), F.explode(F.transform(F.concat(canonical, refresh), plain)).alias("target"))
+    out = out.where("target <> ''").withColumn("base", F.when(F.col("base") == "", F.col("source")).otherwise(resolved(F.col("base"), F.col("source"))))
+    return out.select("source", resolved(F.col("target"), F.col("base")).alias("target"))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], links: DataFrame, url_col: str = "url") -> DataFrame:

@@ -1,9 +1,11 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sedge.llm import components
 from sedge.llm.components import connected_components
-from sedge.llm.url_filter import PAGES_RULES, filter_urls, page_links
+from sedge.llm.sql import SQL
+from sedge.llm.url_filter import PAGES_RULES, filter_urls, page_links, resolved
 
 
 def judged(spark, rows, rules=PAGES_RULES):
@@ -58,3 +60,35 @@ def test_components_of_chains_and_hubs(spark, monkeypatch, few):
 
 def test_empty(spark):
     assert judged(spark, []) == {} and judged(spark, [(1, "http://a.net/", None)], [])[1][3] == "allow"
+
+
+def test_urls_without_a_host_are_no_nodes(spark):
+    rows = [(1, "abc", link("https://x.net/")), (2, "mailto:q", None), (3, "http://ok.com/a", link("mailto:q")), (4, None, link("http://bad.net/"))]
+    assert {k: v[3] for k, v in judged(spark, rows).items()} == {1: "allow", 2: "allow", 3: "allow", 4: "allow"}
+
+
+def test_references_of_rfc_3986(spark):
+    """The examples of section 5.4, but for the fragment-only forms, which lose their fragment as keys do."""
+    base = "http://a/b/c/d;p?q"
+    want = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "g?y#s": "http://a/b/c/g?y#s",
+        ";x": "http://a/b/c/;x", "#s": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g",
+        "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h",
+        "g/../h": "http://a/b/c/h", "g;x=1/../y": "http://a/b/c/y", "g?y/../x": "http://a/b/c/g?y/../x", "g:h": "g:h",
+    }
+    df = spark.createDataFrame([(k,) for k in want], "t string")
+    assert {r.t: r.full for r in df.select("t", resolved(F.col("t"), F.lit(base)).alias("full")).collect()} == want
+
+
+def test_sql_follows_the_same_links(spark):
+    rows = [
+        (1, "http://a.com/x/1?k=1", link("?k=2")), (2, "http://a.com/x/1?k=2", link("../y/./2")), (3, "http://a.com/y/2", "<head><base href='//b.com/z/'><link href=\"q\" rel=canonical></head>"),
+        (4, "http://b.com/z/q", "<meta http-equiv=refresh content='0;URL=http://c.net/'>"), (5, "http://d.com/", "<!-- <link rel=canonical href='http://c.net/'> --><link rel=canonical href='http://e.org/fr/1'>"),
+        (6, "HTTP://D.com", None), (7, "abc", link("https://x.net/")), (8, "mailto:q", None), (9, None, None), (10, "http://f.com/a", link("mailto:q")), (11, "http://g.com", link("x&amp;y")), (12, "http://g.com/x&y", link("http://h.net")),
+    ]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    got = judged(spark, rows)
+    assert {r[0]: r[1:] for r in db.execute(SQL["op7_redirect_url_filter"]).fetchall()} == got
+    assert [got[k][3] for k in range(1, 13)] == ["block"] * 4 + ["allow"] * 6 + ["block"] * 2
