@@ -76,8 +76,8 @@ class Engine:
         near = None
         if vectors is not None and self.vectors is not None:
             mean = centroid(vectors, ["query_id"], "qv").select("query_id", F.col("centroid").alias("qv"))
-            near = dense.cosine_scores(mean, self.vectors.join(ids, "id", "left_semi"))
-            near = staged(lexical.top_per_query(near, limit).drop("rank"), "near")
+            near = dense.cosine_top(mean, self.vectors.join(ids, "id", "left_semi"), limit, places=12)
+            near = staged(near.drop("rank"), "near")
         lists = staged(lexical.cascade(fts, seen.select("id", "text"), plain, near, limit), "lists")
         fused = fusion.server_fusion(lists.drop("source"), fts.limit(0) if near is None else near, pool, top)
         fused = fused.join(lists.select("query_id", "id", "source"), ["query_id", "id"], "left")

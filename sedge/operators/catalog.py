@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import upload_name
+from .ranks import exact_ranks
 
 FILTER_KEYS = ("status", "include_expired", "type", "document_id", "language", "owner_id")
 
@@ -76,10 +77,12 @@ def suggestions(documents: DataFrame, query: str, limit: int = 5) -> DataFrame:
 
 
 def unique_numbers(documents: DataFrame, order: tuple = ("document_id",)) -> DataFrame:
-    """Within an owner, later documents of a number get a suffix of their checksum."""
-    nth = F.row_number().over(Window.partitionBy("owner_id", "number").orderBy(*order))
+    """Within an owner, later documents of a number get a suffix of their checksum.
+
+    The given columns are written once to be ranked: leave texts out.
+    """
     suffix = F.concat("number", F.lit(" ("), F.substring("checksum", 1, 6), F.lit(")"))
-    return documents.withColumn("nth", nth).withColumn("unique_number", F.when(F.col("nth") > 1, suffix).otherwise(F.col("number"))).drop("nth")
+    return exact_ranks(documents, ["owner_id", "number"], list(order), "nth").withColumn("unique_number", F.when(F.col("nth") > 1, suffix).otherwise(F.col("number"))).drop("nth")
 
 
 def new_rows(incoming: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,7 +169,6 @@ def accepted_uploads(files: DataFrame, limit: int = 100 * 1024 * 1024) -> DataFr
     """
     safe = upload_name(F.col("name"))
     kept = files.where((F.col("size") <= limit) & F.lower(F.trim("name")).endswith(".pdf")).withColumn("file", safe)
-    nth = F.row_number().over(Window.partitionBy("file").orderBy("upload_id")) - 1
     stem = F.regexp_replace("file", r"\.[^.]*$", "")
-    kept = kept.withColumn("nth", nth)
+    kept = exact_ranks(kept, ["file"], ["upload_id"], "nth").withColumn("nth", F.col("nth") - 1)
     return kept.withColumn("file", F.when(F.col("nth") == 0, F.col("file")).otherwise(F.concat(stem, F.lit("_"), F.col("nth").cast("string"), F.lit(".pdf")))).drop("nth")

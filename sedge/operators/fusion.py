@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import exact_ranks
+
 RRF_K = 60
 
 
@@ -45,14 +47,17 @@ def client_fusion(lexical: DataFrame, dense: DataFrame, top: int = 10, places: i
     """query_id, id, bm, vec, rrf, percent, label, rank.
 
     `lexical` is (query_id, variant, id, score), `dense` (query_id, id, score)
-    over all vectors.  Order is by rrf alone, percent also by the vector.
+    over all vectors, which are ranked in parts.  Order is by rrf alone,
+    percent also by the vector.
     """
-    ranked = lexical.select("query_id", "id", F.col("score").alias("bm"), F.lit(None).cast("double").alias("vec"), _rank([F.desc("score"), "id"], "query_id", "variant").alias("r"))
-    dense = dense.select("query_id", "id", F.lit(None).cast("double").alias("bm"), F.col("score").alias("vec"), _rank([F.desc("score"), "id"], "query_id").alias("r"))
-    fused = ranked.unionByName(dense).groupBy("query_id", "id")
-    fused = fused.agg(F.max("bm").alias("bm"), F.max("vec").alias("vec"), F.round(F.sum(1 / (RRF_K + F.col("r"))), places).alias("rrf"))
-    by = Window.partitionBy("query_id")
-    fused = fused.withColumn("best", F.max("rrf").over(by)).withColumn("rank", _rank([F.desc("rrf"), "id"], "query_id")).where(F.col("rank") <= top)
+    lexical = exact_ranks(lexical.select("query_id", "variant", "id", "score"), ["query_id", "variant"], [F.desc("score"), "id"], "r")
+    dense = exact_ranks(dense.select("query_id", "id", "score"), ["query_id"], [F.desc("score"), "id"], "r")
+    ranked = lexical.select("query_id", "id", F.col("score").alias("bm"), F.lit(None).cast("double").alias("vec"), "r")
+    ranked = ranked.unionByName(dense.select("query_id", "id", F.lit(None).cast("double").alias("bm"), F.col("score").alias("vec"), "r"))
+    fused = ranked.groupBy("query_id", "id").agg(F.max("bm").alias("bm"), F.max("vec").alias("vec"), F.round(F.sum(1 / (RRF_K + F.col("r"))), places).alias("rrf"))
+    # the best are cut within each task before a query's rows meet
+    fused = fused.withColumn("rank", _rank([F.desc("rrf"), "id"], "query_id")).where(F.col("rank") <= top)
+    fused = fused.withColumn("best", F.max("rrf").over(Window.partitionBy("query_id")))
     combined = 0.6 * F.col("rrf") / F.col("best") + 0.4 * F.coalesce("vec", F.lit(0.0))
     percent = F.greatest(F.lit(10), F.least(F.lit(98), F.floor(F.round(10 + 88 * combined, 6) + 0.5))).cast("int")
     return fused.select("query_id", "id", "bm", "vec", "rrf", percent.alias("percent"), client_label(percent).alias("label"), "rank")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.profiles import Profile
 from ..functions.text import kept_token, raw_tokens, stem, tokenize, trigrams
+from .ranks import exact_ranks
 
 K1, B = 1.2, 0.75
 #: Terms of a query batch, or similar narrow rows, that go to every task; more are left to a shuffle.
@@ -74,10 +75,15 @@ def statistics(lengths_: DataFrame) -> DataFrame:
     return lengths_.agg(F.count("*").alias("n"), F.coalesce(F.round(F.avg("dl"), 2), F.lit(0.0)).alias("avgdl"))
 
 
-def posting_lists(postings_: DataFrame) -> DataFrame:
-    """(term, df, list): postings of a term in order of id."""
+def posting_segments(postings_: DataFrame, size: int = 4096) -> DataFrame:
+    """(term, segment, n, list): postings of a term in order of id, cut into segments of `size` entries.
+
+    Entries are ranked in parts, so a term of all texts is no single group.
+    """
+    placed = exact_ranks(postings_.select("term", "id", "tf"), ["term"], ["id"])
+    segment = F.floor((F.col("rank") - 1) / size).cast("long")
     lists = F.sort_array(F.collect_list(F.struct("id", "tf")))
-    return postings_.groupBy("term").agg(F.count("*").alias("df"), lists.alias("list"))
+    return placed.groupBy("term", segment.alias("segment")).agg(F.count("*").alias("n"), lists.alias("list"))
 
 
 def query_terms(queries: DataFrame, profile: Profile, text_col: str = "text") -> DataFrame:

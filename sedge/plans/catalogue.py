@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.profiles import LATIN
-from ..operators import answers, catalog, chunking, dense, expansion, fusion, lexical, usage
+from ..operators import answers, blockmax, catalog, chunking, dense, expansion, fusion, lexical, usage
 from ..sources import artifacts, collected
-from ..sources.staging import shared_path
+from ..sources.staging import shared_path, staged
 from ..streaming import jobs
 from .tables import DOCUMENTS_SQL, LINES_SQL, LOG_SQL, documents, lines, query_log, requests, table
 
@@ -123,7 +123,12 @@ def _near(spark: SparkSession, sf_dir: str, which: str = "id IN (1, 2, 3)") -> D
 SELECT query_id, CAST(rank AS INT) AS rank, id AS doc_id, score, source FROM r LEFT JOIN documents ON doc_id = id WHERE rank <= 10"""
 )
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = lexical.top_per_query(_bm25(spark, sf_dir), 10)
+    terms = lexical.query_terms(_asked(spark), LATIN)
+    counted = staged(_counted(spark, sf_dir, terms), "counted")
+    sizes = lexical.lengths(counted)
+    stats = lexical.statistics(sizes)
+    lists, shards, avgdl = blockmax.shard_lists(lexical.postings(counted), sizes, stats)
+    top = blockmax.top(terms, lists, shards, stats.first()["n"], avgdl, 10)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     return top.join(docs, "id", "left").select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score", "source")
 
@@ -145,13 +150,14 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""WITH tok AS (SELECT doc_id AS id, {_tokens("text")} AS tokens FROM documents),
-post AS (SELECT t AS term, id, count(*) AS tf FROM tok, unnest(tokens) AS x(t) GROUP BY t, id)
-SELECT term, count(*) AS df, string_agg(id || ':' || tf, ' ' ORDER BY id) AS list FROM post GROUP BY term"""
+post AS (SELECT t AS term, id, count(*) AS tf FROM tok, unnest(tokens) AS x(t) GROUP BY t, id),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY id) - 1) // 256 AS segment FROM post)
+SELECT term, segment, count(*) AS n, string_agg(id || ':' || tf, ' ' ORDER BY id) AS list FROM placed GROUP BY term, segment"""
 )
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = lexical.postings(_counted(spark, sf_dir))
+    segments = lexical.posting_segments(lexical.postings(_counted(spark, sf_dir)), 256)
     entry = F.transform("list", lambda x: F.concat_ws(":", x["id"].cast("string"), x["tf"].cast("string")))
-    return lexical.posting_lists(post).select("term", "df", F.array_join(entry, " ").alias("list"))
+    return segments.select("term", "segment", "n", F.array_join(entry, " ").alias("list"))
 
 
 @_query(f"""WITH len_ AS (SELECT len({_tokens("text")}) AS dl FROM documents) SELECT count(*) AS n, round(avg(dl), 2) AS avgdl FROM len_""")
@@ -235,7 +241,8 @@ def cover_density_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"""
 )
 def knn_cosine_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top_per_query(_near(spark, sf_dir, "id % 100 = 0"), 10).select("query_id", "id", "score", F.col("rank").cast("int").alias("rank"))
+    v = _unit(spark, sf_dir)
+    return dense.cosine_top(_probes(v), v, 10).withColumn("rank", F.col("rank").cast("int"))
 
 
 _INT8 = """sc AS (
@@ -253,8 +260,7 @@ SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"""
 )
 def knn_int8_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _unit(spark, sf_dir)
-    scored = dense.int8_scores(_probes(v), vx.quantize(v.where("v is not null"), "v")).withColumn("score", F.round("score", 6))
-    return lexical.top_per_query(scored, 10).select("query_id", "id", "score", F.col("rank").cast("int").alias("rank"))
+    return dense.int8_top(_probes(v), vx.quantize(v.where("v is not null"), "v"), 10).withColumn("rank", F.col("rank").cast("int"))
 
 
 @_query(
@@ -489,7 +495,8 @@ def dedup_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT document_id, owner_id, CASE WHEN nth > 1 THEN number || ' (' || substr(checksum, 1, 6) || ')' ELSE number END AS unique_number FROM r"""
 )
 def number_disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.unique_numbers(documents(spark, sf_dir)).select("document_id", "owner_id", "unique_number")
+    rows = documents(spark, sf_dir).select("document_id", "owner_id", "number", "checksum")
+    return catalog.unique_numbers(rows).select("document_id", "owner_id", "unique_number")
 
 
 @_query(
