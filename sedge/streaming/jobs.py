@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -61,30 +65,136 @@ def once(documents: DataFrame, keys: list[str], late: str = "1 day") -> DataFram
     return documents.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def ingest(incoming: DataFrame, table: str, log: str, checkpoint: str, keys: list[str], most: int = 3, least_bytes: int = 5000):
-    """Append the new documents of each batch to `table`, a row to `log`.
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    A batch takes documents of more than `least_bytes`, at most `most` by id,
-    whose keys the table doesn't hold.  Runs until all input is read.
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table written poll by poll, with its column `poll`; empty before the first."""
+    schema = f"{schema}, poll string"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+class PollIngest:
+    """Appends new documents to a table, at most so many a poll, and loses none.
+
+    `path` holds three tables, each with a folder for every poll that a poll
+    which runs again replaces: `waiting` has all documents of more than
+    `least_bytes` that were seen, `documents` those that were taken, `log` a
+    row for each poll.  A poll takes, of what waits and whose `keys` no other
+    poll has taken, the documents of the `most` least ids; of those with equal
+    keys the one of the least id.  The others stay and are taken by later polls.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            known = spark.read.schema(batch.schema).parquet(table)
-            known.limit(1).count()
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = batch.limit(0)
-        fresh = batch.where(F.length("text") > least_bytes).dropDuplicates(keys).join(known.select(*keys).distinct(), keys, "left_anti")
-        fresh = fresh.orderBy("id").limit(most).select(*batch.columns).persist()
-        found, new = batch.count(), fresh.count()
-        fresh.write.mode("append").parquet(table)
-        row = [(batch_id, "success" if new else "no_changes", found, new)]
-        spark.createDataFrame(row, "batch_id long, status string, found long, new long").coalesce(1).write.mode("append").parquet(log)
-        fresh.unpersist()
-        batch.unpersist()
-
-    return incoming.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, path: str, schema: str, keys: list[str], most: int = 3, least_bytes: int = 5000):
+        self.path, self.schema, self.keys, self.most, self.least_bytes = path, schema, keys, most, least_bytes
+
+    def documents(self, spark: SparkSession) -> DataFrame:
+        return _table(spark, f"{self.path}/documents", self.schema)
+
+    def log(self, spark: SparkSession) -> DataFrame:
+        return _table(spark, f"{self.path}/log", "status string, found long, new long")
+
+    def poll(self, spark: SparkSession, poll: str, arrived: DataFrame | None = None) -> int:
+        """One poll, with new documents or without; the number of those taken."""
+        found = 0
+        if arrived is not None:
+            seen = f"{self.path}/waiting/poll={poll}"
+            arrived.withColumn("_long", F.length("text") > self.least_bytes).write.mode("overwrite").parquet(seen)
+            found = spark.read.parquet(seen).count()
+        waiting = _table(spark, f"{self.path}/waiting", f"{self.schema}, _long boolean").where("_long").drop("_long", "poll")
+        taken = self.documents(spark).where(F.col("poll") != poll).select(*self.keys)
+        same = functools.reduce(lambda a, b: a & b, (waiting[k].eqNullSafe(taken[k]) for k in self.keys))
+        fresh = waiting.join(taken, same, "left_anti")
+        first = fresh.groupBy(*self.keys).agg(F.min("id").alias("id")).orderBy("id").limit(self.most).select("id")  # ids of so many rows at most
+        chosen = waiting.join(F.broadcast(first), "id", "left_semi").dropDuplicates(["id"])
+        part = f"{self.path}/documents/poll={poll}"
+        chosen.write.mode("overwrite").parquet(part)
+        new = spark.read.schema(self.schema).parquet(part).count()
+        row = [("success" if new else "no_changes", found, new)]
+        spark.createDataFrame(row, "status string, found long, new long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/poll={poll}")
+        return new
+
+    def stream(self, incoming: DataFrame, checkpoint: str):
+        """A poll for each batch of a stream, until all input is read."""
+        step = lambda batch, batch_id: self.poll(batch.sparkSession, f"s{batch_id:09d}", batch) and None
+        return incoming.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def drain(self, spark: SparkSession) -> int:
+        """Polls without new documents until nothing waits; their number."""
+        done = self.log(spark).where("poll like 'd%'").count()
+        for n in itertools.count():
+            if not self.poll(spark, f"d{done + n:09d}"):
+                return n
+
+
+def ingest(incoming: DataFrame, path: str, checkpoint: str, keys: list[str], most: int = 3, least_bytes: int = 5000):
+    """Poll once for each batch of `incoming` (id, text, keys): see PollIngest."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in incoming.schema)
+    return PollIngest(path, schema, keys, most, least_bytes).stream(incoming, checkpoint)
+
+
+class _Credits(StatefulProcessor):
+    """What a subject has used since its window began."""
+
+    def __init__(self, limit: int, hours: int):
+        self.limit, self.micros = limit, hours * 3_600_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start long, used long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        start, used = self.window.get() if self.window.exists() else (None, 0)
+        held = pd.concat([pdf[["micros", "request_id", "cost"]] for pdf in rows]).sort_values(["micros", "request_id"])
+        accepted, after, begins = [], [], []
+        for micros, cost in zip(held["micros"].tolist(), held["cost"].tolist()):
+            if start is None or micros >= start + self.micros:
+                start, used = micros, 0
+            fits = used + cost <= self.limit
+            used += cost if fits else 0
+            accepted.append(fits)
+            after.append(used)
+            begins.append(start)
+        self.window.update((start, used))
+        self.handle.registerTimer((start + self.micros) // 1000 + 1)
+        yield pd.DataFrame({"subject": key[0], "request_id": held["request_id"].to_numpy(), "cost": held["cost"].to_numpy(), "accepted": accepted, "used": after, "since": begins})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed the end of a window: an idle subject keeps no state."""
+        if self.window.exists() and self.window.get()[0] + self.micros <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            self.window.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def credit_windows(requests: DataFrame, limit: int, hours: int = 24, late: str = "1 day") -> DataFrame:
+    """A stream of requests (subject, request_id, ts, cost), each accepted or not.
+
+    A subject's window begins with its first request and lasts `hours`; the
+    next request after that begins another.  A request is accepted if its cost
+    fits into what is left of `limit`; a rejected one costs nothing.  Requests
+    of one trigger are taken in order of time and id; those later than `late`
+    are dropped.  State is one pair of numbers for each subject with an open
+    window: a timer clears it when the watermark passes its end.  `used` is
+    what the window has used after a request, `since` its beginning.
+    """
+    rows = requests.withColumn("micros", F.unix_micros("ts")).withWatermark("ts", late)
+    schema = "subject string, request_id long, cost long, accepted boolean, used long, since long"
+    out = rows.groupBy("subject").transformWithStateInPandas(_Credits(limit, hours), schema, "append", "eventTime")
+    return out.withColumn("since", F.timestamp_micros("since"))
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within keep their state in RocksDB, as processors with timers need."""
+    key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, kind)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

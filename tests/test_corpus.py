@@ -105,19 +105,43 @@ def test_vector_files_round_trip(spark):
         artifacts.decode_shards(files.withColumn("content", F.concat(F.lit("x").cast("binary"), "content"))).collect()
 
 
-def test_ingest_appends_only_new_documents(spark, tmp_path):
-    make = lambda name, rows: spark.createDataFrame(rows, "id long, number string, text string").coalesce(1).write.parquet(str(tmp_path / "in" / name))
-    make("a", [(1, "n1", "x" * 6000), (2, "n2", "short"), (3, "n3", "x" * 6000)])
+def test_ingest_takes_every_new_document_once(spark, tmp_path):
+    schema = "id long, number string, text string"
+    make = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    make("a", [(1, "n1", "x" * 6000), (2, "n2", "short"), (3, "n3", "x" * 6000), (6, "n1", "z" * 6000), (7, "n7", "x" * 6000), (8, "n8", "x" * 6000), (9, "n9", "x" * 6000)])
+    job = jobs.PollIngest(str(tmp_path / "job"), schema, ["number"], most=2)
 
     def run():
-        stream = spark.readStream.schema("id long, number string, text string").parquet(str(tmp_path / "in" / "*"))
-        jobs.ingest(stream, str(tmp_path / "table"), str(tmp_path / "log"), str(tmp_path / "check"), ["number"]).awaitTermination()
-        return sorted(r.number for r in spark.read.parquet(str(tmp_path / "table")).collect())
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        job.stream(stream, str(tmp_path / "check")).awaitTermination()
+        return sorted(r.id for r in job.documents(spark).collect())
 
-    assert run() == ["n1", "n3"]
+    assert run() == [1, 3]
     make("b", [(4, "n3", "y" * 6000), (5, "n5", "y" * 6000)])
-    assert run() == ["n1", "n3", "n5"]
-    assert [(r.found, r.new) for r in spark.read.parquet(str(tmp_path / "log")).orderBy("batch_id").collect()] == [(3, 2), (2, 1)]
+    assert run() == [1, 3, 5, 7]  # what didn't fit into the first poll is not lost
+    assert job.poll(spark, "s000000001", spark.createDataFrame([(4, "n3", "y" * 6000), (5, "n5", "y" * 6000)], schema)) == 2  # a poll that runs again changes nothing
+    assert job.drain(spark) == 1 and job.drain(spark) == 0
+    assert sorted(r.id for r in job.documents(spark).collect()) == [1, 3, 5, 7, 8, 9]
+    log = {r.poll: (r.status, r.found, r.new) for r in job.log(spark).collect()}
+    assert [log[k] for k in sorted(log)] == [("success", 0, 2), ("no_changes", 0, 0), ("no_changes", 0, 0), ("success", 7, 2), ("success", 2, 2)]
+
+
+def test_credit_windows_go_on_after_a_restart(spark, tmp_path):
+    """Costs differ, a window ends after 24 hours, and state comes back from the checkpoint."""
+    schema = "subject string, request_id long, ts timestamp, cost long"
+    at = lambda hour: dt.datetime(2024, 1, 1) + dt.timedelta(hours=hour)
+    make = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    make("a", [("a", 2, at(1), 20), ("a", 1, at(0), 15), ("b", 3, at(2), 31), ("b", 4, at(3), 30)])
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        with jobs.state_store(spark):
+            out = jobs.run_to_end(jobs.credit_windows(stream, 30), str(tmp_path / "out"), str(tmp_path / "c"), "append")
+        return {r.request_id: (r.accepted, r.used) for r in out.collect()}
+
+    assert run() == {1: (True, 15), 2: (False, 15), 3: (False, 0), 4: (True, 30)}
+    make("b", [("a", 5, at(23), 15), ("a", 6, at(24), 30), ("b", 7, at(25), 1), ("b", 8, at(26), 1)])
+    assert {k: v for k, v in run().items() if k > 4} == {5: (True, 30), 6: (True, 30), 7: (False, 30), 8: (True, 1)}
 
 
 def test_stream_quota_folds_costs(spark, tmp_path):
