@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions.profiles import RUSSIAN, Profile
 from .functions.vectors import centroid
-from .operators import answers, catalog, dense, expansion, fusion, lexical
+from .operators import answers, catalog, dense, expansion, fusion, grams, lexical
 from .sources import artifacts
 from .sources.staging import staged
 
@@ -63,7 +63,7 @@ class Engine:
         plain = queries.select("query_id", tx.normalize_query(F.col("text")).alias("text"))
         variants = expansion.expand(plain, self.profile.synonyms, 3 if deep else 1)
         said = variants.groupBy("query_id").agg(F.collect_list(F.when(F.col("pos") > 0, F.col("variant"))).alias("more"), F.count("*").alias("n"))
-        plain = plain.join(said, "query_id").withColumn("words", lexical.fallback_words(F.col("text"), F.col("more")))
+        plain = plain.join(said, "query_id").withColumn("words", grams.fallback_words(F.col("text"), F.col("more")))
         keyed = variants.select("query_id", F.struct("query_id", "pos").alias("key"), "variant")
         terms = lexical.query_terms(keyed.select(F.col("key").alias("query_id"), "variant"), self.profile, "variant")
         scored = lexical.bm25(terms, self.postings, self.lengths, self.stats)
@@ -78,7 +78,7 @@ class Engine:
             mean = centroid(vectors, ["query_id"], "qv").select("query_id", F.col("centroid").alias("qv"))
             near = dense.cosine_top(mean, self.vectors.join(ids, "id", "left_semi"), limit, places=12)
             near = staged(near.drop("rank"), "near")
-        lists = staged(lexical.cascade(fts, seen.select("id", "text"), plain, near, limit), "lists")
+        lists = staged(grams.cascade(fts, seen.select("id", "text"), plain, near, limit), "lists")
         fused = fusion.server_fusion(lists.drop("source"), fts.limit(0) if near is None else near, pool, top)
         fused = fused.join(lists.select("query_id", "id", "source"), ["query_id", "id"], "left")
         vec = F.when(F.col("source") == "trigram", F.coalesce("vec", F.lit(0.0))).otherwise(F.col("vec"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..sources.staging import staged
+from .grams import rarest
 from .lexical import small
 
 # Phrases and messages of answers.
@@ -74,20 +76,52 @@ def grounded_pairs(quotes: DataFrame, contexts: DataFrame, threshold: float = 0.
     return judged.groupBy("quote_id", "context_id").agg(F.bool_or("exact").alias("exact"), F.bool_or("fuzzy").alias("fuzzy")).where("exact or fuzzy")
 
 
+def set_candidates(asked: DataFrame, held: DataFrame, index: DataFrame, first: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Two lists of pairs (quote_id, context_id, jaccard) that hold all best pairs.
+
+    asked: quote_id, w (distinct words), n; held: context_id, w, m; index:
+    (gram, id), the contexts of each word.  The first list has the contexts of
+    each quote's `first` rarest words.  Its best similarity is a bar: a context
+    that reaches it has one of the n - ceil(bar * n) + 1 rarest words and
+    between bar * n and n / bar words, so the second list has the contexts of
+    the further words up to there.
+    """
+    each = asked.select("quote_id", "n", F.explode("w").alias("gram"))
+    words = rarest(each, index, ["quote_id", "n"])
+    none = words.groupBy("quote_id").agg(F.count(F.when(F.col("df") == 0, 1)).alias("none"))
+    words = staged(words.where("df > 0").join(none, "quote_id"), "words")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(asked.select("quote_id", F.col("w").alias("qw"), "n"), "quote_id").join(held.select("context_id", F.col("w").alias("cw"), "m"), "context_id")
+        shared = F.size(F.array_intersect("qw", "cw"))
+        return both.select("quote_id", "context_id", F.round(shared / (F.col("n") + F.col("m") - shared), 9).alias("jaccard"))
+
+    met = index.join(words.where(F.col("place") < F.col("none") + first).select("quote_id", "gram"), "gram")
+    rare = staged(measured(met.select("quote_id", F.col("id").alias("context_id")).distinct()), "pairs")
+    bar = rare.groupBy("quote_id").agg(F.max("jaccard").alias("bar"))
+    more = words.where(F.col("place") >= F.col("none") + first).join(bar, "quote_id")
+    more = more.where(F.col("place") <= F.col("n") - F.ceil((F.col("bar") - 1e-8) * F.col("n"))).select("quote_id", "gram", "n", "bar")
+    sizes = held.select(F.col("context_id").alias("id"), "m")
+    met = index.join(more, "gram").join(sizes, "id").where((F.col("m") >= (F.col("bar") - 1e-8) * F.col("n")) & (F.col("m") * (F.col("bar") - 1e-8) <= F.col("n")))
+    pairs = met.select("quote_id", F.col("id").alias("context_id")).distinct().join(rare, ["quote_id", "context_id"], "left_anti")
+    return rare, measured(pairs)
+
+
 def most_similar(quotes: DataFrame, contexts: DataFrame) -> DataFrame:
     """(quote_id, context_id, jaccard): of all contexts the one that shares most words with each quote.
 
-    Shared words are counted in a join by word, whose partial sums are one row
-    for each quote that a context shares a word with; ties go to the smaller id.
+    Only contexts of a quote's rarest words are compared, as far as the best
+    similarity so far allows another one to reach it; ties go to the smaller
+    id.  Quotes that share no word with any context are left out.
     """
     words = lambda c: F.array_distinct(F.split(tx.squeeze(c), " "))
-    asked = quotes.select("quote_id", words(F.col("text")).alias("w"))
-    asked = small(asked.select("quote_id", F.size("w").alias("n"), F.explode("w").alias("word")))
-    held = contexts.select("context_id", words(F.col("text")).alias("w")).select("context_id", F.size("w").alias("m"), F.explode("w").alias("word"))
-    both = held.join(asked, "word").groupBy("quote_id", "context_id", "n", "m").agg(F.count("*").alias("both"))
-    jaccard = F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 9)
+    asked = staged(quotes.select("quote_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w")), "asked")
+    held = staged(contexts.select("context_id", words(F.col("text")).alias("w")).withColumn("m", F.size("w")), "held")
+    known = small(asked.select(F.explode("w").alias("gram")).distinct())
+    index = staged(held.select(F.col("context_id").alias("id"), F.explode("w").alias("gram")).join(known, "gram", "left_semi"), "index")
+    rare, more = set_candidates(asked, held, index)
     best = F.max_by(F.struct("context_id", "jaccard"), F.struct("jaccard", -F.col("context_id")))
-    return both.select("quote_id", "context_id", jaccard.alias("jaccard")).groupBy("quote_id").agg(best.alias("best")).select("quote_id", "best.*")
+    return rare.unionByName(more).groupBy("quote_id").agg(best.alias("best")).select("quote_id", "best.*")
 
 
 def strict_grounded(quote: Column, context: Column, said: Column) -> Column:

@@ -7,20 +7,16 @@ batch of one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.profiles import Profile
-from ..functions.text import kept_token, raw_tokens, stem, tokenize, trigrams
+from ..functions.text import kept_token, raw_tokens, stem, tokenize
 from .ranks import exact_ranks
 
 K1, B = 1.2, 0.75
 #: Terms of a query batch, or similar narrow rows, that go to every task; more are left to a shuffle.
 MAX_BROADCAST_ROWS = 100_000
-#: Queries that meet all rows in one pass.
-QUERY_BLOCK = 1000
 
 
 def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -140,71 +136,3 @@ def cover_density(tokens: DataFrame, terms: list[str], weight: float = 0.1) -> D
         return F.struct(now.alias("last"), F.when(fresh, low["i"]).otherwise(state["from_"]).alias("from_"), (state["score"] + gain).alias("score"))
 
     return rows.select("id", F.aggregate("p", start, step)["score"].alias("score")).where("score > 0")
-
-
-def contains_any(text: Column, words: list[str]) -> Column:
-    """Case-insensitive substring match of any word, without wildcards."""
-    return reduce(lambda a, b: a | b, (F.lower(text).contains(w.lower()) for w in words), F.lit(False))
-
-
-def fallback_words(text: Column, variants: Column | None = None, limit: int = 4, deep_limit: int = 6) -> Column:
-    """The words that the substring fallback asks for: the query's, then its variants'."""
-    long = lambda t: F.filter(F.split(t, " "), lambda w: F.length(w) >= 3)
-    own = F.slice(long(text), 1, limit)
-    if variants is None:
-        return own
-    more = F.array_except(F.flatten(F.transform(variants, long)), own)
-    return F.slice(F.concat(own, more), 1, deep_limit)
-
-
-def contains_search(rows: DataFrame, queries: DataFrame, text_col: str = "text") -> DataFrame:
-    """(query_id, id) of the rows (id, text) that contain any of a query's `words`, in any case.
-
-    The queries that are left to this fallback meet the rows in blocks that
-    every task holds.
-    """
-    asked = queries.select("query_id", F.transform("words", lambda w: F.lower(w)).alias("words")).where(F.size("words") > 0)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    low = rows.select("id", F.lower(text_col).alias("low"))
-    lot = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    hit = F.exists("words", lambda w: F.contains("low", w))
-    parts = (low.crossJoin(F.broadcast(asked if blocks == 1 else asked.where(lot == b))).where(hit).select("query_id", "id") for b in range(blocks))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def trigram_search(rows: DataFrame, queries: DataFrame, text_col: str = "text", least: float = 0.15) -> DataFrame:
-    """(query_id, id, sim) of the rows whose trigram similarity to a query (query_id, text) is above `least`.
-
-    Grams of rows and of queries meet in a join, so each row is cut once for
-    all queries and pairs without a common gram never arise.
-    """
-    asked = queries.select("query_id", trigrams(F.col("text")).alias("grams"))
-    asked = small(asked.select("query_id", F.size("grams").alias("asked"), F.explode("grams").alias("gram")))
-    held = rows.select("id", trigrams(F.col(text_col)).alias("grams"))
-    held = held.select("id", F.size("grams").alias("held"), F.explode("grams").alias("gram"))
-    both = held.join(asked, "gram").groupBy("query_id", "id", "held", "asked").agg(F.count("*").alias("both"))
-    sim = F.col("both") / (F.col("held") + F.col("asked") - F.col("both"))
-    return both.select("query_id", "id", sim.alias("sim")).where(F.col("sim") > least)
-
-
-def cascade(fts: DataFrame, rows: DataFrame, queries: DataFrame, dense: DataFrame | None = None, limit: int | None = None, least: float = 0.15) -> DataFrame:
-    """(query_id, id, score, source): the first lexical list that has an answer.
-
-    Full text (query_id, id, score) where a query has any; else the rows (id,
-    text) that contain one of its `words` (score 0.5); else, if the dense list
-    is empty as well, similar rows by trigrams (0.8 of the similarity).
-    `queries` has query_id, text and words; substrings need 3 characters of
-    query, trigrams 4.  Only queries without an answer reach the next list;
-    `limit` keeps so many rows of each.
-    """
-    without = lambda asked, found: asked.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    cut = lambda df: top_per_query(df, limit).drop("rank") if limit else df
-    open_ = without(queries, fts)
-    like = cut(contains_search(rows, open_.where("length(text) >= 3")).withColumn("score", F.lit(0.5)))
-    open_ = without(open_, like)
-    if dense is not None:
-        open_ = without(open_, dense)
-    near = trigram_search(rows, open_.where("length(text) >= 4"), least=least)
-    near = cut(near.select("query_id", "id", (F.col("sim") * 0.8).alias("score")))
-    parts = ((fts, "fts"), (like, "ilike"), (near, "trigram"))
-    return reduce(DataFrame.unionByName, (df.select("query_id", "id", "score", F.lit(name).alias("source")) for df, name in parts))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.profiles import LATIN
-from ..operators import answers, blockmax, catalog, chunking, dense, expansion, fusion, lexical, usage
+from ..operators import answers, blockmax, catalog, chunking, dense, expansion, fusion, grams, lexical, usage
 from ..sources import artifacts, collected
 from ..sources.staging import shared_path, staged
 from ..streaming import jobs
@@ -191,9 +191,9 @@ def fts_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE contains(lower(text), 'eauau') OR contains(lower(text), 'schst') OR contains(lower(text), 'therion') ORDER BY doc_id LIMIT 50"""
 )
 def ilike_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(1, "eauau schst of therion")], "query_id int, text string").withColumn("words", lexical.fallback_words(F.col("text")))
+    asked = spark.createDataFrame([(1, "eauau schst of therion")], "query_id int, text string").withColumn("words", grams.fallback_words(F.col("text")))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    hit = lexical.contains_search(rows, asked)
+    hit = grams.contains_search(rows, asked)
     return hit.select(F.col("id").alias("doc_id"), F.lit(0.5).alias("score")).orderBy("doc_id").limit(50)
 
 
@@ -210,7 +210,7 @@ SELECT item_id, round(i / (t - i), 6) AS sim FROM s WHERE i / (t - i) > 0.05 ORD
 def trigram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "id")
     asked = spark.createDataFrame([(1, TRIGRAM_QUERY)], "query_id int, text string")
-    found = lexical.trigram_search(rows, asked, least=0.05).withColumn("sim", F.round("sim", 6))
+    found = grams.trigram_search(rows, asked, least=0.05).withColumn("sim", F.round("sim", 6))
     return found.select(F.col("id").alias("item_id"), "sim").orderBy(F.desc("sim"), "item_id").limit(20)
 
 
@@ -401,11 +401,11 @@ UNION ALL SELECT query_id, id, 0.5::DOUBLE, 'ilike' FROM like_
 UNION ALL SELECT query_id, id, round(sim * 0.8, 6), 'trigram' FROM tri WHERE sim > 0.002"""
 )
 def fallback_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame(list(_CASCADE), "query_id int, text string").withColumn("words", lexical.fallback_words(F.col("text")))
+    asked = spark.createDataFrame(list(_CASCADE), "query_id int, text string").withColumn("words", grams.fallback_words(F.col("text")))
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     terms = lexical.query_terms(asked, LATIN)
     fts = lexical.match_all(terms, lexical.postings(_counted(spark, sf_dir, terms))).withColumn("score", F.lit(1.0))
-    return lexical.cascade(fts, rows, asked, least=0.002).withColumn("score", F.round("score", 6))
+    return grams.cascade(fts, rows, asked, least=0.002).withColumn("score", F.round("score", 6))
 
 
 # ---- filters, catalogue ----------------------------------------------------

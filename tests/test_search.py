@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sedge.engine import Engine
 from sedge.functions import vectors as vx
 from sedge.functions.profiles import RUSSIAN
-from sedge.operators import catalog, fusion, lexical
+from sedge.operators import catalog, fusion, grams, lexical
 from tests.test_text import GOLDEN
 
 
@@ -85,7 +85,7 @@ def test_cascade_takes_the_first_list_with_an_answer(spark):
     q = spark.createDataFrame(asked, "query_id int, text string, words array<string>")
     rows = spark.createDataFrame([(7, "ZEBRAS run"), (8, "quick silver"), (9, None)], "id int, text string")
     scored = lambda *ids: spark.createDataFrame([(i, 7, 0.9) for i in ids], "query_id int, id int, score double")
-    got = {(r.query_id, r.id): (r.source, r.score) for r in lexical.cascade(scored(1), rows, q, scored(4)).collect()}
+    got = {(r.query_id, r.id): (r.source, r.score) for r in grams.cascade(scored(1), rows, q, scored(4)).collect()}
     assert got == {(1, 7): ("fts", 0.9), (2, 7): ("ilike", 0.5), (3, 8): ("trigram", pytest.approx(0.8 * 11 / 17))}
 
 

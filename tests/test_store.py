@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sedge.operators import catalog, lexical
+from sedge.operators import catalog, grams, lexical
 from sedge.sources import artifacts, collected, providers
 from sedge.sources.store import Store
 
@@ -89,9 +89,9 @@ def test_sources_by_id_and_shown_hits(spark):
     said = spark.createDataFrame([(1, True), (2, False)], "query_id int, is_grounded boolean")
     assert sorted(map(tuple, catalog.without_answered(hits, said).collect())) == [(1, 2), (2, 1)]
     words = spark.createDataFrame([("a bcd efg hij klm nop", ["xyz bcd q", "uvw abc"])], "t string, v array<string>")
-    assert words.select(lexical.fallback_words(F.col("t"), F.col("v"))).first()[0] == ["bcd", "efg", "hij", "klm", "xyz", "uvw"]
+    assert words.select(grams.fallback_words(F.col("t"), F.col("v"))).first()[0] == ["bcd", "efg", "hij", "klm", "xyz", "uvw"]
     asked = spark.createDataFrame([(1, ["T3", "_"])], "query_id int, words array<string>")
-    assert [r.id for r in lexical.contains_search(chunks, asked).collect()] == [3]
+    assert [r.id for r in grams.contains_search(chunks, asked).collect()] == [3]
 
 
 def test_grounded_answers_are_asked_for_twice_at_most(spark):
