@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _variants(query: Column, synonyms: dict[str, list[str]], replaced, limit: int) -> Column:
-    tried = [query]
-    for key, alternatives in synonyms.items():
-        tried += [F.when(query.contains(key), replaced(query, key, s)) for s in alternatives[:2]]
-    known = F.filter(F.array(*tried), lambda v: v.isNotNull())
-    return F.slice(F.array_distinct(known), 1, limit)
+from ..functions.automaton import synonym_variants
 
 
 def expand(queries: DataFrame, synonyms: dict[str, list[str]], limit: int = 3, first_only: bool = False, text_col: str = "text") -> DataFrame:
     """The query itself, then one variant for each synonym of a key that it contains.
 
     The server replaces every occurrence of the key, the client (first_only)
-    the first.  `synonyms` is a fixed dictionary, tried in its order.
+    the first.  `synonyms` may have very many keys, tried in their order: all
+    are looked for in one pass over a query.
     """
-    query = F.col(text_col)
-    every = lambda q, k, s: F.replace(q, F.lit(k), F.lit(s))
-    first = lambda q, k, s: F.overlay(q, F.lit(s), F.locate(k, q), F.lit(len(k)))
-    variants = _variants(query, synonyms, first if first_only else every, limit)
-    return queries.select("query_id", F.posexplode(variants).alias("pos", "variant"))
+    return queries.select("query_id", F.posexplode(synonym_variants(F.col(text_col), synonyms, first_only, limit)).alias("pos", "variant"))
 
 
 def joined_expansion(queries: DataFrame, synonyms: dict[str, list[str]], text_col: str = "text") -> DataFrame:
     """The variants of each query in one string."""
-    every = lambda q, k, s: F.replace(q, F.lit(k), F.lit(s))
-    return queries.select("query_id", F.array_join(_variants(F.col(text_col), synonyms, every, 3), " ").alias("expanded"))
+    return queries.select("query_id", F.array_join(synonym_variants(F.col(text_col), synonyms, False, 3), " ").alias("expanded"))

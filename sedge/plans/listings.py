@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import text as tx
+from ..functions.automaton import highlight_each
 from ..functions.profiles import LATIN
 from ..operators import answers, catalog, expansion, fusion, lexical, usage
 from ..sources import collected
@@ -292,6 +293,24 @@ def highlight_query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", tokens.alias("tokens"))
 
 
+@_query(
+    rf"""WITH {_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 5),
+w AS (SELECT query_id, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\w\s-]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: len(x) >= 2)) AS words FROM asked),
+p AS (SELECT query_id, '(' || array_to_string(list_transform(list_sort(list_transform(words, lambda x: {{'l': -len(x), 'w': x}})), lambda x: x.w), '|') || ')' AS pattern FROM w)
+SELECT query_id, CAST(rank AS INT) AS rank, id AS doc_id, md5(regexp_replace(text, '(?i)' || pattern, '<mark>\1</mark>', 'g')) AS marked,
+       CAST(len(regexp_extract_all(text, '(?i)' || pattern)) AS BIGINT) AS marks
+FROM r JOIN p USING (query_id) JOIN documents ON doc_id = id"""
+)
+def highlighted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of each query with the words of their own query marked."""
+    top = lexical.top_per_query(_bm25(spark, sf_dir), 5)
+    tokens = _asked(spark).select("query_id", tx.highlight_tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = docs.join(lexical.small(top.select("query_id", "id", "rank")), "id").join(lexical.small(tokens), "query_id")
+    hits = hits.withColumn("marked", highlight_each(F.col("text"), F.col("tokens")))
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), F.md5("marked").alias("marked"), F.regexp_count("marked", F.lit("<mark>")).cast("long").alias("marks"))
+
+
 @_query(
     rf"""WITH b AS (SELECT item_id, text, list_distinct(string_split({_SQUEEZE.format("text")}, ' ')) AS w FROM benchmark),
 d AS (SELECT doc_id, text, list_distinct(string_split({_SQUEEZE.format("text")}, ' ')) AS c FROM documents),
