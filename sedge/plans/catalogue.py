@@ -15,7 +15,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.profiles import LATIN
 from ..operators import answers, blockmax, catalog, chunking, dense, expansion, fusion, grams, lexical, usage
-from ..sources import artifacts, collected
+from ..sources import artifacts, collected, vector_files
 from ..sources.staging import shared_path, staged
 from ..streaming import jobs
 from .tables import DOCUMENTS_SQL, LINES_SQL, LOG_SQL, documents, lines, query_log, requests, table
@@ -838,7 +838,10 @@ def type_and_status_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_INT8} SELECT vec_id AS id, CAST(scale AS FLOAT)::DOUBLE AS scale, CAST(list_sum(q) AS BIGINT) AS total, CAST(q[1] AS INT) AS first, CAST(q[len(q)] AS INT) AS last FROM qz""")
 def snv1_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = vx.quantize(_unit(spark, sf_dir).where("v is not null"), "v").select("id", F.col("scale").cast("float").alias("scale"), "q")
-    back = artifacts.decode_shards(artifacts.encode_shards(z))
+    path = shared_path(spark, "snv1")
+    vector_files.register(spark)
+    z.write.format("snv1").mode("append").save(path)
+    back = spark.read.format("snv1").load(path)
     total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
     ends = [F.element_at("q", i).cast("int").alias(name) for i, name in ((1, "first"), (-1, "last"))]
     return back.select("id", F.col("scale").cast("double").alias("scale"), total.alias("total"), *ends)

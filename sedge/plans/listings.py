@@ -11,6 +11,7 @@ from ..functions.automaton import highlight_each
 from ..functions.profiles import LATIN
 from ..operators import answers, catalog, expansion, fusion, lexical, usage
 from ..sources import collected
+from ..sources.segments import SegmentStore
 from ..sources.staging import shared_path
 from .catalogue import _DENSE, _INDEX, _SQUEEZE, QUERIES, _asked, _bm25, _near, _query, _quotes, _sql_expand, _sql_label, _tokens
 from .tables import DOCUMENTS_SQL, LINES_SQL, LOG_SQL, documents, lines, query_log, table
@@ -362,3 +363,33 @@ def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = answers.checked_answers(said, hits)
     return out.select("query_id", "quote_was_grounded", "quote_repaired", "not_found", "paragraph", "page", F.md5("quote").alias("quote"), "answer")
+
+
+# ---- the segmented store ---------------------------------------------------
+
+
+@_query(
+    f"""WITH {LINES_SQL},
+old AS (SELECT id, document_id, text FROM lines),
+again AS (SELECT doc_id * 4294967296 AS id, doc_id AS document_id, lower(text) AS text FROM documents JOIN labels USING (doc_id) WHERE quality = 0),
+alive AS (SELECT doc_id AS document_id, sha256(text) AS checksum FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+both_ AS (SELECT * FROM old WHERE document_id NOT IN (SELECT document_id FROM again) UNION ALL SELECT * FROM again),
+c AS (SELECT document_id, count(*) AS chunks, md5(string_agg(md5(text), '' ORDER BY id)) AS texts FROM both_ GROUP BY document_id),
+p AS (SELECT document_id, CAST(sum(len({_tokens("text")})) AS BIGINT) AS tokens FROM both_ GROUP BY document_id)
+SELECT document_id, checksum, coalesce(chunks, 0) AS chunks, texts, coalesce(tokens, 0) AS tokens FROM alive LEFT JOIN c USING (document_id) LEFT JOIN p USING (document_id)"""
+)
+def segmented_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are inserted, those of low quality indexed again, toxic ones deleted; then all tables are read back."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.sha2("text", 256).alias("checksum"), "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"), "quality", "toxic")
+    store = SegmentStore(spark, shared_path(spark, "segments"), LATIN, {"documents": "document_id long, checksum string", "chunks": "id long, document_id long, text string"})
+    store.insert(docs.select("document_id", "checksum"), lines(spark, sf_dir).select("id", "document_id", "text"))
+    poor = docs.join(labels.where("quality = 0"), "document_id", "left_semi")
+    store.reindex(poor.select((F.col("document_id") * 4294967296).alias("id"), "document_id", F.lower("text").alias("text")))
+    store.compact()
+    store.delete(labels.where("toxic = 1"))
+    chunks = store.table("chunks").groupBy("document_id").agg(F.count("*").alias("chunks"), F.sort_array(F.collect_list(F.struct("id", F.md5("text").alias("text")))).alias("parts"))
+    tokens = store.table("postings").groupBy("document_id").agg(F.sum("tf").alias("tokens"))
+    out = store.table("documents").join(chunks, "document_id", "left").join(tokens, "document_id", "left")
+    none = F.lit(0).cast("long")
+    return out.select("document_id", "checksum", F.coalesce("chunks", none).alias("chunks"), F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "")).alias("texts"), F.coalesce("tokens", none).alias("tokens"))
