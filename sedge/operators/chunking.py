@@ -132,8 +132,9 @@ def chunk(pages: DataFrame) -> DataFrame:
 
 
 def register(spark) -> None:
-    """Make chunk_text(text) known to SQL."""
+    """Make chunk_text(text) and chunk_segments(TABLE(...)) known to SQL."""
     spark.udtf.register("chunk_text", ChunkText)
+    spark.udtf.register("chunk_segments", ChunkSegments)
 
 
 @F.udtf(returnType="ordinal: int, text: string")
@@ -144,6 +145,38 @@ class ChunkText:
         yield from enumerate(split_long(text or ""))
 
 
+@F.udtf(returnType="doc_id: long, ordinal: int, page: int, chapter: string, paragraph: string, type: string, text: string")
+class ChunkSegments:
+    """chunk_segments(TABLE(segments) PARTITION BY doc_id ORDER BY (page, segment)): the chunks of each document.
+
+    The table has the columns of `segments`.  A document's segments come in
+    order, and only its last chunk is held until the next one begins.
+    """
+
+    def __init__(self) -> None:
+        self.open: dict | None = None
+        self.ordinal = 0
+
+    def _closed(self) -> Iterator[tuple]:
+        if self.open is not None:
+            c = self.open
+            yield c["doc_id"], self.ordinal, c["page"], c["chapter"], c["paragraph"], c["type"], " ".join(c["texts"])
+            self.ordinal += 1
+
+    def eval(self, row: T.Row) -> Iterator[tuple]:
+        table = row["type"] == "table"
+        for text in [row["text"]] if table else split_long(row["text"]):
+            last = self.open
+            if last and 0 < len(text) < SHORT and row["paragraph"] and last["paragraph"] == row["paragraph"] and not table and last["type"] != "table":
+                last["texts"].append(text)
+            elif table or len(text.strip(" ")) >= (NOISE_NUMBERED if row["paragraph"] is not None else NOISE):
+                yield from self._closed()
+                self.open = {c: row[c] for c in ("doc_id", "page", "chapter", "paragraph", "type")} | {"texts": [text]}
+
+    def terminate(self) -> Iterator[tuple]:
+        yield from self._closed()
+
+
 def scan_flags(pages: DataFrame) -> DataFrame:
     """(doc_id, is_scanned): under half of the pages have text, or under 80 characters a page."""
     has_text = (F.length(F.trim("text")) > 40).cast("int")

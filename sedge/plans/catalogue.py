@@ -626,6 +626,15 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(_numbered(spark, sf_dir))
 
 
+@_query(_sql["chunk_windows"])
+def chunk_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks by a table function in SQL, a document's segments after another."""
+    chunking.register(spark)
+    chunking.segments(_numbered(spark, sf_dir)).createOrReplaceTempView("sedge_segments")
+    called = "SELECT c.* FROM chunk_segments(TABLE(sedge_segments) PARTITION BY doc_id ORDER BY (page, segment)) c"
+    return spark.sql(called).withColumn("token_count", tx.token_count(F.col("text")))
+
+
 _PAGES = r"""raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 line AS (
   SELECT doc_id, i, i // 20 AS page, CASE WHEN i % 10 = 0 THEN 'Глава ' || (i // 10 + 1) WHEN i % 10 = 7 THEN 'Таблица ' || i || ' ' || t WHEN i % 3 = 1 THEN '5.' || i || ' ' || t ELSE t END AS t FROM raw),

@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions.automaton import highlight_each
 from ..functions.profiles import LATIN
 from ..operators import answers, catalog, expansion, fusion, lexical, usage
+from ..operators.paging import Listing
 from ..sources import collected
 from ..sources.segments import SegmentStore
 from ..sources.staging import shared_path
@@ -114,6 +115,18 @@ def chunk_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.chunk_page(rows, 50, 100).select("id", "document_id", F.col("line").alias("page"), "paragraph")
 
 
+@_query(
+    f"""WITH {LINES_SQL} SELECT id, document_id, page, CASE WHEN page % 3 = 1 THEN '5.' || page END AS paragraph FROM lines
+ORDER BY page // 4, CASE WHEN page % 3 = 1 THEN '5.' || page END NULLS LAST, id OFFSET 5000 LIMIT 5"""
+)
+def chunk_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 1,001 of five rows: one or two ranges of the listing are read for it."""
+    rows = lines(spark, sf_dir).withColumn("paragraph", F.when(F.col("page") % 3 == 1, F.concat(F.lit("5."), F.col("page").cast("string"))))
+    rows = rows.select("id", "document_id", F.col("page").alias("line"), F.floor(F.col("page") / 4).alias("page"), "paragraph")
+    listing = Listing.write(rows, ["page", F.col("paragraph").asc_nulls_last(), "id"])
+    return listing.page(5000, 5).select("id", "document_id", F.col("line").alias("page"), "paragraph")
+
+
 @_query(
     f"""WITH {LINES_SQL}, k AS (SELECT CASE WHEN page % 10 = 7 THEN 'table' ELSE 'paragraph' END AS kind, page % 3 = 1 AS numbered, length(trim(text, ' ')) AS size FROM lines)
 SELECT kind, numbered, count(*) AS n FROM k WHERE kind = 'table' OR size >= CASE WHEN numbered THEN 15 ELSE 25 END GROUP BY kind, numbered"""
