@@ -17,6 +17,16 @@ from .operators import answers, catalog, dense, expansion, fusion, grams, lexica
 from .sources import artifacts
 from .sources.staging import staged
 
+#: Hits of a query: by default, by default in deep mode of the client, at most for a plain link.
+TOP, TOP_DEEP, TOP_MOST = 10, 20, 20
+
+
+def capped(top: int | None, mode: str = "fast", client: bool = False) -> int:
+    """The number of hits that a link may ask for: the default of the mode, or what is asked up to the cap."""
+    if top is None:
+        return TOP_DEEP if client and mode == "deep" else TOP
+    return max(1, min(top, TOP_MOST))
+
 
 @dataclass
 class Engine:
@@ -66,7 +76,7 @@ class Engine:
         plain = plain.join(said, "query_id").withColumn("words", grams.fallback_words(F.col("text"), F.col("more")))
         keyed = variants.select("query_id", F.struct("query_id", "pos").alias("key"), "variant")
         terms = lexical.query_terms(keyed.select(F.col("key").alias("query_id"), "variant"), self.profile, "variant")
-        scored = lexical.bm25(terms, self.postings, self.lengths, self.stats)
+        scored = lexical.bm25(terms, self.postings, self.lengths, self.stats).withColumn("score", F.round("score", 6))
         scored = scored.join(lexical.match_all(terms, self.postings), ["query_id", "id"], "left_semi").join(ids, "id", "left_semi")
         scored = lexical.top_per_query(scored, limit).select(F.col("query_id.query_id").alias("query_id"), "id", "score", "rank")
         each = F.greatest(F.lit(20), F.floor(F.lit(limit) / F.col("n")) + 5) if deep else F.lit(limit)

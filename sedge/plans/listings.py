@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..engine import Engine
+from ..engine import Engine, capped
 from ..functions import text as tx
 from ..functions.automaton import highlight_each
 from ..functions.profiles import LATIN
@@ -78,6 +78,47 @@ def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "id", F.round("bm", 4).alias("bm"), "percent", "source", F.col("rank").cast("int").alias("rank"))
 
 
+@_query(
+    rf"""WITH {_INDEX.split("tok AS", 1)[0].rstrip().rstrip(",")}, {DOCUMENTS_SQL},
+b AS (SELECT query_id, trim(regexp_replace(regexp_replace(lower(text), '[^\w\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM asked),
+v AS ({_sql_expand(False, "server")}),
+each_ AS (SELECT query_id, count(*) AS n, greatest(20, 80 // count(*) + 5) AS most FROM v GROUP BY query_id),
+term AS (SELECT DISTINCT query_id, pos, t AS term FROM v, unnest({_tokens("variant")}) AS x(t)),
+tok AS (SELECT doc_id AS id, {_tokens("text")} AS tokens FROM documents),
+len_ AS (SELECT id, len(tokens) AS dl FROM tok),
+stat AS (SELECT count(*) AS n, round(avg(dl), 2) AS avgdl FROM len_),
+post AS (SELECT t AS term, id, count(*) AS tf FROM tok, unnest(tokens) AS x(t) WHERE t IN (SELECT term FROM term) GROUP BY t, id),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+bm AS (
+  SELECT query_id, pos, id, count(*) AS found, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (CASE WHEN dl = 0 THEN avgdl ELSE dl END) / avgdl)))), 6) AS score
+  FROM term JOIN post USING (term) JOIN df USING (term) JOIN len_ USING (id), stat GROUP BY query_id, pos, id),
+want AS (SELECT query_id, pos, count(*) AS wanted FROM term GROUP BY query_id, pos),
+seen AS (SELECT * FROM docs WHERE status = 'active' AND (owner_id = 'owner3' OR owner_id IS NULL)),
+one AS (
+  SELECT query_id, pos, id, score, row_number() OVER (PARTITION BY query_id, pos ORDER BY score DESC, id) AS r
+  FROM bm JOIN want USING (query_id, pos) JOIN seen ON document_id = id WHERE found = wanted),
+fts AS (SELECT query_id, id, max(score) AS score FROM one JOIN each_ USING (query_id) WHERE r <= least(most, 80) GROUP BY query_id, id),
+own AS (SELECT query_id, list_slice(list_filter(string_split(text, ' '), lambda w: len(w) >= 3), 1, 4) AS words FROM b),
+more AS (
+  SELECT query_id, unnest(list_filter(string_split(variant, ' '), lambda w: len(w) >= 3)) AS w, pos, generate_subscripts(list_filter(string_split(variant, ' '), lambda w: len(w) >= 3), 1) AS i FROM v WHERE pos > 0),
+extra AS (SELECT query_id, w, min(pos * 1000 + i) AS place FROM more JOIN own USING (query_id) WHERE NOT list_contains(words, w) GROUP BY query_id, w),
+word AS (SELECT query_id, unnest(list_slice(list_concat(words, coalesce((SELECT list(w ORDER BY place) FROM extra e WHERE e.query_id = own.query_id), [])), 1, 6)) AS word FROM own),
+like_ AS (SELECT DISTINCT query_id, document_id AS id, 0.5::DOUBLE AS score FROM seen JOIN word ON contains(lower(text), word) WHERE query_id NOT IN (SELECT query_id FROM fts)),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT *, 'fts' AS source FROM fts UNION ALL SELECT *, 'ilike' FROM like_) QUALIFY r <= 80),
+f AS (SELECT query_id, id, score, source, round(1 / (60 + r) + 0.15 * score / max(score) OVER (PARTITION BY query_id), 9) AS rrf FROM a),
+g AS (SELECT *, round(rrf / max(rrf) OVER (PARTITION BY query_id), 9) AS fusion FROM f)
+SELECT query_id, id, round(score, 4) AS bm, CAST(greatest(10, least(98, floor(round(fusion * 100, 6)))) AS INT) AS percent, source,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, id) AS INT) AS rank FROM g QUALIFY rank <= 20"""
+)
+def engine_deep_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep mode: each synonym variant asks for its own terms under its own limit; more hits than the cap are asked for."""
+    docs = documents(spark, sf_dir)
+    chunks = docs.select(F.col("document_id").alias("id"), "document_id", "text", F.lit(None).cast("string").alias("paragraph"), F.lit(1).alias("page"))
+    engine = Engine.index(docs.drop("text", "checksum"), chunks, shared_path(spark, "index"), profile=LATIN)
+    hits = engine.search(_asked(spark), mode="deep", filters={"owner_id": "owner3"}, top=capped(500))
+    return hits.select("query_id", "id", F.round("bm", 4).alias("bm"), "percent", "source", F.col("rank").cast("int").alias("rank"))
+
+
 @_query(
     f"""WITH {_INDEX}, {DOCUMENTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 10)
 SELECT query_id, id, CAST(rank AS INT) AS rank, number, status FROM r JOIN docs ON document_id = id WHERE status = 'active' AND upper(number) LIKE 'SRC1%'"""

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sedge.engine import Engine
+from sedge.engine import Engine, capped
 from sedge.functions import vectors as vx
 from sedge.functions.profiles import RUSSIAN
 from sedge.operators import catalog, fusion, grams, lexical
@@ -110,3 +110,7 @@ def test_index_grows_without_changing_old_postings(spark):
     terms = lambda df: {(r.term, r.id): r.tf for r in lexical.postings(lexical.counted(lexical.occurrences(df, RUSSIAN))).collect()}
     small, large = terms(chunks.where("id < 9")), terms(chunks)
     assert all(large[k] == v for k, v in small.items())
+
+
+def test_caps_of_hits():
+    assert [capped(None), capped(None, "deep"), capped(None, "deep", client=True), capped(5), capped(500), capped(0)] == [10, 10, 20, 5, 20, 1]
