@@ -120,6 +120,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], links: DataFrame, url_col:
     the names of the results are replaced.
     """
     url = F.col(url_col)
+    links = materialize(links.select("source", "target"), "links")  # else each use of a target resolves it again
     edges = links.select(_key(F.col("source")).alias("u"), _key(F.col("target")).alias("v")).where("u <> v")
     classes = materialize(connected_components(edges), "aliases")
     host, path = F.regexp_extract("node", r"(?s)^([^/]*)", 1), F.regexp_extract("node", r"(?s)^[^/]*([^?]*)", 1)
