@@ -133,8 +133,8 @@ def _encode(avgdl: float):
     return run
 
 
-def shard_lists(postings: DataFrame, lengths: DataFrame, stats: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int, float]:
-    """(lists, shards, avgdl): the compressed lists of postings (term, id, tf) with lengths (id, dl).
+def shard_lists(postings: DataFrame, lengths: DataFrame, stats: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int, int, float]:
+    """(lists, shards, n, avgdl): the compressed lists of postings (term, id, tf) with lengths (id, dl).
 
     A list has at most the rows of its shard, of which there are about
     `shard`, so a term of all texts is many lists.
@@ -143,7 +143,7 @@ def shard_lists(postings: DataFrame, lengths: DataFrame, stats: DataFrame, shard
     shards = max(1, -(-n // shard))
     rows = postings.join(lengths, "id").select(F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(shards)).cast("int").alias("shard"), "term", F.col("id").cast("long").alias("id"), "tf", "dl")
     entries = rows.groupBy("shard", "term").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("entries"))
-    return entries.mapInArrow(_encode(avgdl or 1.0), _LIST), shards, avgdl or 1.0
+    return entries.mapInArrow(_encode(avgdl or 1.0), _LIST), shards, n, avgdl or 1.0
 
 
 def _search(k: int, avgdl: float, places: int):

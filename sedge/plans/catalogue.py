@@ -126,9 +126,7 @@ def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = lexical.query_terms(_asked(spark), LATIN)
     counted = staged(_counted(spark, sf_dir, terms), "counted")
     sizes = lexical.lengths(counted)
-    stats = lexical.statistics(sizes)
-    lists, shards, avgdl = blockmax.shard_lists(lexical.postings(counted), sizes, stats)
-    top = blockmax.top(terms, lists, shards, stats.first()["n"], avgdl, 10)
+    top = blockmax.top(terms, *blockmax.shard_lists(lexical.postings(counted), sizes, lexical.statistics(sizes)), 10)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     return top.join(docs, "id", "left").select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("doc_id"), "score", "source")
 

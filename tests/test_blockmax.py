@@ -62,9 +62,9 @@ def test_top_equals_bm25_over_shards(spark):
     want = lexical.top_per_query(lexical.bm25(terms, lexical.postings(counted), sizes, stats).withColumn("score", F.round("score", 6)), 8)
     want = {(r.query_id, r.id, r["rank"]): r.score for r in want.collect()}
     for shard in (100, 10**6):
-        lists, shards, avgdl = blockmax.shard_lists(lexical.postings(counted), sizes, stats, shard)
-        got = blockmax.top(terms, lists, shards, 900, avgdl, 8)
+        lists, shards, n, avgdl = blockmax.shard_lists(lexical.postings(counted), sizes, stats, shard)
+        got = blockmax.top(terms, lists, shards, n, avgdl, 8)
         assert {(r.query_id, r.id, r["rank"]): round(r.score, 6) for r in got.collect()} == want
     assert got.schema["query_id"].dataType.simpleString() == "int" and shards == 1
-    none, shards, avgdl = blockmax.shard_lists(lexical.postings(counted).where("1 = 0"), sizes, lexical.statistics(sizes.where("1 = 0")))
-    assert blockmax.top(terms, none, shards, 0, avgdl, 8).count() == 0
+    none = blockmax.shard_lists(lexical.postings(counted).where("1 = 0"), sizes, lexical.statistics(sizes.where("1 = 0")))
+    assert n == 900 and blockmax.top(terms, *none, 8).count() == 0
