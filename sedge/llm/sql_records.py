@@ -55,11 +55,11 @@ d AS (
          unnest(range(CASE lot WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM l WHERE lot <> 0),
 p AS (
   SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
-         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before,
-         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d),
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS seen FROM p),
 g AS (
   SELECT *, CASE WHEN NOT regexp_matches(text, '{_BLANK}') THEN 1 WHEN seen > 1 THEN 2
-                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM p),
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM o),
 f AS (SELECT *, CASE fault WHEN 3 THEN 5 ELSE 0 END AS more FROM g),
 dp AS (
   {_inserts(f"SELECT conv_id, 0::BIGINT AS pos, {{'c': 0, 'a': '', 'r': NULL::VARCHAR}} AS s0, {_FAR} AS s1, {_FAR} AS s2, {_FAR} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)")}
