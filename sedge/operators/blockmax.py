@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .lexical import B, K1, small, top_per_query
 
 #: Entries of a block, rows of text of a shard (about), queries that meet a shard at once.
@@ -173,7 +174,7 @@ def top(terms: DataFrame, lists: DataFrame, shards: int, n: int, avgdl: float, k
     task once, and blocks of queries stream past them.
     """
     asked = terms.select(F.col("query_id").cast("long").alias("query_id"), "term").distinct()
-    held = lists.join(small(asked.select("term").distinct()), "term", "left_semi")
+    held = staged(lists.join(small(asked.select("term").distinct()), "term", "left_semi"), "held")
     df = held.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.select("query_id").distinct().count() // QUERIES))))
