@@ -30,6 +30,7 @@ def test_matches_brute_force_with_pruning(spark, monkeypatch):
     rows = [(i, [float(x) for x in map(lambda y: round(y, 3), v)]) for i, v in rows]
     monkeypatch.setattr(topk_search, "TILE", 4000)
     monkeypatch.setattr(topk_search, "BLOCK", 160)
+    monkeypatch.setattr(topk_search, "UNIT", 2)  # several copies of a tile
     import numpy as np
 
     exact = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
