@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ranks import exact_ranks
+
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Read all input of a stream and return its result as a table at `path`."""
@@ -71,49 +72,62 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table written poll by poll, with its column `poll`; empty before the first."""
-    schema = f"{schema}, poll string"
+    """A table written run by run, with its columns `poll` and `run`; empty before the first."""
+    schema = f"{schema}, poll string, run string"
     return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
 class PollIngest:
     """Appends new documents to a table, at most so many a poll, and loses none.
 
-    `path` holds three tables, each with a folder for every poll that a poll
-    which runs again replaces: `waiting` has all documents of more than
-    `least_bytes` that were seen, `documents` those that were taken, `log` a
-    row for each poll.  A poll takes, of what waits and whose `keys` no other
-    poll has taken, the documents of the `most` least ids; of those with equal
-    keys the one of the least id.  The others stay and are taken by later polls.
+    `path` holds three tables, each with a folder for every run of one poll or
+    more that a run of the same name replaces: `waiting` has all documents of
+    more than `least_bytes` that were seen, `documents` those that were taken,
+    `log` a row for each poll.  A poll takes, of what waits and whose `keys` no
+    other poll has taken, the `most` documents of the least ids; of those with
+    equal keys the one of the least id.  The others stay and are taken by later
+    polls.  Rows without an id are never taken.
     """
 
     def __init__(self, path: str, schema: str, keys: list[str], most: int = 3, least_bytes: int = 5000):
         self.path, self.schema, self.keys, self.most, self.least_bytes = path, schema, keys, most, least_bytes
 
     def documents(self, spark: SparkSession) -> DataFrame:
-        return _table(spark, f"{self.path}/documents", self.schema)
+        return _table(spark, f"{self.path}/documents", self.schema).drop("run")
 
     def log(self, spark: SparkSession) -> DataFrame:
-        return _table(spark, f"{self.path}/log", "status string, found long, new long")
+        return _table(spark, f"{self.path}/log", "status string, found long, new long").drop("run")
+
+    def _waiting(self, spark: SparkSession) -> DataFrame:
+        rows = _table(spark, f"{self.path}/waiting", f"{self.schema}, _long boolean").where("_long and id is not null")
+        return rows.drop("_long", "poll", "run").withColumn("_of", F.struct("id", *self.keys))
+
+    def _fresh(self, spark: SparkSession, run: str) -> DataFrame:
+        """(keys, id): for all keys that wait and that no other run has taken, the least id."""
+        waiting = self._waiting(spark)
+        taken = _table(spark, f"{self.path}/documents", self.schema).where(F.col("run") != run).select(*self.keys)
+        same = functools.reduce(lambda a, b: a & b, (waiting[k].eqNullSafe(taken[k]) for k in self.keys))
+        return waiting.join(taken, same, "left_anti").groupBy(*self.keys).agg(F.min("id").alias("id"))
+
+    def _take(self, spark: SparkSession, run: str, chosen: DataFrame) -> DataFrame:
+        """Write the documents of `chosen` (_of, poll) as those of a run; (poll, new) of its polls."""
+        part = f"{self.path}/documents/run={run}"
+        rows = self._waiting(spark).join(chosen, "_of").dropDuplicates(["_of"]).drop("_of")
+        rows.write.mode("overwrite").parquet(part)
+        return spark.read.schema(f"{self.schema}, poll string").parquet(part).groupBy("poll").agg(F.count("*").alias("new"))
 
     def poll(self, spark: SparkSession, poll: str, arrived: DataFrame | None = None) -> int:
         """One poll, with new documents or without; the number of those taken."""
         found = 0
         if arrived is not None:
-            seen = f"{self.path}/waiting/poll={poll}"
+            seen = f"{self.path}/waiting/run={poll}"
             arrived.withColumn("_long", F.length("text") > self.least_bytes).write.mode("overwrite").parquet(seen)
             found = spark.read.parquet(seen).count()
-        waiting = _table(spark, f"{self.path}/waiting", f"{self.schema}, _long boolean").where("_long").drop("_long", "poll")
-        taken = self.documents(spark).where(F.col("poll") != poll).select(*self.keys)
-        same = functools.reduce(lambda a, b: a & b, (waiting[k].eqNullSafe(taken[k]) for k in self.keys))
-        fresh = waiting.join(taken, same, "left_anti")
-        first = fresh.groupBy(*self.keys).agg(F.min("id").alias("id")).orderBy("id").limit(self.most).select("id")  # ids of so many rows at most
-        chosen = waiting.join(F.broadcast(first), "id", "left_semi").dropDuplicates(["id"])
-        part = f"{self.path}/documents/poll={poll}"
-        chosen.write.mode("overwrite").parquet(part)
-        new = spark.read.schema(self.schema).parquet(part).count()
-        row = [("success" if new else "no_changes", found, new)]
-        spark.createDataFrame(row, "status string, found long, new long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/poll={poll}")
+        first = self._fresh(spark, poll).orderBy("id", *self.keys).limit(self.most)  # ids of so many rows at most
+        taken = self._take(spark, poll, F.broadcast(first.select(F.struct("id", *self.keys).alias("_of"), F.lit(poll).alias("poll")))).first()
+        new = taken["new"] if taken else 0
+        row = [("success" if new else "no_changes", found, new, poll)]
+        spark.createDataFrame(row, "status string, found long, new long, poll string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/log/run={poll}")
         return new
 
     def stream(self, incoming: DataFrame, checkpoint: str):
@@ -122,11 +136,22 @@ class PollIngest:
         return incoming.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def drain(self, spark: SparkSession) -> int:
-        """Polls without new documents until nothing waits; their number."""
+        """Polls without new documents until nothing waits; their number.
+
+        Nothing arrives between these polls, so each takes the next ids after
+        those of the one before: places in one order name the poll of every
+        document that waits, and all polls are one run over the tables.
+        """
         done = self.log(spark).where("poll like 'd%'").count()
-        for n in itertools.count():
-            if not self.poll(spark, f"d{done + n:09d}"):
-                return n
+        run, name = f"d{done:09d}", lambda nth: F.format_string("d%09d", nth)
+        ranked = exact_ranks(self._fresh(spark, run), [], ["id", *self.keys])
+        nth = F.floor((F.col("rank") - 1) / self.most).cast("long")
+        new = self._take(spark, run, ranked.select(F.struct("id", *self.keys).alias("_of"), name(nth + done).alias("poll")))
+        polls = new.count()
+        last = spark.range(1).select(F.lit("no_changes").alias("status"), F.lit(0).cast("long").alias("found"), F.lit(0).cast("long").alias("new"), name(F.lit(done + polls)).alias("poll"))
+        log = new.select(F.lit("success").alias("status"), F.lit(0).cast("long").alias("found"), "new", "poll").unionByName(last)
+        log.write.mode("overwrite").parquet(f"{self.path}/log/run={run}")
+        return polls
 
 
 def ingest(incoming: DataFrame, path: str, checkpoint: str, keys: list[str], most: int = 3, least_bytes: int = 5000):

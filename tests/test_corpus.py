@@ -126,6 +126,23 @@ def test_ingest_takes_every_new_document_once(spark, tmp_path):
     assert [log[k] for k in sorted(log)] == [("success", 0, 2), ("no_changes", 0, 0), ("no_changes", 0, 0), ("success", 7, 2), ("success", 2, 2)]
 
 
+def test_draining_takes_one_run_for_any_number_of_polls(spark, tmp_path):
+    """Polls were one after another over all that waits: thirty of them took as many passes."""
+    schema = "id long, number string, text string"
+    rows = [(i, None if i == 40 else f"n{i % 90}", "x" * 10) for i in range(100)] + [(7, "other", "y" * 10), (None, "none", "z" * 10)]
+    job = jobs.PollIngest(str(tmp_path / "job"), schema, ["number"], most=3, least_bytes=5)
+    assert job.poll(spark, "s000000000", spark.createDataFrame(rows, schema).repartition(4)) == 3
+    runs, poll = [], job.poll
+    job.poll = lambda *a: runs.append(a) or poll(*a)
+    assert job.drain(spark) == 30 and not runs
+    got = {(r.id, r.number): r.poll for r in job.documents(spark).collect()}
+    want = sorted({(i, n) for i, n, _ in rows if i is not None and i < 90}, key=lambda r: (r[0], r[1] or ""))
+    assert got == {r: f"d{k // 3 - 1:09d}" if k > 2 else "s000000000" for k, r in enumerate(want)}
+    log = sorted((r.poll, r.status, r.new) for r in job.log(spark).collect())
+    assert log[:30] == [(f"d{k:09d}", "success", 3 if k < 29 else 1) for k in range(30)] and log[30:] == [("d000000030", "no_changes", 0), ("s000000000", "success", 3)]
+    assert job.drain(spark) == 0
+
+
 def test_credit_windows_go_on_after_a_restart(spark, tmp_path):
     """Costs differ, a window ends after 24 hours, and state comes back from the checkpoint."""
     schema = "subject string, request_id long, ts timestamp, cost long"
