@@ -566,17 +566,24 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("doc_id", "page").agg(joined.alias("text"))
 
 
+# White space that a line loses at its ends (Unicode's), and the ASCII one of the patterns of lines.
+_EDGE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_GAP = r"[\t-\r ]"
+
+
 @_query(
-    r"""WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+    rf"""WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 named AS (
   SELECT doc_id, i, i // 20 AS page, CASE WHEN i % 10 = 0 THEN 'Глава ' || (i // 10 + 1) WHEN i % 10 = 7 THEN 'Таблица ' || i || ' ' || t WHEN i % 3 = 1 THEN '5.' || i || ' ' || t ELSE t END AS line FROM raw),
-l AS (SELECT doc_id, i, page, trim(line, ' ' || chr(9) || chr(13)) AS line, CASE WHEN i % 10 = 0 THEN 'chapter' WHEN i % 10 = 7 THEN 'table' WHEN i % 3 = 1 THEN 'paragraph' ELSE 'text' END AS kind FROM named),
-k AS (SELECT * FROM l WHERE line <> ''),
+l AS (SELECT doc_id, i, page, regexp_replace(line, '^{_EDGE}|{_EDGE}$', '', 'g') AS line FROM named),
+k AS (
+  SELECT *, CASE WHEN regexp_matches(line, '(?i)^Таблица{_GAP}+[0-9]+') THEN 'table' WHEN regexp_matches(line, '(?i)^(Глава|Раздел|Приложение){_GAP}+([0-9]+|[А-ЯA-Z])') THEN 'chapter'
+    WHEN regexp_matches(line, '^[0-9]+(\.[0-9]+){{1,4}}[.)]?{_GAP}+') THEN 'paragraph' ELSE 'text' END AS kind FROM l WHERE line <> ''),
 s AS (
   SELECT *, kind IN ('paragraph', 'table') OR (kind = 'text' AND coalesce(lag(kind) OVER (PARTITION BY doc_id, page ORDER BY i), 'none') IN ('none', 'table', 'chapter')) AS starts,
-         last_value(CASE WHEN kind = 'chapter' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM k),
+         last_value(CASE WHEN kind = 'chapter' THEN substr(line, 1, 250) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM k),
 g AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM s WHERE true)
-SELECT doc_id, CAST(page AS INT) AS page, CAST(seg AS BIGINT) AS segment, min(chapter) AS chapter,
+SELECT doc_id, CAST(page AS INT) AS page, CAST(seg AS BIGINT) AS segment, arg_min(chapter, i) AS chapter,
        CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS chars FROM g WHERE kind <> 'chapter' GROUP BY doc_id, page, seg"""
 )
 def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
