@@ -107,9 +107,9 @@ def upload_name(name: Column, limit: int = 200) -> Column:
 
 def trigrams(text: Column) -> Column:
     """The set of trigrams of the words of a text, two blanks before and one after."""
-    words = F.filter(F.split(F.lower(text), r"(?U)[^\w]+"), lambda w: w != "")
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(words, grams)))
+    # three blanks between words: of what starts at any place, only what lies in one padded word is taken
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(text), r"(?U)\W+", "   "), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(r"(?=(  [^ ]| [^ ].|[^ ][^ ].))"), F.lit(1)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
