@@ -6,10 +6,10 @@ import functools
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ranks import exact_ranks
@@ -160,42 +160,6 @@ def ingest(incoming: DataFrame, path: str, checkpoint: str, keys: list[str], mos
     return PollIngest(path, schema, keys, most, least_bytes).stream(incoming, checkpoint)
 
 
-class _Credits(StatefulProcessor):
-    """What a subject has used since its window began."""
-
-    def __init__(self, limit: int, hours: int):
-        self.limit, self.micros = limit, hours * 3_600_000_000
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.window = handle.getValueState("window", "start long, used long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, used = self.window.get() if self.window.exists() else (None, 0)
-        held = pd.concat([pdf[["micros", "request_id", "cost"]] for pdf in rows]).sort_values(["micros", "request_id"])
-        accepted, after, begins = [], [], []
-        for micros, cost in zip(held["micros"].tolist(), held["cost"].tolist()):
-            if start is None or micros >= start + self.micros:
-                start, used = micros, 0
-            fits = used + cost <= self.limit
-            used += cost if fits else 0
-            accepted.append(fits)
-            after.append(used)
-            begins.append(start)
-        self.window.update((start, used))
-        self.handle.registerTimer((start + self.micros) // 1000 + 1)
-        yield pd.DataFrame({"subject": key[0], "request_id": held["request_id"].to_numpy(), "cost": held["cost"].to_numpy(), "accepted": accepted, "used": after, "since": begins})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The watermark has passed the end of a window: an idle subject keeps no state."""
-        if self.window.exists() and self.window.get()[0] + self.micros <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
-            self.window.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-
 def credit_windows(requests: DataFrame, limit: int, hours: int = 24, late: str = "1 day") -> DataFrame:
     """A stream of requests (subject, request_id, ts, cost), each accepted or not.
 
@@ -204,18 +168,44 @@ def credit_windows(requests: DataFrame, limit: int, hours: int = 24, late: str =
     fits into what is left of `limit`; a rejected one costs nothing.  Requests
     of one trigger are taken in order of time and id; those later than `late`
     are dropped.  State is one pair of numbers for each subject with an open
-    window: a timer clears it when the watermark passes its end.  `used` is
-    what the window has used after a request, `since` its beginning.
+    window: it is removed when the watermark passes the window's end.  State
+    travels with the rows of many subjects at once, not by calls for each of
+    them.  `used` is what the window has used after a request, `since` its
+    beginning.
     """
+    width = hours * 3_600_000_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the watermark has passed the end of the window: an idle subject keeps no state
+            state.remove()
+            return
+        start, used = state.get if state.exists else (None, 0)
+        parts = [[pdf[c].to_numpy() for c in ("micros", "request_id", "cost")] for pdf in batches]
+        micros, ids, costs = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((ids, micros))
+        micros, ids, costs = micros[order], ids[order], costs[order]
+        accepted, after, begins = [], [], []
+        for at, cost in zip(micros.tolist(), costs.tolist()):
+            if start is None or at >= start + width:
+                start, used = at, 0
+            fits = used + cost <= limit
+            used += cost if fits else 0
+            accepted.append(fits)
+            after.append(used)
+            begins.append(start)
+        state.update((start, used))
+        state.setTimeoutTimestamp((start + width) // 1000 + 1)
+        yield pd.DataFrame({"subject": key[0], "request_id": ids, "cost": costs, "accepted": accepted, "used": after, "since": begins})
+
     rows = requests.withColumn("micros", F.unix_micros("ts")).withWatermark("ts", late)
     schema = "subject string, request_id long, cost long, accepted boolean, used long, since long"
-    out = rows.groupBy("subject").transformWithStateInPandas(_Credits(limit, hours), schema, "append", "eventTime")
+    out = rows.groupBy("subject").applyInPandasWithState(run, schema, "start long, used long", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumn("since", F.timestamp_micros("since"))
 
 
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
-    """Streams that are started within keep their state in RocksDB, as processors with timers need."""
+    """Streams that are started within keep their state in RocksDB, outside the heap."""
     key, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(key)
     spark.conf.set(key, kind)
