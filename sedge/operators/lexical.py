@@ -55,6 +55,22 @@ def counted(occurrences_: DataFrame, terms: DataFrame | None = None) -> DataFram
     return rows.groupBy("id", F.coalesce("term", F.lit("")).alias("term")).agg(F.count("term").alias("tf"))
 
 
+def row_counts(chunks: DataFrame, profile: Profile, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(*keep, id, term, tf): the terms of each row of text, counted within the row, in order of terms.
+
+    Nothing is shuffled and rows stay where they are: equal terms stand
+    together in the sorted tokens, so a term's count is the distance from its
+    first place to the next term's.  Rows that share an id are not added up,
+    and those with a null id not indexed.  Rows without terms leave after the
+    outer inline: a filter before it would be pushed down and tokenise twice.
+    """
+    places = F.when(F.size("_tokens") > 0, F.sequence(F.lit(0), F.size("_tokens") - 1))
+    first = F.filter(places, lambda i: (i == 0) | (F.get("_tokens", i) != F.get("_tokens", i - 1)))
+    terms = F.transform("_first", lambda i, k: F.struct(F.get("_tokens", i).alias("term"), (F.coalesce(F.get("_first", k + 1), F.size("_tokens")) - i).cast("long").alias("tf")))
+    rows = chunks.where(F.col(id_col).isNotNull()).select(*keep, F.col(id_col).alias("id"), F.array_sort(tokenize(F.col(text_col), profile)).alias("_tokens"))
+    return rows.withColumn("_first", first).select(*keep, "id", F.inline_outer(terms)).where("term is not null")
+
+
 def postings(counted_: DataFrame) -> DataFrame:
     """(term, id, tf) of counted rows.  The condition is on the sum too, so that
     lengths and postings share the shuffle below it."""

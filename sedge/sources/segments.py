@@ -20,6 +20,8 @@ from ..operators import lexical
 
 TABLES = ("documents", "chunks", "postings")
 TOMBSTONES = "document_id long, kind string, _seg long"
+#: Tombstones (two numbers each, some 50 MB as a hash table) up to which they go to the rows; beyond it rows are shuffled.
+MAX_BROADCAST_DEAD = 1_000_000
 
 
 class SegmentStore:
@@ -84,7 +86,7 @@ class SegmentStore:
     def _write(self, number: int, tables: dict[str, DataFrame]) -> list[str]:
         for name, rows in tables.items():
             rows = rows if "_seg" in rows.columns else rows.withColumn("_seg", F.lit(number).cast("long"))
-            rows.write.mode("overwrite").parquet(self._part(name, number))
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(self._part(name, number))
         return list(tables)
 
     def _read(self, table: str, commits: list[dict], schema: str) -> DataFrame:
@@ -92,8 +94,8 @@ class SegmentStore:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _postings(self, chunks: DataFrame) -> DataFrame:
-        counted = lexical.postings(lexical.counted(lexical.occurrences(chunks, self.profile)))
-        return counted.join(chunks.select("id", "document_id"), "id").select("document_id", F.col("id").cast("long").alias("id"), "term", "tf")
+        counted = lexical.row_counts(chunks, self.profile, keep=("document_id",))
+        return counted.select("document_id", F.col("id").cast("long").alias("id"), "term", "tf")
 
     # -- writes --------------------------------------------------------------
 
@@ -141,7 +143,7 @@ class SegmentStore:
         rows = self._read(name, commits, f"{self.schemas[name]}, _seg long")
         dead = self._read("tombstones", commits, TOMBSTONES)
         dead = dead.where("kind = 'all'") if name == "documents" else dead
-        last = lexical.small(dead.groupBy("document_id").agg(F.max("_seg").alias("_dead")))
+        last = lexical.small(dead.groupBy("document_id").agg(F.max("_seg").alias("_dead")), MAX_BROADCAST_DEAD)
         return rows.join(last, "document_id", "left").where("_dead is null or _seg >= _dead").select(*rows.columns)
 
     def table(self, name: str) -> DataFrame:

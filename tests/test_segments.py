@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from sedge.functions.profiles import LATIN
+from sedge.operators import lexical
 from sedge.sources import vector_files
 from sedge.sources.segments import SegmentStore
 
@@ -77,3 +78,16 @@ def test_vector_files(spark, tmp_path):
             vector_files.decode(wrong, 1)
     spark.createDataFrame([], vector_files.SCHEMA).write.format("snv1").mode("append").save(f"file://{tmp_path}/none")
     assert spark.read.format("snv1").load(f"file://{tmp_path}/none").count() == 0
+
+
+def test_postings_are_counted_where_their_rows_are(spark, tmp_path):
+    store = SegmentStore(spark, f"file://{tmp_path}/store", LATIN, SCHEMAS)
+    texts = ["walking walked the Élan", None, "", "the a . of", "b1 b1 x b1", " ".join(f"w{i % 700}s" for i in range(5000)), "walks walk walks"]
+    rows = chunks(spark, *((i, i // 2, t) for i, t in enumerate(texts)), (None, 9, "lost"), (70, 9, "twice"), (70, 9, "twice twice"))
+    got = store._postings(rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    # equal to the counts over all rows where ids are unique
+    want = lexical.postings(lexical.counted(lexical.occurrences(rows.where("id < 70"), LATIN))).collect()
+    assert sorted((r.id, r.term, r.tf) for r in got.where("id < 70").collect()) == sorted((r.id, r.term, r.tf) for r in want)
+    # rows that share an id have their own counts each: before, a join on the id gave their sum twice
+    assert sorted((r.document_id, r.term, r.tf) for r in got.where("id = 70").collect()) == [(9, "twice", 1), (9, "twice", 2)]
