@@ -7,12 +7,17 @@ batch of one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.profiles import Profile
 from ..functions.text import kept_token, raw_tokens, stem, tokenize
-from .ranks import exact_ranks
+from ..sources.staging import staged
 
 K1, B = 1.2, 0.75
 #: Terms of a query batch, or similar narrow rows, that go to every task; more are left to a shuffle.
@@ -67,7 +72,7 @@ def row_counts(chunks: DataFrame, profile: Profile, id_col: str = "id", text_col
     places = F.when(F.size("_tokens") > 0, F.sequence(F.lit(0), F.size("_tokens") - 1))
     first = F.filter(places, lambda i: (i == 0) | (F.get("_tokens", i) != F.get("_tokens", i - 1)))
     terms = F.transform("_first", lambda i, k: F.struct(F.get("_tokens", i).alias("term"), (F.coalesce(F.get("_first", k + 1), F.size("_tokens")) - i).cast("long").alias("tf")))
-    rows = chunks.where(F.col(id_col).isNotNull()).select(*keep, F.col(id_col).alias("id"), F.array_sort(tokenize(F.col(text_col), profile)).alias("_tokens"))
+    rows = chunks.where(F.col(id_col).isNotNull()).select(*keep, F.col(id_col).alias("id"), F.sort_array(tokenize(F.col(text_col), profile)).alias("_tokens"))
     return rows.withColumn("_first", first).select(*keep, "id", F.inline_outer(terms)).where("term is not null")
 
 
@@ -87,15 +92,77 @@ def statistics(lengths_: DataFrame) -> DataFrame:
     return lengths_.agg(F.count("*").alias("n"), F.coalesce(F.round(F.avg("dl"), 2), F.lit(0.0)).alias("avgdl"))
 
 
+def posting_rows(chunks: DataFrame, profile: Profile, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(term, id, tf): the postings of all rows of text, written once for what reads them several times.
+
+    Where no two rows share an id, a row's counts are whole and nothing is
+    grouped or shuffled; else they are added up over the rows of an id.
+    """
+    shared = chunks.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    if shared.isEmpty():
+        return staged(row_counts(chunks, profile, id_col, text_col).select("term", "id", "tf"), "postings")
+    return staged(postings(counted(occurrences(chunks, profile, id_col, text_col))), "postings")
+
+
+def _pieces(size: int):
+    """Rows sorted by term as pieces (term, place, list): up to `size` entries of a term, `place` entries of it before them."""
+
+    def piece(rows: pa.RecordBatch, cuts: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        """The pieces between neighbouring cuts."""
+        entries = pa.StructArray.from_arrays([rows.column("id"), rows.column("tf")], names=["id", "tf"])
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), entries)
+        return pa.RecordBatch.from_arrays([rows.column("term").take(pa.array(cuts[:-1])), pa.array(place[cuts[:-1]]), lists], names=["term", "place", "list"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done = None, 0  # the piece that the next rows may go on, and the entries of its term before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            term = rows.column("term")
+            fresh = np.append(True, pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False))
+            start = np.flatnonzero(fresh)
+            place = np.arange(len(term)) - np.repeat(start, np.diff(np.append(start, len(term))))
+            place[: start[1] if len(start) > 1 else None] += done
+            cuts = np.flatnonzero(fresh | (place % size == 0))
+            if len(cuts) > 1:
+                yield piece(rows, cuts, place)
+            held, done = rows.slice(cuts[-1]), int(place[cuts[-1]])
+        if held is not None:
+            yield piece(held, np.array([0, held.num_rows]), np.array([done]))
+
+    return run
+
+
 def posting_segments(postings_: DataFrame, size: int = 4096) -> DataFrame:
     """(term, segment, n, list): postings of a term in order of id, cut into segments of `size` entries.
 
-    Entries are ranked in parts, so a term of all texts is no single group.
+    Postings are dealt by range of term and id, so a term of all texts is no
+    single group.  A part's sorted rows are cut into pieces as they pass; those
+    of a term that stands in one part alone are its segments.  Of a term in
+    several parts (at most two of a part are), the pieces are moved by the
+    entries in the parts before, which cuts each in two at most, and put
+    together by segment.
     """
-    placed = exact_ranks(postings_.select("term", "id", "tf"), ["term"], ["id"])
-    segment = F.floor((F.col("rank") - 1) / size).cast("long")
-    lists = F.sort_array(F.collect_list(F.struct("id", "tf")))
-    return placed.groupBy("term", segment.alias("segment")).agg(F.count("*").alias("n"), lists.alias("list"))
+    kind = dict(postings_.dtypes)
+    dealt = postings_.select("term", "id", "tf").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    pieces = dealt.mapInArrow(_pieces(size), f"term string, place long, list array<struct<id: {kind['id']}, tf: {kind['tf']}>>")
+    pieces = staged(pieces.withColumn("_part", F.spark_partition_id()), "pieces")
+    counts = pieces.groupBy("term", "_part").agg(F.sum(F.size("list")).alias("_n"))
+    of_term = Window.partitionBy("term")
+    before = F.sum("_n").over(of_term.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    cut = counts.withColumn("_ahead", F.coalesce(before, F.lit(0))).withColumn("_parts", F.count("*").over(of_term)).where("_parts > 1")
+    cut = F.broadcast(staged(cut.select("term", "_part", "_ahead"), "cut"))  # at most two rows a part
+    segment = lambda place: F.floor(place / size).cast("long").alias("segment")
+    whole = pieces.join(cut.select("term").distinct(), "term", "left_anti").select("term", segment(F.col("place")), "list")
+    begin = F.col("place") + F.col("_ahead")
+    room = (size - begin % size).cast("int")
+    halves = F.array(
+        F.struct(segment(begin), F.slice("list", F.lit(1), room).alias("list")), F.struct((segment(begin) + 1).alias("segment"), F.slice("list", room + 1, F.lit(size)).alias("list"))
+    )
+    moved = pieces.join(cut, ["term", "_part"]).select("term", F.inline(halves)).where(F.size("list") > 0)
+    moved = moved.groupBy("term", "segment").agg(F.sort_array(F.flatten(F.collect_list("list"))).alias("list"))
+    return whole.unionByName(moved).select("term", "segment", F.size("list").cast("long").alias("n"), "list")
 
 
 def query_terms(queries: DataFrame, profile: Profile, text_col: str = "text") -> DataFrame:

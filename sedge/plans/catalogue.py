@@ -153,7 +153,7 @@ placed AS (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY id) - 1) //
 SELECT term, segment, count(*) AS n, string_agg(id || ':' || tf, ' ' ORDER BY id) AS list FROM placed GROUP BY term, segment"""
 )
 def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = lexical.posting_segments(lexical.postings(_counted(spark, sf_dir)), 256)
+    segments = lexical.posting_segments(lexical.posting_rows(table(spark, sf_dir, "documents"), LATIN, "doc_id"), 256)
     entry = F.transform("list", lambda x: F.concat_ws(":", x["id"].cast("string"), x["tf"].cast("string")))
     return segments.select("term", "segment", "n", F.array_join(entry, " ").alias("list"))
 
