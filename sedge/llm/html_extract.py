@@ -21,8 +21,9 @@ what most articles of a host end or begin with is a notice that no markup
 tells.  Here the suffixes that begin at a block and run to the end of the
 article (and the same read backwards, from its beginning) are named as a whole.
 One of 12 tokens and more is no part of the article if at least 4 different
-articles of the host, and at least three quarters of them, have it next to
-different blocks.
+articles of the host, and at least three quarters of them, have it, next to as
+many different blocks as 4 and a quarter of these articles: versions of one
+article don't tell a notice.
 
 Then blocks are judged.  Doubtful blocks go if they are mostly links or mostly
 repeated on other pages; open blocks lose what is repeated and keep their
@@ -319,10 +320,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, row, side, blocks, name, beside): the ends and beginnings of articles at each of their blocks, and each article as a whole.
+    """(host, row, side, blocks, name, article, beside): the ends and beginnings of articles at each of their blocks, and each article as a whole.
 
-    beside: the least seed of the block next to it, which nearly equal blocks
-    share; for a whole article its digest.  From DEEP tokens on, what is more
+    article: the digest of the whole; beside: the least seed of the block next
+    to it, which nearly equal blocks share.  From DEEP tokens on, what is more
     than half of an article is none of its sides.
     """
     for batch in batches:
@@ -350,18 +351,20 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks = np.bincount(page, minlength=rows)[page]
             cut = np.flatnonzero(end < high)  # blocks with another one behind
             first = np.flatnonzero(start == low)
+            article = digests.of(low, high)[0]
             parts = [(TAIL, cut, end[cut], high[cut], blocks[cut] - nth[cut] - 1, beside[cut]), (HEAD, cut, low[cut], end[cut], nth[cut] + 1, beside[cut + 1] if len(cut) else beside[cut])]
-            fields = [[np.full(len(first), WHOLE)], [page[first]], [blocks[first]], [np.zeros(len(first), np.uint64)], [digests.of(low[first], high[first])[0]]]
+            none = np.zeros(len(first), dtype=np.uint64)
+            fields = [[np.full(len(first), WHOLE)], [page[first]], [blocks[first]], [none], [article[first]], [none]]
             for side, block, a, b, count, near in parts:
                 size = b - a
                 ok = (size >= RUN) & ((size < DEEP) | (2 * size <= (high - low)[block]))
-                for field, values in zip(fields, (np.full(len(block), side), page[block], count, digests.of(a, b)[0], near)):
+                for field, values in zip(fields, (np.full(len(block), side), page[block], count, digests.of(a, b)[0], article[block], near)):
                     field.append(values[ok])
-            side, page, blocks, name, beside = (np.concatenate(field) for field in fields)
+            side, page, blocks, *hashes = (np.concatenate(field) for field in fields)
             host, row = (batch.column(c).slice(at, rows).take(pa.array(page)) for c in ("host", "row"))
             yield pa.RecordBatch.from_arrays(
-                [host, row, pa.array(side.astype(np.int8)), pa.array(blocks.astype(np.int32)), pa.array(name.view(np.int64)), pa.array(beside.view(np.int64))],
-                names=["host", "row", "side", "blocks", "name", "beside"],
+                [host, row, pa.array(side.astype(np.int8)), pa.array(blocks.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in hashes)],
+                names=["host", "row", "side", "blocks", "name", "article", "beside"],
             )
 
 
@@ -468,17 +471,22 @@ def repeated_substrings(streams: DataFrame) -> DataFrame:
 def shared_edges(streams: DataFrame) -> DataFrame:
     """(row, at, depth): how many plain blocks ("at") of an article are the host's, at its beginning (depth -HEAD) and its end (-TAIL).
 
-    Copies count as one article, and nearly equal blocks beside a shared end as one.
+    Copies count as one article, and nearly equal blocks beside a shared side as one.
     """
     streams = streams.select(F.xxhash64("host").alias("host"), "row", "stream", "kinds", "sizes")
-    found = streams.mapInArrow(_stretches, "host long, row long, side tinyint, blocks int, name long, beside long")
+    found = streams.mapInArrow(_stretches, "host long, row long, side tinyint, blocks int, name long, article long, beside long")
     found = found.withColumn("key", F.xxhash64("host", "side", "name"))
-    votes = found.select("host", "side", "key", "beside").distinct().groupBy("host", "side", "key").agg(F.count("*").alias("articles"))
-    votes = materialize(votes.where(F.col("articles") >= SEVERAL), "sides")
-    of_host = votes.where(F.col("side") == WHOLE).select("host", F.col("articles").alias("all"))
-    keys = votes.where(F.col("side") != WHOLE).join(of_host, "host").where(4 * F.col("articles") >= 3 * F.col("all")).select("key")
-    keys = materialize(keys, "edges")
-    found = semi_reduce(found, keys, "key", keys.count()).withColumn("depth", -F.col("side").cast("int"))
+    sides = found.select("host", "side", "key", "article").distinct().groupBy("host", "side", "key").agg(F.count("*").alias("articles"))
+    sides = materialize(sides.where(F.col("articles") >= SEVERAL), "sides")
+    of_host = sides.where(F.col("side") == WHOLE).select("host", F.col("articles").alias("all"))
+    shared = sides.where(F.col("side") != WHOLE).join(of_host, "host").where(4 * F.col("articles") >= 3 * F.col("all"))
+    shared = materialize(shared.select("key", "articles"), "shared")
+    # only what most articles have is read again
+    found = materialize(semi_reduce(found, shared.select("key"), "key", shared.count()).select("row", "side", "blocks", "key", "beside"), "edges")
+    beside = found.select("key", "beside").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    keys = beside.where(F.col("n") >= SEVERAL).join(shared, "key").where(4 * F.col("n") >= F.col("articles")).select("key")
+    keys = counted(materialize(keys, "keys"))
+    found = found.join(keys, "key", "left_semi").withColumn("depth", -F.col("side").cast("int"))
     return found.groupBy("row", "depth").agg(F.max("blocks").alias("at")).select("row", "at", "depth")
 
 

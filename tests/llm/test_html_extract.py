@@ -116,6 +116,8 @@ def test_what_most_articles_of_a_host_end_or_begin_with_goes(spark):
         "near.com": [[*own(1)[:1], run("v", 60) + f" {k}", letter] for k in range(9)],
         "long.com": [[f"story {k}", run("d", DEEP)] for k in range(6)],
         "brief.com": [[*own(k), rights] for k in range(6)],
+        "titles.com": [["the same title again", run(f"s{k}x", 30), letter] if k % 2 else ["the same title again", letter] for k in range(12)],
+        "heads.com": [[top, "the same title again" if k < 5 else f"story {k}", run(f"s{k}x", 30)] for k in range(12)],
         "only.com": [[*own(k), letter] for k in range(6)] + [[top, letter], [letter]],
     }
     got = iter(texts_of(spark, [(host, blocks) for host, pages in rows.items() for blocks in pages]))
@@ -124,6 +126,8 @@ def test_what_most_articles_of_a_host_end_or_begin_with_goes(spark):
     plain["all.com"] = [([letter, top] if k == 7 else []) + [*own(k), f"see {k} too"] for k in range(12)]
     plain["short.com"] = [[f"story {k}"] for k in range(4)]
     plain["most.com"] = [own(k) for k in range(8)]
+    plain["titles.com"] = [["the same title again", run(f"s{k}x", 30)] if k % 2 else ["the same title again"] for k in range(12)]
+    plain["heads.com"] = [blocks[1:] for blocks in rows["heads.com"]]
     plain["only.com"] = [own(k) for k in range(6)] + [[top], [letter]]
     assert got == plain
 
@@ -147,16 +151,18 @@ def test_ends_of_articles_equal_brute_force(spark):
                 if n >= RUN and (n < DEEP or 2 * n <= sum(size)):
                     yield side, tuple(part), beside
 
-    articles, beside = {}, {}
+    articles, beside, having = {}, {}, {}
     for host, blocks in rows:
         articles.setdefault(host, set()).add(tuple(blocks))
         for side, part, near in sides(blocks):
             beside.setdefault((host, side, part), set()).add(near)
+            having.setdefault((host, side, part), set()).add(tuple(blocks))
     want, cuts = [], set()
     for host, blocks in rows:
         goes = {"head": 0, "tail": 0}
         for side, part, _ in sides(blocks):
-            if len(beside[host, side, part]) >= max(SEVERAL, len(articles[host]) * 3 / 4):
+            have = len(having[host, side, part])
+            if have >= len(articles[host]) * 3 / 4 and len(beside[host, side, part]) >= max(SEVERAL, have / 4):
                 goes[side] = max(goes[side], len(part))
         head, tail = goes["head"], goes["tail"]
         stays = head + tail >= len(blocks)
