@@ -55,7 +55,7 @@ DOUBLINGS = 3
 DEEP = RUN << DOUBLINGS
 
 #: Different articles that must share an end or a beginning which is taken away; three quarters of the host's must as well
-#: (a line that texts have in common opens up to 40 % of a host's articles in the tables at hand, a notice nearly all).
+#: (a line that texts have in common opens up to 41 % of a host's articles in the tables at hand, a notice nearly all).
 SEVERAL = 4
 #: Sides of an article: the whole, its beginning, its end.
 WHOLE, HEAD, TAIL = 0, 1, 2
